@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import exact_dedup, mixing
+from tallyworks.llm import bpe, exact_dedup, language, mixing
 
 
 def queries() -> dict:
     return {
+        "op3_language_id": language.op3_language_id,
         "op5_source_mix": mixing.op5_source_mix,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
