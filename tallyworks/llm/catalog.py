@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing
+from tallyworks.llm import bpe, exact_dedup, language, mixing, secrets, topk
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": topk.op1_topk_search,
         "op3_language_id": language.op3_language_id,
         "op5_source_mix": mixing.op5_source_mix,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_secret_scan": secrets.op9_secret_scan,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
