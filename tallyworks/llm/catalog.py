@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing, secrets, topk
+from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, secrets, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk.op1_topk_search,
         "op3_language_id": language.op3_language_id,
+        "op4_near_duplicates": near_dedup.op4_near_duplicates,
         "op5_source_mix": mixing.op5_source_mix,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_secret_scan": secrets.op9_secret_scan,
