@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, secrets, topk
+from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, ppm, secrets, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_language_id": language.op3_language_id,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
         "op5_source_mix": mixing.op5_source_mix,
+        "op6_ppm_score": ppm.op6_ppm_score,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_bpe": bpe.op10_bpe,
