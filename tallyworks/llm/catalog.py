@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, ppm, secrets, topk
+from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, ppm, quality, secrets, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk.op1_topk_search,
+        "op2_quality": quality.op2_quality,
         "op3_language_id": language.op3_language_id,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
         "op5_source_mix": mixing.op5_source_mix,
