@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, ppm, quality, secrets, topk
+from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, ppm, quality, secrets, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_source_mix": mixing.op5_source_mix,
         "op6_ppm_score": ppm.op6_ppm_score,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_pii": pii.op8_pii,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_bpe": bpe.op10_bpe,
     }
