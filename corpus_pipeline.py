@@ -1,11 +1,23 @@
-"""A pipeline from raw documents to token ids; each stage is one operator of tallyworks.llm."""
+"""A pipeline from raw documents to token ids; each stage is one operator of tallyworks.llm.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs, and all but the last return the
+columns of docs: language identification drops texts without a language, exact and near
+deduplication leave one row of each group, the mix repeats rows or leaves them out, and the last
+stage gives each row's tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup
+from tallyworks.llm.common import checkpointed, table
 
-from tallyworks.llm import exact_dedup, mixing
-from tallyworks.llm.common import table
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose text has a language; the filters are learned from docs."""
+    return language.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +25,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of similar texts."""
+    return near_dedup.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", exact), ("source mix", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row."""
+    return bpe.tokenised(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language id", identify), ("exact dedup", exact), ("n-gram jaccard join", near), ("source mix", mixed), ("bpe", tokens)]
+#: SQL can't express the filters' hashes, nor the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what a stage returns is written to the shared folder before the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
