@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import trends
+from tallyworks.operators import portfolio, trends
 
-_MODULES = (trends,)
+_MODULES = (trends, portfolio)
 
 
 def queries() -> dict:
