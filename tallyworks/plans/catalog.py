@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import portfolio, trends
+from tallyworks.operators import checks, items, portfolio, trends
 
-_MODULES = (trends, portfolio)
+_MODULES = (trends, portfolio, items, checks)
 
 
 def queries() -> dict:
