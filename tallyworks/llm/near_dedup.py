@@ -4,12 +4,12 @@ A text's set holds its distinct 5-word shingles. Texts with equal sets form a cl
 each class goes on. All sets are put in one order, rare shingles first. If two sets overlap in t,
 the first |x| - t + l of each share at least l: so a set is found by l shared tokens of a prefix of
 that length, and each set takes the l that makes its own search cheapest. Pairs that share as many
-tokens as the smaller l of both are verified on whole sets.
+tokens as the prefixes' lengths demand are verified on whole sets.
 
 Near copies come in groups of thousands, whose pairs must not all be made. Components only need
-enough links to hold together, so first every class is verified against one other of its tokens
-at a time, a few times over, and at last the pairs between components that are still apart are
-made: all of them, so that no link between components is lost.
+enough links to hold together, so every class is first verified against a few others that its
+tokens draw, and then the pairs between components that are still apart are made: all of them,
+so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import checkpointed, python_batches, table
+from tallyworks.llm.common import checkpointed, pieces, python_batches, table
 from tallyworks.llm.components import components
 
 WORDS = 5
@@ -42,42 +44,72 @@ HOT = 200
 TASK_BYTES, GATHERED = 16_000_000, 500_000
 #: Bits of the filter of classes whose sets are needed.
 FILTER_BITS = 24
-#: Words whose hashes a task remembers.
-REMEMBERED = 500_000
-#: Rounds against one other class each, at most; the last step is exact however many there were.
-ROUNDS = 4
+#: Other classes that each class is verified against first; the last step is exact however many there are.
+TURNS = 3
+#: Characters whose shingles are made at once.
+PIECE = 2_000_000
 
 U = np.uint64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Shingles are hashed as polynomials in FACTOR over a number for each byte, modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+LETTERS = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 
 
 class Shingler:
     """Sets of shingles as sorted arrays of 64-bit hashes."""
 
     def __init__(self) -> None:
-        self.hashes = _Hashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The hashes of the 5-word shingles; of all words if there are fewer, and none without words."""
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if len(words) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))][: len(words)], np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        mixed = h[: len(h) - WORDS + 1].copy()
-        for i in range(1, WORDS):
-            mixed *= U(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> U(29)
-            mixed += h[i : len(h) - WORDS + 1 + i]
-        mixed *= U(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> U(31)
-        return np.unique(mixed)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            self.powers, self.inverses = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (FACTOR, pow(FACTOR, -1, 2**64)))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the hashes of its 5-word shingles; of all words if there are fewer, and none without words."""
+        raw = [b" ".join((t or "").encode("utf-8", "replace").lower().split()) for t in texts]
+        b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        self._grow(len(b))
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum(LETTERS[b] * self.powers[: len(b)]))
+        ends = np.flatnonzero((b == 32) | (b == 10))
+        starts = np.append(0, ends[:-1] + 1)
+        closes = b[ends] == 10
+        text = np.cumsum(closes) - closes
+        real = ends > starts
+        starts, ends, text = starts[real], ends[real], text[real]
+
+        def hashed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            h = (sums[last] - sums[first]) * self.inverses[first]
+            h ^= h >> U(30)
+            h *= U(0xBF58476D1CE4E5B9)
+            return h ^ h >> U(31)
+
+        counts = np.bincount(text, minlength=len(texts))
+        n = len(starts) - WORDS + 1
+        whole = np.flatnonzero(text[:n] == text[WORDS - 1 :]) if n > 0 else np.zeros(0, int)
+        shingles = hashed(starts[whole], ends[whole + WORDS - 1])
+        cuts = np.append(0, np.cumsum(np.maximum(counts - WORDS + 1, 0)))
+        firsts = np.append(0, np.cumsum(counts))
+        out = []
+        for i in range(len(texts)):
+            if 0 < counts[i] < WORDS:
+                out.append(~hashed(starts[firsts[i] : firsts[i] + 1], ends[firsts[i + 1] - 1 : firsts[i + 1]]))
+            else:
+                out.append(distinct(shingles[cuts[i] : cuts[i + 1]]))
+        return out
+
+
+def sets_of(shingler: Shingler, texts: list[str | None]) -> Iterator[np.ndarray]:
+    for part in pieces(texts, PIECE):
+        yield from shingler(part)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, in order."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -102,11 +134,11 @@ def sizes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         sizes, classes = [], []
-        for text in batch.column(1).to_pylist():
-            own = shingles_of(text)
-            sizes.append(len(own))
-            classes.append(class_of(own) if len(own) else None)
-            np.add.at(sketch, (own >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
+        for texts in pieces(batch.column(1).to_pylist(), PIECE):
+            sets = shingles_of(texts)
+            sizes += map(len, sets)
+            classes += [class_of(own) if len(own) else None for own in sets]
+            sketch += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
         yield _record(SIZES, doc_id=batch.column(0), n=sizes, cls=classes)
     parts = np.split(sketch, SLICES)
     used = [i for i in range(SLICES) if parts[i].any()]
@@ -169,7 +201,8 @@ def tokens_of(excess: np.ndarray, buckets: int):
             hot = excess[(rows["token"] >> U(64 - SKETCH_BITS)).astype(np.int64)] > HOT
             if hot.any():
                 some = rows[hot]
-                yield _record(TOKENS, token=some["token"].view(np.int64), cls=some["cls"], n=some["n"].astype(np.int64), matches=some["matches"].astype(np.int32))
+                spread = (some["cls"] % buckets).astype(np.int32)
+                yield _record(TOKENS, bucket=spread, token=some["token"].view(np.int64), cls=some["cls"], n=some["n"].astype(np.int64), matches=some["matches"].astype(np.int32))
             rows = rows[~hot]
             bucket = (rows["token"] % U(buckets)).astype(np.int64)
             rows = rows[np.argsort(bucket, kind="stable")]
@@ -179,8 +212,7 @@ def tokens_of(excess: np.ndarray, buckets: int):
                 yield _record(TOKENS, bucket=full, packed=[rows[ends[b - 1] if b else 0 : ends[b]].tobytes() for b in full])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingles_of(text)
+            for own in sets_of(shingles_of, batch.column(0).to_pylist()):
                 if not len(own) or (cls := class_of(own)) in seen:
                     continue
                 seen.add(cls)
@@ -200,16 +232,21 @@ POSTINGS = "token long, cls long, n long, matches int"
 
 
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of a partition that more than one class has, a row for each class."""
-    parts = [np.frombuffer(x, PACKED) for batch in batches for x in batch.column(0).to_pylist()]
+    """The tokens of a partition that more than one class has, a row for each class; hot tokens as they come."""
+    parts = []
+    for batch in batches:
+        packed = pc.is_valid(batch.column(0))
+        parts += [np.frombuffer(x, PACKED) for x in batch.column(0).filter(packed).to_pylist()]
+        yield batch.filter(pc.invert(packed)).drop_columns(["packed"])
     if not parts:
         return
     rows = np.concatenate(parts)
     rows = rows[np.lexsort((rows["cls"], rows["token"]))]
     new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1]))
     rows = rows[new]
-    _, back, counts = np.unique(rows["token"], return_inverse=True, return_counts=True)
-    rows = rows[counts[back] > 1]
+    first = np.append(True, rows["token"][1:] != rows["token"][:-1])
+    single = first & np.append(first[1:], True)
+    rows = rows[~single]
     for at in range(0, len(rows), 100_000):
         some = rows[at : at + 100_000]
         yield _record(POSTINGS, token=some["token"].copy().view(np.int64), cls=some["cls"], n=some["n"].astype(np.int64), matches=some["matches"].astype(np.int32))
@@ -242,8 +279,7 @@ def needed_sets(words: np.ndarray):
         seen: set[int] = set()
         for batch in batches:
             found = []
-            for text in batch.column(0).to_pylist():
-                own = shingles_of(text)
+            for own in sets_of(shingles_of, batch.column(0).to_pylist()):
                 if len(own) and (cls := class_of(own)) not in seen and there(cls):
                     seen.add(cls)
                     found.append((cls, own.tobytes()))
@@ -283,51 +319,61 @@ def apart(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     return checkpointed(labelled.join(several, "token", "left_semi"))
 
 
-def close(n, other):
+def close(n: Column, other: Column) -> Column:
     """Whether sets of these sizes can link at all."""
     return F.least(n, other) * DENOMINATOR >= F.greatest(n, other) * NUMERATOR
 
 
+def must_share(n: Column, matches: Column, n2: Column, matches2: Column) -> Column:
+    """How many tokens the prefixes of two sets that link share at least.
+
+    Of the two prefixes one ends first in the order. What the sets share up to there is in both
+    prefixes; beyond there that set has only its rest, so both rests at most are left to share.
+    """
+    overlap = F.ceil((n + n2) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-6)
+    rest = F.greatest(*[F.ceil(F.lit(NUMERATOR) * a / DENOMINATOR - 1e-6) - b for a, b in ((n, matches), (n2, matches2))])
+    return F.greatest(F.least(matches, matches2).cast("long"), (overlap - rest).cast("long"))
+
+
 def star_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """For each class the one, among the classes that its tokens have drawn for this turn, with which it shares most of them."""
-    drawn = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "component", "n", "matches")).alias("hub"))
-    met = postings.join(drawn, "token").filter((F.col("component") != F.col("hub.component")) & close(F.col("n"), F.col("hub.n")))
-    counts = met.groupBy("cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "hub.matches")).alias("least"))
-    best = counts.filter("shared >= least").groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("best"))
-    return best.select(F.least("cls", "best.other").alias("a"), F.greatest("cls", "best.other").alias("b")).distinct()
+    """For each class the one, among the classes that its tokens have drawn for this turn, with which it shares most of them.
+
+    As not every token has drawn the same class, half of what the two must share is enough here.
+    """
+    drawn = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "n", "matches")).alias("hub"))
+    met = postings.join(drawn, "token").filter((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n")))
+    counts = met.groupBy("cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("n"), F.col("matches"), F.col("hub.n"), F.col("hub.matches"))).alias("least"))
+    best = counts.filter("2 * shared >= least").groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("best"))
+    return best.select(F.least("cls", "best.other").alias("a"), F.greatest("cls", "best.other").alias("b"))
 
 
 def rest_pairs(postings: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share enough tokens."""
     other = postings.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "component", "n", "matches")])
     met = postings.join(other, "token").filter((F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & close(F.col("n"), F.col("n2")))
-    counts = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "matches2")).alias("least"))
-    return counts.filter("shared >= least")
+    counts = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("n"), F.col("matches"), F.col("n2"), F.col("matches2"))).alias("least"))
+    return counts.filter("shared >= least").select("a", "b")
+
+
+def linked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link, verified on the whole sets of the classes that they name."""
+    pairs = checkpointed(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    sets = texts.mapInArrow(needed_sets(class_filter(named)), "cls long, members binary").dropDuplicates(["cls"])
+    return checkpointed(verify(pairs, sets))
 
 
 def class_links(docs: DataFrame, total: int, sketch: np.ndarray) -> DataFrame | None:
     """Links (a, b) between classes that hold together the components of all links; None if no token is shared."""
     texts = docs.select("text")
     buckets = max(1, math.ceil(0.3 * total * PACKED.itemsize / TASK_BYTES))
-    tokens = checkpointed(texts.mapInArrow(tokens_of(excess_of(sketch), buckets), TOKENS))
-    cold = tokens.filter("bucket is not null").repartition(buckets, "bucket").select("packed").mapInArrow(shared_tokens, POSTINGS)
-    hot = tokens.filter("bucket is null").select("token", "cls", "n", "matches").distinct()
-    postings = apart(cold.unionByName(hot), None)
+    tokens = texts.mapInArrow(tokens_of(excess_of(sketch), buckets), TOKENS)
+    postings = apart(tokens.repartition(buckets, "bucket").drop("bucket").mapInArrow(shared_tokens, POSTINGS).distinct(), None)
     if not postings.limit(1).count():
         return None
-    sets = checkpointed(texts.mapInArrow(needed_sets(class_filter(postings.select("cls").distinct())), "cls long, members binary").dropDuplicates(["cls"]))
-    links = None
-    for turn in range(ROUNDS):
-        pairs = checkpointed(star_pairs(postings, turn))
-        found = checkpointed(verify(pairs, sets))
-        links = found if links is None else links.unionByName(found)
-        n_found = found.count()
-        if n_found:
-            postings = apart(postings, links)
-        if 10 * n_found < pairs.count() or not n_found:
-            break
-    rest = checkpointed(verify(rest_pairs(postings), sets))
-    return links.unionByName(rest)
+    stars = reduce(DataFrame.unionByName, [star_pairs(postings, turn) for turn in range(TURNS)]).distinct()
+    links = linked(texts, stars)
+    return links.unionByName(linked(texts, rest_pairs(apart(postings, links))))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
