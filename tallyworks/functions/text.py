@@ -137,13 +137,13 @@ def tracked_item(text: Column) -> Column:
     return F.when(arabic_digits(text).rlike(TANK), "water-tank-plastic-2000l")
 
 
-def banned_terms(text: Column, allowed: tuple[str, ...] = ()) -> Column:
+def banned_terms(text: Column, allowed: tuple[str, ...] = (), terms: tuple[str, ...] = BANNED) -> Column:
     """The banned terms of a text, after allowed phrases have been taken out."""
     scrubbed = text
     for phrase in allowed:
         scrubbed = F.replace(scrubbed, F.lit(phrase), F.lit(" "))
     lowered = F.lower(scrubbed)
-    return F.filter(F.array(*map(F.lit, BANNED)), lambda term: F.contains(scrubbed, term) | F.contains(lowered, term))
+    return F.filter(F.array(*map(F.lit, terms)), lambda term: F.contains(scrubbed, term) | F.contains(lowered, term))
 
 
 def cited_labels(text: Column) -> Column:

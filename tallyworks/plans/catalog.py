@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import checks, items, portfolio, trends
+from tallyworks.operators import checks, items, portfolio, recurring, retrieval, trends
 
-_MODULES = (trends, portfolio, items, checks)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval)
 
 
 def queries() -> dict:
