@@ -33,9 +33,9 @@ WORDS = 5
 #: Texts link when NUMERATOR * intersection >= ... of DENOMINATOR: at 75 of 100.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Buckets of the sketch of shingle frequencies, and the rows in which a partition hands on its part.
-SKETCH_BITS, SLICES = 20, 16
-#: How many shared tokens a set may ask for.
-MATCHES = (1, 2, 4, 8)
+SKETCH_BITS, SLICES = 22, 16
+#: How many shared tokens a set may ask for, and how many more a pair asks for at most if its sizes allow it.
+MATCHES, MORE = (1, 2, 4, 8), 8
 #: Verifying a pair costs as much as reading this part of a set's postings.
 VERIFY = 1 / 16
 #: Shingles that are this much more frequent than their bucket's share skip the search for shared ones.
@@ -138,7 +138,7 @@ def sizes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             sets = shingles_of(texts)
             sizes += map(len, sets)
             classes += [class_of(own) if len(own) else None for own in sets]
-            sketch += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            np.add.at(sketch, np.concatenate(sets) >> U(64 - SKETCH_BITS), np.uint32(1))
         yield _record(SIZES, doc_id=batch.column(0), n=sizes, cls=classes)
     parts = np.split(sketch, SLICES)
     used = [i for i in range(SLICES) if parts[i].any()]
@@ -183,8 +183,8 @@ def prefix_of(shingles: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, int
     return shingles[order[: lengths[best]]], choices[best]
 
 
-TOKENS = "bucket int, packed binary, token long, cls long, n long, matches int"
-PACKED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("matches", "u1")])
+TOKENS = "bucket int, packed binary, token long, cls long, n long, matches int, place int"
+PACKED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("matches", "u1"), ("place", "<u4")])
 
 
 def tokens_of(excess: np.ndarray, buckets: int):
@@ -202,7 +202,7 @@ def tokens_of(excess: np.ndarray, buckets: int):
             if hot.any():
                 some = rows[hot]
                 spread = (some["cls"] % buckets).astype(np.int32)
-                yield _record(TOKENS, bucket=spread, token=some["token"].view(np.int64), cls=some["cls"], n=some["n"].astype(np.int64), matches=some["matches"].astype(np.int32))
+                yield _record(TOKENS, bucket=spread, **posting_columns(some))
             rows = rows[~hot]
             bucket = (rows["token"] % U(buckets)).astype(np.int64)
             rows = rows[np.argsort(bucket, kind="stable")]
@@ -218,7 +218,7 @@ def tokens_of(excess: np.ndarray, buckets: int):
                 seen.add(cls)
                 prefix, matches = prefix_of(own, excess)
                 rows = np.empty(len(prefix), PACKED)
-                rows["token"], rows["cls"], rows["n"], rows["matches"] = prefix, cls, len(own), matches
+                rows["token"], rows["cls"], rows["n"], rows["matches"], rows["place"] = prefix, cls, len(own), matches, np.arange(len(prefix))
                 held.append(rows)
                 if sum(map(len, held)) > GATHERED:
                     yield from dealt()
@@ -228,7 +228,11 @@ def tokens_of(excess: np.ndarray, buckets: int):
     return tokens
 
 
-POSTINGS = "token long, cls long, n long, matches int"
+POSTINGS = "token long, cls long, n long, matches int, place int"
+
+
+def posting_columns(rows: np.ndarray) -> dict:
+    return {"token": rows["token"].copy().view(np.int64), "cls": rows["cls"], "n": rows["n"].astype(np.int64), "matches": rows["matches"].astype(np.int32), "place": rows["place"].astype(np.int32)}
 
 
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +252,7 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     single = first & np.append(first[1:], True)
     rows = rows[~single]
     for at in range(0, len(rows), 100_000):
-        some = rows[at : at + 100_000]
-        yield _record(POSTINGS, token=some["token"].copy().view(np.int64), cls=some["cls"], n=some["n"].astype(np.int64), matches=some["matches"].astype(np.int32))
+        yield _record(POSTINGS, **posting_columns(rows[at : at + 100_000]))
 
 
 def filter_slots(cls) -> list:
@@ -319,39 +322,53 @@ def apart(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     return checkpointed(labelled.join(several, "token", "left_semi"))
 
 
-def close(n: Column, other: Column) -> Column:
-    """Whether sets of these sizes can link at all."""
-    return F.least(n, other) * DENOMINATOR >= F.greatest(n, other) * NUMERATOR
+def overlap_of(n: Column, n2: Column) -> Column:
+    """What two sets of these sizes must share at least to link."""
+    return F.floor(((n + n2) * NUMERATOR + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))
+
 
+def must_share(a: Column, b: Column) -> Column:
+    """How many tokens two sets must share in their prefixes: as many as both ask for, and some more where the prefixes reach."""
+    longest = F.floor((F.greatest(a["n"], b["n"]) * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
+    return F.least(a["matches"], b["matches"]) + F.least(F.lit(MORE), overlap_of(a["n"], b["n"]) - longest)
 
-def must_share(n: Column, matches: Column, n2: Column, matches2: Column) -> Column:
-    """How many tokens the prefixes of two sets that link share at least.
 
-    Of the two prefixes one ends first in the order. What the sets share up to there is in both
-    prefixes; beyond there that set has only its rest, so both rests at most are left to share.
+def meet(a: Column, b: Column) -> Column:
+    """Whether a token that two sets share is in the prefix that this pair needs of either.
+
+    Sets that share t hold m of them among the first |x| - t + m of each. The t of two sets is more
+    than that of a set and its smallest possible partner, so most pairs need less than the whole prefix.
     """
-    overlap = F.ceil((n + n2) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-6)
-    rest = F.greatest(*[F.ceil(F.lit(NUMERATOR) * a / DENOMINATOR - 1e-6) - b for a, b in ((n, matches), (n2, matches2))])
-    return F.greatest(F.least(matches, matches2).cast("long"), (overlap - rest).cast("long"))
+    t = overlap_of(a["n"], b["n"])
+    similar = F.least(a["n"], b["n"]) * DENOMINATOR >= F.greatest(a["n"], b["n"]) * NUMERATOR
+    return similar & (a["place"] < a["n"] - t + must_share(a, b)) & (b["place"] < b["n"] - t + must_share(a, b))
+
+
+def packed(*more: str) -> Column:
+    return F.struct("cls", "n", "matches", "place", *more)
 
 
 def star_pairs(postings: DataFrame, turn: int) -> DataFrame:
     """For each class the one, among the classes that its tokens have drawn for this turn, with which it shares most of them.
 
-    As not every token has drawn the same class, half of what the two must share is enough here.
+    In the first turn a token draws the class in whose order it comes first: that has the fewest
+    tokens of its own, as what others were copied from. As not every token has drawn the same
+    class, half of what the two must share is enough here.
     """
-    drawn = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "n", "matches")).alias("hub"))
-    met = postings.join(drawn, "token").filter((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n")))
-    counts = met.groupBy("cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("n"), F.col("matches"), F.col("hub.n"), F.col("hub.matches"))).alias("least"))
+    draw = F.col("place") / F.col("n") if turn == 0 else F.xxhash64("cls", F.lit(turn)).cast("double")
+    drawn = postings.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), packed().alias("row"))).alias("first")).select("token", F.col("first.row").alias("hub"))
+    met = postings.select("token", packed().alias("own")).join(drawn, "token").filter((F.col("own.cls") != F.col("hub.cls")) & meet(F.col("own"), F.col("hub")))
+    counts = met.groupBy("own.cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("own"), F.col("hub"))).alias("least"))
     best = counts.filter("2 * shared >= least").groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("best"))
     return best.select(F.least("cls", "best.other").alias("a"), F.greatest("cls", "best.other").alias("b"))
 
 
 def rest_pairs(postings: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share enough tokens."""
-    other = postings.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "component", "n", "matches")])
-    met = postings.join(other, "token").filter((F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & close(F.col("n"), F.col("n2")))
-    counts = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("n"), F.col("matches"), F.col("n2"), F.col("matches2"))).alias("least"))
+    own, other = (postings.select("token", packed("component").alias(name)) for name in ("own", "other"))
+    different = (F.col("own.cls") < F.col("other.cls")) & (F.col("own.component") != F.col("other.component"))
+    met = own.join(other, (own["token"] == other["token"]) & different & meet(F.col("own"), F.col("other")))
+    counts = met.groupBy(F.col("own.cls").alias("a"), F.col("other.cls").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("own"), F.col("other"))).alias("least"))
     return counts.filter("shared >= least").select("a", "b")
 
 
