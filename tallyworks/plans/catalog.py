@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import checks, items, portfolio, recurring, retrieval, trends
+from tallyworks.operators import checks, items, portfolio, recurring, retrieval, risk, trends
+from tallyworks.sources import sinks
 
-_MODULES = (trends, portfolio, items, checks, recurring, retrieval)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, sinks)
 
 
 def queries() -> dict:
