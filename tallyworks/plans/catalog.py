@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import checks, items, portfolio, recurring, retrieval, risk, trends
+from tallyworks.operators import checks, documents, items, portfolio, recurring, retrieval, risk, trends
 from tallyworks.sources import sinks
 
-_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, sinks)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, documents, sinks)
 
 
 def queries() -> dict:
