@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,8 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
     Only the first bytes decide whether a file is a PDF; its content is not kept.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root), "^file:(//)?|/+$", "")
-    relative = F.regexp_replace(F.substring_index(F.concat(F.regexp_replace("path", "^file:/*", "/"), F.lit("")), F.concat(base, F.lit("/")), -1), "^/+", "")
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    relative = F.regexp_extract("path", rf"\Q{base}\E/(.*)$", 1)
     own = files.select(relative.alias("source_path"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), F.col("length"))
     return catalogued(own)
 
@@ -48,7 +49,7 @@ def refused(files: DataFrame) -> DataFrame:
 
 def page_texts(spark: SparkSession, root: str) -> DataFrame:
     """document, page and text of pages kept as <document>/page_<n>.md; a page that is empty counts as not read."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     page = F.regexp_extract("path", r"page_([0-9]+)\.md$", 1).try_cast("int")
     return read.select(F.element_at(F.split("path", "/"), -2).alias("document"), page.alias("page"), "text").filter("page is not null and trim(text) <> ''")
 
