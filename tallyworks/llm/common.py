@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tallyworks.sources.shared import checkpointed
+from tallyworks.sources.tables import table
+
 #: Characters between words, in regular expressions of both Java and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that goes to Python: texts of 100 kB each then stay below 50 MB.
 BATCH_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed now and written to the shared folder of spark.checkpoint.dir, with its lineage cut.
-
-    The folder is the session's; only where none is set, as in tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+__all__ = ["WORD", "checkpointed", "pieces", "python_batches", "remainder", "remainder_of", "table"]
 
 
 def python_batches(spark: SparkSession) -> None:
