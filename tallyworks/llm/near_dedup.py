@@ -34,8 +34,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Buckets of the sketch of shingle frequencies, and the rows in which a partition hands on its part.
 SKETCH_BITS, SLICES = 22, 16
-#: How many shared tokens a set may ask for, and how many more a pair asks for at most if its sizes allow it.
-MATCHES, MORE = (1, 2, 4, 8), 8
+#: How many shared tokens a set may ask for. More would lengthen prefixes of copies that differ in
+#: many words into what all of them share.
+MATCHES = (1, 2, 3)
 #: Verifying a pair costs as much as reading this part of a set's postings.
 VERIFY = 1 / 16
 #: Shingles that are this much more frequent than their bucket's share skip the search for shared ones.
@@ -328,9 +329,8 @@ def overlap_of(n: Column, n2: Column) -> Column:
 
 
 def must_share(a: Column, b: Column) -> Column:
-    """How many tokens two sets must share in their prefixes: as many as both ask for, and some more where the prefixes reach."""
-    longest = F.floor((F.greatest(a["n"], b["n"]) * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
-    return F.least(a["matches"], b["matches"]) + F.least(F.lit(MORE), overlap_of(a["n"], b["n"]) - longest)
+    """How many tokens two sets that link share at least in the prefixes that they need of either."""
+    return F.least(a["matches"], b["matches"])
 
 
 def meet(a: Column, b: Column) -> Column:
