@@ -9,14 +9,15 @@ tokens as the prefixes' lengths demand are verified on whole sets.
 Near copies come in groups of thousands, whose pairs must not all be made. Components only need
 enough links to hold together, so every class is first verified against a few others that its
 tokens draw, and then the pairs between components that are still apart are made: all of them,
-so that no link between components is lost.
+so that no link between components is lost. Of those, bitmaps of the sets rule out most before
+whole sets are moved.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -45,6 +46,8 @@ HOT = 200
 TASK_BYTES, GATHERED = 16_000_000, 500_000
 #: Bits of the filter of classes whose sets are needed.
 FILTER_BITS = 24
+#: Bits of a set's bitmap for each shingle, rounded up to a power of two in all.
+BITMAP_BITS = 4
 #: Other classes that each class is verified against first; the last step is exact however many there are.
 TURNS = 3
 #: Characters whose shingles are made at once.
@@ -271,8 +274,37 @@ def class_filter(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def needed_sets(words: np.ndarray):
-    """A function over batches of texts that gives cls and set of those that the filter holds."""
+def whole(own: np.ndarray) -> bytes:
+    return own.tobytes()
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A set's size, and a bit for each of its shingles at their hashes' low bits; an eighth of the set or less."""
+    width = max(64, 1 << (BITMAP_BITS * len(own) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(own & U(width - 1)).astype(np.int64)] = True
+    return len(own).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(own: bytes, other: bytes) -> bool:
+    """False only if two sets can't link: each bit that one bitmap lacks is at least a shingle that its set lacks."""
+    sizes = [int.from_bytes(x[:8], "little") for x in (own, other)]
+    maps = [np.frombuffer(x, np.uint64, offset=8) for x in (own, other)]
+    width = min(map(len, maps))
+    x, y = (np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps)
+    most = min(n - int(np.bitwise_count(lacks).sum()) for n, lacks in zip(sizes, (x & ~y, y & ~x), strict=True))
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * sum(sizes)
+
+
+def similar(own: bytes, other: bytes) -> bool:
+    """Whether two whole sets link."""
+    x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def needed_sets(words: np.ndarray, form: Callable[[np.ndarray], bytes]):
+    """A function over batches of texts that gives cls and set, in this form, of those that the filter holds."""
 
     def there(cls: int) -> bool:
         mask = (1 << FILTER_BITS) - 1
@@ -286,30 +318,22 @@ def needed_sets(words: np.ndarray):
             for own in sets_of(shingles_of, batch.column(0).to_pylist()):
                 if len(own) and (cls := class_of(own)) not in seen and there(cls):
                     seen.add(cls)
-                    found.append((cls, own.tobytes()))
+                    found.append((cls, form(own)))
             if found:
                 yield _record("cls long, members binary", cls=[x[0] for x in found], members=[x[1] for x in found])
 
     return sets
 
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a and b of the pairs whose sets are similar enough."""
-    for batch in batches:
-        links = []
-        for a, b, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both):
-                links.append((a, b))
-        yield _record("a long, b long", a=[x[0] for x in links], b=[x[1] for x in links])
+def chosen(test: Callable[[bytes, bytes], bool]):
+    """A function over batches of a, b and their sets that gives a and b of the pairs that pass the test."""
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = [(a, b) for a, b, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True) if test(own, other)]
+            yield _record("a long, b long", a=[x[0] for x in passed], b=[x[1] for x in passed])
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    own = sets.select(F.col("cls").alias("a"), F.col("members").alias("own"))
-    other = sets.select(F.col("cls").alias("b"), F.col("members").alias("other"))
-    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(verified, "a long, b long")
+    return pairs
 
 
 def apart(postings: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -340,8 +364,8 @@ def meet(a: Column, b: Column) -> Column:
     than that of a set and its smallest possible partner, so most pairs need less than the whole prefix.
     """
     t = overlap_of(a["n"], b["n"])
-    similar = F.least(a["n"], b["n"]) * DENOMINATOR >= F.greatest(a["n"], b["n"]) * NUMERATOR
-    return similar & (a["place"] < a["n"] - t + must_share(a, b)) & (b["place"] < b["n"] - t + must_share(a, b))
+    close = F.least(a["n"], b["n"]) * DENOMINATOR >= F.greatest(a["n"], b["n"]) * NUMERATOR
+    return close & (a["place"] < a["n"] - t + must_share(a, b)) & (b["place"] < b["n"] - t + must_share(a, b))
 
 
 def packed(*more: str) -> Column:
@@ -372,12 +396,13 @@ def rest_pairs(postings: DataFrame) -> DataFrame:
     return counts.filter("shared >= least").select("a", "b")
 
 
-def linked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link, verified on the whole sets of the classes that they name."""
-    pairs = checkpointed(pairs)
+def passing(texts: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) that pass the test on the sets of the classes that they name, in this form."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    sets = texts.mapInArrow(needed_sets(class_filter(named)), "cls long, members binary").dropDuplicates(["cls"])
-    return checkpointed(verify(pairs, sets))
+    sets = texts.mapInArrow(needed_sets(class_filter(named), form), "cls long, members binary").dropDuplicates(["cls"])
+    own = sets.select(F.col("cls").alias("a"), F.col("members").alias("own"))
+    other = sets.select(F.col("cls").alias("b"), F.col("members").alias("other"))
+    return checkpointed(pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(chosen(test), "a long, b long"))
 
 
 def class_links(docs: DataFrame, total: int, sketch: np.ndarray) -> DataFrame | None:
@@ -389,8 +414,9 @@ def class_links(docs: DataFrame, total: int, sketch: np.ndarray) -> DataFrame |
     if not postings.limit(1).count():
         return None
     stars = reduce(DataFrame.unionByName, [star_pairs(postings, turn) for turn in range(TURNS)]).distinct()
-    links = linked(texts, stars)
-    return links.unionByName(linked(texts, rest_pairs(apart(postings, links))))
+    links = passing(texts, checkpointed(stars), whole, similar)
+    rest = passing(texts, checkpointed(rest_pairs(apart(postings, links))), bitmap, may_link)
+    return links.unionByName(passing(texts, rest, whole, similar))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -106,3 +106,16 @@ def test_prefixes_share_what_they_must():
         m = min(l1, l2)
         assert len(x) - t + m <= len(p) and len(y) - t + m <= len(q)
         assert len(np.intersect1d(p[: len(x) - t + m], q[: len(y) - t + m])) >= m
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 15, 16, 17, 100, 1000])
+def test_bitmaps_pass_every_pair_that_links(size):
+    draw = np.random.default_rng(size)
+    passed = []
+    for lost in [0, size // 8, size // 7, size // 6, size // 4, size]:
+        own = np.unique(draw.integers(0, 2**64, size, np.uint64))
+        for added in [0, lost]:
+            other = np.unique(np.append(own[lost:], draw.integers(0, 2**64, max(added, int(lost == size)), np.uint64)))
+            passed.append(near_dedup.may_link(near_dedup.bitmap(own), near_dedup.bitmap(other)))
+            assert passed[-1] or not near_dedup.similar(near_dedup.whole(own), near_dedup.whole(other))
+    assert passed[0] and not passed[-1]
