@@ -35,6 +35,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Buckets of the sketch of shingle frequencies, and the rows in which a partition hands on its part.
 SKETCH_BITS, SLICES = 22, 16
+#: Codes for each doubling of a frequency, and the frequencies that codes stand for.
+STEPS = 8
+LEVELS = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
 #: How many shared tokens a set may ask for. More would lengthen prefixes of copies that differ in
 #: many words into what all of them share.
 MATCHES = (1, 2, 3)
@@ -149,20 +152,25 @@ def sizes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield _record(SIZES, slice=used, counts=[zlib.compress(parts[i].tobytes(), 1) for i in used])
 
 
+def frequency_codes(counts: np.ndarray) -> np.ndarray:
+    """By how much the counts of buckets exceed what chance explains, as a byte that LEVELS turns into numbers.
+
+    It estimates how often a frequent shingle is there. The median of a slice stands for chance: hashes deal
+    shingles to slices alike.
+    """
+    usual = float(np.median(counts))
+    excess = np.where(counts > usual + 4 * math.sqrt(usual) + 1, counts - usual, 0.0)
+    return np.minimum(np.rint(STEPS * np.log2(1 + excess)), 255).astype(np.uint8)
+
+
 def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a partition's slices; each slice is in one partition."""
+    """The codes of a partition's slices, of their sums; each slice is in one partition."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = np.frombuffer(zlib.decompress(raw), np.uint32)
             sums[i] = sums[i] + counts if i in sums else counts.astype(np.int64)
-    yield _record("slice int, counts binary", slice=list(sums), counts=[x.tobytes() for x in sums.values()])
-
-
-def excess_of(sketch: np.ndarray) -> np.ndarray:
-    """By how much the counts of buckets exceed what chance explains: an estimate of how often a frequent shingle is there."""
-    usual = float(np.median(sketch))
-    return np.where(sketch > usual + 4 * math.sqrt(usual) + 1, sketch - usual, 0.0).astype(np.float32)
+    yield _record("slice int, codes binary", slice=list(sums), codes=[frequency_codes(x).tobytes() for x in sums.values()])
 
 
 def least_overlap(n: int) -> int:
@@ -191,11 +199,11 @@ TOKENS = "bucket int, packed binary, token long, cls long, n long, matches int,
 PACKED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("matches", "u1"), ("place", "<u4")])
 
 
-def tokens_of(excess: np.ndarray, buckets: int):
+def tokens_of(codes: np.ndarray, buckets: int):
     """A function over batches of texts that gives their prefix tokens, dealt to buckets; hot ones as rows."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of = Shingler()
+        shingles_of, excess = Shingler(), LEVELS[codes]
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -405,11 +413,11 @@ def passing(texts: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], byt
     return checkpointed(pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(chosen(test), "a long, b long"))
 
 
-def class_links(docs: DataFrame, total: int, sketch: np.ndarray) -> DataFrame | None:
+def class_links(docs: DataFrame, total: int, codes: np.ndarray) -> DataFrame | None:
     """Links (a, b) between classes that hold together the components of all links; None if no token is shared."""
     texts = docs.select("text")
     buckets = max(1, math.ceil(0.3 * total * PACKED.itemsize / TASK_BYTES))
-    tokens = texts.mapInArrow(tokens_of(excess_of(sketch), buckets), TOKENS)
+    tokens = texts.mapInArrow(tokens_of(codes, buckets), TOKENS)
     postings = apart(tokens.repartition(buckets, "bucket").drop("bucket").mapInArrow(shared_tokens, POSTINGS).distinct(), None)
     if not postings.limit(1).count():
         return None
@@ -432,12 +440,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     first = checkpointed(own.mapInArrow(sizes_and_sketch, SIZES))
     members = first.filter("slice is null").select("doc_id", "n", "cls")
     total = members.agg(F.sum("n")).first()[0] or 0
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in first.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(sum_slices, "slice int, counts binary").collect():
-        at = row["slice"] << SKETCH_BITS
-        sketch[at // SLICES : (at + (1 << SKETCH_BITS)) // SLICES] = np.frombuffer(row["counts"], np.int64)
+    codes = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
+    slices = first.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+    for row in slices.mapInArrow(sum_slices, "slice int, codes binary").collect():
+        codes[row["slice"]] = np.frombuffer(row["codes"], np.uint8)
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    links = class_links(own, total, sketch)
+    links = class_links(own, total, codes.ravel())
     if links is not None:
         labels = components(links).select(F.col("node").alias("cls"), "component")
         labelled = checkpointed(classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
