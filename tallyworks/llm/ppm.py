@@ -1,10 +1,14 @@
 """Scores of texts under a byte model with partial matching, beside a word model.
 
 The trie of contexts is learned from all training texts: windows of ORDER + 1 bytes are counted in
-Spark, and shorter ones come from them by summing. An entry (context, symbol) stays if it is one in
-2**20 of all windows, so an order has at most 2**20 entries however large the input is. Symbols
-without an entry share the escape probability; they take the probabilities of the context that is
-one byte shorter, without the symbols that have an entry, so each context's probabilities sum to 1.
+Spark, and shorter ones come from them by summing. Every (context, symbol) that occurs is an entry,
+however rare. Symbols without an entry share the escape probability; they take the probabilities of
+the context that is one byte shorter, without the symbols that have an entry, so each context's
+probabilities sum to 1.
+
+Windows are dealt by the last LOCAL bytes of their contexts, so a partition holds all that contexts
+of this length and longer need; shorter ones have few different entries, which all tasks get. The
+most frequent windows are broadcast with their scores, and the others meet theirs in a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ from pyspark.sql import functions as F
 from tallyworks.llm.common import checkpointed, pieces, python_batches, remainder_of, table
 
 ORDER = 6
-#: An entry of the trie, or a word that is broadcast with its count, is at least this part of all.
+#: Windows are dealt by this many bytes; entries of shorter contexts, 2**24 at most, go to all tasks.
+LOCAL = 3
+#: The most windows that are broadcast with their scores, and steps of a count's doubling to find them by.
+FREQUENT, STEPS = 2**20, 8
+#: A word that is broadcast with its count is at least this part of all.
 SHARE = 2.0**-20
 #: Words with fewer training tokens than this are looked up by a shuffle even in small inputs.
 LEAST_HEAVY = 16
@@ -30,7 +38,7 @@ LEAST_HEAVY = 16
 DISCOUNT = 0.5
 PIECE = 1_000_000
 #: Rows that a task holds before it sums them or deals them out, and words whose hashes it remembers.
-HELD, REMEMBERED = 2_000_000, 500_000
+HELD, REMEMBERED = 1_000_000, 500_000
 #: Buckets for each of Spark's shuffle partitions.
 BUCKETS = 4
 #: Texts of one remainder of crc32 are held out.
@@ -78,10 +86,22 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return out[whole[: len(out)]], lengths - ORDER
 
 
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs that begin there."""
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
 def tally(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    found, back = np.unique(keys, return_inverse=True)
-    out = np.empty(len(found), COUNT)
-    out["key"], out["n"] = found, np.bincount(back, n, len(found)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = firsts(keys)
+    out = np.empty(len(first), COUNT)
+    out["key"], out["n"] = keys[first], sums(n[order], first)
     return out
 
 
@@ -109,32 +129,51 @@ class Tallies:
         return out
 
 
-def dealt(rows: np.ndarray, key: str, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """rows by bucket of their key, as bytes."""
-    bucket = (rows[key] * U(0x9E3779B97F4A7C15) >> U(32)) % U(buckets)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * U(0x9E3779B97F4A7C15) >> U(32)) % U(buckets)).astype(np.int64)
+
+
+def local(keys: np.ndarray) -> np.ndarray:
+    """The last bytes of windows' contexts, by which windows are dealt."""
+    return keys >> U(8) & U((1 << 8 * LOCAL) - 1)
+
+
+def dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """rows by their bucket, as bytes."""
     rows = rows[np.argsort(bucket, kind="stable")]
-    ends = np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))
+    ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
     for b in np.flatnonzero(np.diff(ends)):
         yield int(b), rows[ends[b] : ends[b + 1]].tobytes()
 
 
-WINDOW, WORD, TYPES, TOKENS = range(4)
+WINDOW, WORD, TYPES, TOKENS, SHORT, LEVEL, SCORE = range(7)
 
 
 def training_counts(buckets: int):
-    """A function over batches of (doc_id, text) that gives the counts of windows and words of training texts by bucket."""
+    """A function over batches of (doc_id, text) that gives the counts of windows and words of training texts by bucket.
+
+    Windows of other texts are there too, with a count of 0 if no training text has them.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         held = {WINDOW: Tallies(), WORD: Tallies()}
 
         def out(kind: int) -> pa.RecordBatch:
-            parts = list(dealt(held[kind].clear(), "key", buckets))
+            rows = held[kind].clear()
+            parts = list(dealt(rows, bucket_of(local(rows["key"]) if kind == WINDOW else rows["key"], buckets), buckets))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "kind": pa.array([kind] * len(parts), pa.int32()), "packed": pa.array([x for _, x in parts], pa.binary())})
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            train = [t for i, t in zip(ids, batch.column(1).to_pylist(), strict=True) if remainder_of(i, DIVISOR) != HELD_OUT]
+            train, other = [], []
+            for i, t in zip(ids, batch.column(1).to_pylist(), strict=True):
+                (other if remainder_of(i, DIVISOR) == HELD_OUT else train).append(t)
+            for texts in pieces(other, PIECE):
+                keys = np.unique(windows([words_of(t) for t in texts])[0])
+                held[WINDOW].add(np.rec.fromarrays([keys.astype(np.uint64), np.zeros(len(keys), np.int64)], COUNT))
+                if held[WINDOW].summed > HELD:
+                    yield out(WINDOW)
             for texts in pieces(train, PIECE):
                 words = [words_of(t) for t in texts]
                 found, _ = windows(words)
@@ -152,21 +191,40 @@ def training_counts(buckets: int):
     return counts
 
 
+SUMMED = "kind int, key long, n long, packed binary"
+
+
+def count_level(n: np.ndarray) -> np.ndarray:
+    """A number that is higher for larger counts, for fewer numbers than counts; 0 and 1 have the least."""
+    return np.floor(STEPS * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
 def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, key, n: all windows, the more frequent words, and how many different words and tokens the partition has."""
-    sums = {WINDOW: Tallies(), WORD: Tallies()}
+    """kind, key, n, packed: all windows (packed), the partition's counts of those without the first bytes, how many of
+    them have a level of counts, the more frequent words, and how many different words and tokens the partition has."""
+    tallies = {WINDOW: Tallies(), WORD: Tallies()}
+
+    def rows_of(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 100_000):
+            some = keys[at : at + 100_000].astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(some), pa.int32()), "key": pa.array(some), "n": pa.array(n[at : at + 100_000].astype(np.int64)), "packed": pa.nulls(len(some), pa.binary())})
+
     for batch in batches:
         for kind, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[kind].add(np.frombuffer(packed, COUNT))
-    for kind, tallies in sums.items():
-        rows = tallies.clear()
-        if kind == WORD:
-            extra = {TYPES: len(rows), TOKENS: int(rows["n"].sum())}
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(list(extra), pa.int32()), "key": pa.array([0] * len(extra), pa.int64()), "n": pa.array(list(extra.values()), pa.int64())})
-            rows = rows[rows["n"] >= LEAST_HEAVY]
-        for at in range(0, len(rows), 100_000):
-            some = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(some), pa.int32()), "key": pa.array(some["key"].copy().view(np.int64)), "n": pa.array(some["n"].copy())})
+            tallies[kind].add(np.frombuffer(packed, COUNT))
+    words = tallies.pop(WORD).clear()
+    yield from rows_of(TYPES, np.zeros(1), np.array([len(words)]))
+    yield from rows_of(TOKENS, np.zeros(1), np.array([words["n"].sum()]))
+    words = words[words["n"] >= LEAST_HEAVY]
+    yield from rows_of(WORD, words["key"].view(np.int64) if len(words) else np.zeros(0), words["n"])
+    found = tallies.pop(WINDOW).clear()
+    for at in range(0, len(found), 500_000):
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([WINDOW], pa.int32()), "key": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "packed": pa.array([found[at : at + 500_000].tobytes()], pa.binary())})
+    found = found[found["n"] > 0]
+    short = tally(found["key"] & U((1 << 8 * LOCAL) - 1), found["n"])
+    yield from rows_of(SHORT, short["key"], short["n"])
+    levels, n = np.unique(count_level(found["n"]), return_counts=True)
+    yield from rows_of(LEVEL, levels, n)
 
 
 def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +236,11 @@ def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Trie:
     """Contexts of each order with their entries' probabilities and weights of escape, as decimal logarithms."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """levels: for orders 0, 1, ...: keys (context and symbol) of the entries, their counts, their contexts' totals."""
-        self.levels = []
-        lower: tuple[np.ndarray, np.ndarray] | None = None
-        for order, (keys, n, total) in enumerate(levels):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shorter: Trie | None = None):
+        """levels: for orders 0, 1, ..., or those after a trie of shorter contexts: keys (context and symbol) of the entries, their counts, their contexts' totals."""
+        self.levels = list(shorter.levels) if shorter else []
+        lower = (self.levels[-1][0], 10 ** self.levels[-1][1]) if shorter else None
+        for order, (keys, n, total) in enumerate(levels, len(self.levels)):
             by_key = np.argsort(keys)
             keys, n, total = keys[by_key], n[by_key], total[by_key]
             contexts, first, back = np.unique(keys >> 8, return_index=True, return_inverse=True)
@@ -216,37 +274,106 @@ class Trie:
         return np.add.reduceat(each, np.append(0, np.cumsum(lengths)[:-1])) if len(texts) else np.zeros(0)
 
 
-def levels_of(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """What Trie takes, from key and n of all windows of ORDER + 1 bytes."""
-    least = (counts.agg(F.sum("n")).first()[0] or 0) * SHARE
+def levels_of(keys: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What Trie takes for these orders, from all windows that occur, or those of the contexts that it is for."""
     out = []
-    for order in range(ORDER, -1, -1):
-        if order < ORDER:
-            counts = checkpointed(counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-        entries = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") >= least, F.struct("key", "n"))).alias("own"))
-        kept = entries.select("total", F.inline("own")).toArrow()
-        out.append(tuple(kept[c].to_numpy() for c in ("key", "n", "total")))
-    return out[::-1]
+    for order in orders:
+        entries = tally(keys & U((1 << 8 * (order + 1)) - 1), n)
+        first = firsts(entries["key"] >> U(8))
+        total = np.repeat(sums(entries["n"], first), np.diff(np.append(first, len(entries))))
+        out.append((entries["key"].astype(np.int64), entries["n"], total))
+    return out
+
+
+def packed_windows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([np.empty(0, COUNT), *(np.frombuffer(x, COUNT) for batch in batches for x in batch.column(0).to_pylist())])
+
+
+def frequent_windows(least: int):
+    """A function over a partition's packed windows that gives the key and score of those whose level of counts is at least this."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_windows(batches)
+        [(keys, n, total)] = levels_of(*(lambda own: (own["key"], own["n"]))(found[found["n"] > 0]), range(ORDER, ORDER + 1))
+        some = count_level(n) >= least
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[some]), "score": pa.array(np.log10((n[some] - DISCOUNT) / total[some]))})
+
+    return frequent
+
+
+SCORES = np.dtype([("key", "<u8"), ("score", "<f8")])
+
 
+def other_windows(shorter, least: int, buckets: int):
+    """A function over a partition's packed windows that gives those that aren't frequent, with their scores, by bucket."""
 
-SCORED = "bucket int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_windows(batches)
+        own = found[found["n"] > 0]
+        trie = Trie(levels_of(own["key"], own["n"], range(LOCAL, ORDER + 1)), shorter.value)
+        found = found[(found["n"] == 0) | (count_level(found["n"]) < least)]
+        for at in range(0, len(found), HELD // 2):
+            keys = found["key"][at : at + HELD // 2]
+            rows = np.empty(len(keys), SCORES)
+            rows["key"], rows["score"] = keys, trie.scores(keys.astype(np.int64))
+            parts = list(dealt(rows, bucket_of(keys, buckets), buckets))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "kind": pa.array([SCORE] * len(parts), pa.int32()), "packed": pa.array([x for _, x in parts], pa.binary())})
+
+    return other
+
+
+SCORED = "bucket int, kind int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+WINDOW_USE = np.dtype([("key", "<u8"), ("row", "<u4")])
+
+
+def split_windows(found: np.ndarray, text: np.ndarray, texts: int, common: np.ndarray, common_score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What common windows add to each text's score, and the uses of others."""
+    order = np.argsort(found, kind="stable")
+    found, text = found[order], text[order]
+    first = firsts(found)
+    at, known = place(common, found[first])
+    times = np.diff(np.append(first, len(found)))
+    frequent = np.repeat(known, times)
+    added = np.bincount(text[frequent], np.repeat(common_score[at[known]], times[known]), texts)
+    rare = np.empty(int((~frequent).sum()), WINDOW_USE)
+    rare["key"], rare["row"] = found[~frequent], text[~frequent]
+    return added, rare
+
+
+def packed_uses(low: int, rows: np.ndarray) -> bytes:
+    """A task's uses of windows: its first row, how many windows, the different keys, how often each is there, and the rows after the first."""
+    first = firsts(rows["key"])
+    times = np.diff(np.append(first, len(rows))).astype(np.uint32)
+    return np.array([low, len(first)], np.int64).tobytes() + rows["key"][first].tobytes() + times.tobytes() + rows["row"].tobytes()
+
+
+def unpacked_uses(packed: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    low, n = np.frombuffer(packed, np.int64, 2).tolist()
+    return low, np.frombuffer(packed, np.uint64, n, 16), np.frombuffer(packed, np.uint32, n, 16 + 8 * n), np.frombuffer(packed, np.uint32, offset=16 + 12 * n)
 
 
 def scored_texts(shared, buckets: int):
-    """A function over batches of (doc_id, text) that gives each text's score and what frequent words give, and the uses of other words by bucket."""
+    """A function over batches of (doc_id, text) that gives what frequent windows and words add to each text's scores, and the uses of others by bucket."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, heavy, heavy_n = shared.value
-        trie, logs = Trie(levels), np.log10(heavy_n + 0.1)
+        common, common_score, heavy, heavy_n = shared.value
+        logs = np.log10(heavy_n + 0.1)
         hashes = _Hashes()
-        kinds = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        row = TaskContext.get().partitionId() << 33
-        held: list[np.ndarray] = []
-
-        def uses() -> pa.RecordBatch:
-            parts = list(dealt(np.concatenate(held), "word", buckets))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary()), *(pa.nulls(len(parts), f.type) for f in list(kinds)[2:])], schema=kinds)
+        kinds = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        low = row = TaskContext.get().partitionId() << 33
+        held: dict[int, list[np.ndarray]] = {WORD: [], WINDOW: []}
+
+        def uses(kind: int) -> pa.RecordBatch:
+            rows = np.concatenate(held[kind])
+            held[kind].clear()
+            if kind == WORD:
+                parts = list(dealt(rows, bucket_of(rows["word"], buckets), buckets))
+            else:
+                rows = rows[np.argsort(rows["key"])]
+                parts = [(b, packed_uses(low, np.frombuffer(x, WINDOW_USE))) for b, x in dealt(rows, bucket_of(rows["key"], buckets), buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary()), *(pa.nulls(len(parts), f.type) for f in list(kinds)[3:])], schema=kinds)
 
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
@@ -262,47 +389,80 @@ def scored_texts(shared, buckets: int):
                 base = np.bincount(text[frequent], logs[at[frequent]] if len(heavy) else None, len(texts))
                 rare = np.empty((~frequent).sum(), USE)
                 rare["word"], rare["row"], rare["n"], rare["train"] = tokens[~frequent], row + text[~frequent], 1, ~out_of[text[~frequent]]
-                held.append(rare)
+                held[WORD].append(rare)
+                found, lengths = windows(words)
+                known_score, rare = split_windows(found, np.repeat(np.arange(len(texts)), lengths), len(texts), common, common_score)
+                rare["row"] += np.uint32(row - low)
+                held[WINDOW].append(rare)
                 rows = np.arange(row, row + len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array((rows % buckets).astype(np.int32)), pa.nulls(len(rows), pa.binary()), pa.array(rows), pa.array(own, pa.int64()), pa.array(out_of), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(trie.text_scores(words))], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array((rows % buckets).astype(np.int32)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array(rows), pa.array(own, pa.int64()), pa.array(out_of), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(known_score)], schema=kinds)
                 row += len(texts)
-                if sum(map(len, held)) > HELD // 2:
-                    yield uses()
-        if held:
-            yield uses()
+                for kind, parts in held.items():
+                    if sum(map(len, parts)) > HELD:
+                        yield uses(kind)
+        yield from (uses(kind) for kind, parts in held.items() if parts)
 
     return score
 
 
 WHOLE = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-PARTS = f"bucket int, packed binary, row long, {WHOLE}"
-PART = np.dtype([("row", "<i8"), ("n_known", "<i8"), ("base", "<f8")])
+PARTS = f"bucket int, kind int, packed binary, row long, {WHOLE}"
+PART = np.dtype([("row", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
 def counted_uses(buckets: int):
-    """A function over batches of scored_texts that gives the texts' rows as they come, and by bucket of texts what the partition's words add to them."""
+    """A function over batches of scored_texts and other_windows that gives the texts' rows as they come, and by bucket of texts what the partition's words and windows add to them."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        kinds = None
-        for batch in batches:
-            yield batch.filter(pc.is_valid(batch.column("row")))
-            kinds = batch.schema
-            parts += [np.frombuffer(x, USE) for x in batch.column("packed").to_pylist() if x is not None]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
+    def of_words(rows: np.ndarray) -> np.ndarray:
         words, back = np.unique(rows["word"], return_inverse=True)
         c = np.bincount(back, rows["n"] * rows["train"], len(words))
         texts, at = np.unique(rows["row"], return_inverse=True)
-        out = np.empty(len(texts), PART)
+        out = np.zeros(len(texts), PART)
         out["row"] = texts
         out["n_known"] = np.bincount(at, rows["n"] * (c > 0)[back], len(texts))
         out["base"] = np.bincount(at, rows["n"] * np.log10(c + 0.1)[back], len(texts))
-        out = out[np.argsort(out["row"] % buckets, kind="stable")]
-        ends = np.append(0, np.cumsum(np.bincount(out["row"] % buckets, minlength=buckets)))
-        full = np.flatnonzero(np.diff(ends))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([out[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()), *(pa.nulls(len(full), f.type) for f in list(kinds)[2:])], schema=kinds)
+        return out
+
+    def of_windows(packed: bytes, scores: dict[str, np.ndarray]) -> np.ndarray:
+        low, keys, times, rows = unpacked_uses(packed)
+        at, known = place(scores["key"], keys)
+        if not known.all():
+            raise ValueError("a window without a score")
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = firsts(rows)
+        out = np.zeros(len(first), PART)
+        out["row"], out["score"] = low + rows[first].astype(np.int64), sums(np.repeat(scores["score"][at], times)[order], first)
+        return out
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {WORD: [], WINDOW: [], SCORE: []}
+        kinds = None
+        for batch in batches:
+            yield batch.filter(pc.is_valid(batch.column("row")))
+            kinds = batch.schema
+            for kind, packed in zip(batch.column("kind").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if packed is not None:
+                    held[kind].append(packed)
+
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(parts)
+            full = list(dealt(rows, rows["row"] % buckets, buckets))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in full], pa.int32()), pa.nulls(len(full), pa.int32()), pa.array([x for _, x in full], pa.binary()), *(pa.nulls(len(full), f.type) for f in list(kinds)[3:])], schema=kinds)
+
+        if held[WORD]:
+            yield out([of_words(np.concatenate([np.frombuffer(x, USE) for x in held.pop(WORD)]))])
+        scores = np.concatenate([np.empty(0, SCORES), *(np.frombuffer(x, SCORES) for x in held.pop(SCORE))])
+        scores = scores[np.argsort(scores["key"])]
+        scores = {name: np.ascontiguousarray(scores[name]) for name in ("key", "score")}
+        parts: list[np.ndarray] = []
+        for packed in held.pop(WINDOW):
+            parts.append(of_windows(packed, scores))
+            if sum(map(len, parts)) > HELD:
+                yield out(parts)
+                parts = []
+        if parts:
+            yield out(parts)
 
     return counted
 
@@ -321,7 +481,8 @@ def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = rows["n_known"].to_numpy() + np.bincount(at, added["n_known"], len(rows)).astype(np.int64)
     base = rows["base"].to_numpy() + np.bincount(at, added["base"], len(rows))
     names = [x.split()[0] for x in WHOLE.split(", ")]
-    found = {n: rows[n] for n in names} | {"n_known": pa.array(known), "base": pa.array(base)}
+    score = rows["score"].to_numpy() + np.bincount(at, added["score"], len(rows))
+    found = {n: rows[n] for n in names} | {"n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score)}
     yield from pa.table(found).to_batches(max_chunksize=100_000)
 
 
@@ -340,15 +501,22 @@ def scored(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = own.mapInArrow(training_counts(buckets), "bucket int, kind int, packed binary")
-    counts = checkpointed(gathered.repartition("bucket").select("kind", "packed").mapInArrow(summed_counts, "kind int, key long, n long"))
+    counts = checkpointed(gathered.repartition("bucket").select("kind", "packed").mapInArrow(summed_counts, SUMMED))
     sums = {r.kind: r.n for r in counts.filter(F.col("kind").isin(TYPES, TOKENS)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     types, tokens = sums.get(TYPES, 0), sums.get(TOKENS, 0)
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") >= tokens * SHARE)).select("key", "n").toArrow()
     heavy, heavy_n = frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     order = np.argsort(heavy)
-    levels = levels_of(counts.filter(F.col("kind") == WINDOW).select("key", "n"))
-    shared = spark.sparkContext.broadcast((levels, heavy[order], heavy_n[order]))
-    dealt_out = own.mapInArrow(scored_texts(shared, buckets), SCORED).repartition("bucket")
+    at_level = counts.filter(F.col("kind") == LEVEL).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("key")).collect()
+    numbers = np.cumsum([r.n for r in at_level])
+    least = min((r.key for r, n in zip(at_level, numbers, strict=True) if n <= FREQUENT), default=1 << 30)
+    all_windows = counts.filter(F.col("kind") == WINDOW).select("packed")
+    common = all_windows.mapInArrow(frequent_windows(least), "key long, score double").toArrow().sort_by("key")
+    short = counts.filter(F.col("kind") == SHORT).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    trie = Trie(levels_of(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), range(LOCAL)))
+    shared = spark.sparkContext.broadcast((common["key"].to_numpy(), common["score"].to_numpy(), heavy[order], heavy_n[order]))
+    others = all_windows.mapInArrow(other_windows(spark.sparkContext.broadcast(trie), least, buckets), "bucket int, kind int, packed binary")
+    dealt_out = own.mapInArrow(scored_texts(shared, buckets), SCORED).unionByName(others, allowMissingColumns=True).repartition("bucket")
     summed = dealt_out.mapInArrow(counted_uses(buckets), PARTS).repartition("bucket").mapInArrow(added_up, WHOLE)
     each = float(np.log10(tokens + 0.1 * (types + 1)))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")

@@ -81,3 +81,17 @@ def test_windows_of_texts_do_not_mix():
     both, lengths = ppm.windows([[b"ab"], [], [b"c"]])
     assert lengths.tolist() == [3, 1, 2]
     assert both.tolist() == [*ppm.windows([[b"ab"]])[0], *ppm.windows([[]])[0], *ppm.windows([[b"c"]])[0]]
+
+
+def test_rare_windows_count_as_in_the_whole_trie(spark, monkeypatch):
+    """Scores are those of a trie with every window of the training texts, however few windows are broadcast."""
+    draw = np.random.default_rng(7)
+    common = "the cat sat on the mat and the dog ran to the cat " * 300
+    rare = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz é"), 60)) for _ in range(40)]
+    rows = [(i, common) for i in range(100, 200)] + [(i, text) for i, text in enumerate(rare)] + [(i, text[::-1] + text) for i, text in zip(range(200, 240), rare, strict=True)]
+    whole = trie([t for i, t in rows if not held_out(i)])
+    wanted = dict(zip([i for i, _ in rows], whole.text_scores([ppm.words_of(t) for _, t in rows]), strict=True))
+    for most in (0, 50, 2**20):
+        monkeypatch.setattr(ppm, "FREQUENT", most, raising=False)
+        found = ppm.scored(documents(spark, rows)).collect()
+        assert len(found) == len(rows) and {r.doc_id: r.score for r in found} == pytest.approx(wanted, rel=1e-9)
