@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworks.llm.common import checkpointed, pieces, python_batches, table
@@ -427,14 +427,8 @@ def class_links(docs: DataFrame, total: int, codes: np.ndarray) -> DataFrame | N
     return links.unionByName(passing(texts, rest, whole, similar))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), one row for each row of docs.
-
-    A null or empty text, or one of white space only, has no shingles and links with nothing: it is
-    its own component. Rows that share a doc_id are one document with several sets. A null doc_id
-    gives a row with a null component unless the text links. Texts are compared whole, however long;
-    no documents give no rows; other columns aren't read. Shingles and sets stand as 64-bit hashes.
-    """
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and cls of each row of docs, and component and least (its smallest doc_id) of each class."""
     python_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = checkpointed(own.mapInArrow(sizes_and_sketch, SIZES))
@@ -444,21 +438,51 @@ def grouped(docs: DataFrame) -> DataFrame:
     slices = first.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
     for row in slices.mapInArrow(sum_slices, "slice int, codes binary").collect():
         codes[row["slice"]] = np.frombuffer(row["codes"], np.uint8)
-    classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("cls"))
     links = class_links(own, total, codes.ravel())
     if links is not None:
         labels = components(links).select(F.col("node").alias("cls"), "component")
-        labelled = checkpointed(classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-        classes = labelled.join(labelled.groupBy("component").agg(F.min("least").alias("all")), "component").select("cls", F.col("all").alias("least"))
+        labelled = checkpointed(classes.drop("component").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+        classes = labelled.drop("least").join(labelled.groupBy("component").agg(F.min("least").alias("least")), "component")
+    return members, classes
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), one row for each row of docs.
+
+    A null or empty text, or one of white space only, has no shingles and links with nothing: it is
+    its own component. Rows that share a doc_id are one document with several sets. A null doc_id
+    gives a row with a null component unless the text links. Texts are compared whole, however long;
+    no documents give no rows; other columns aren't read. Shingles and sets stand as 64-bit hashes.
+    """
+    members, classes = linked(docs)
     found = members.filter("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return found.unionByName(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def classes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The class of each text; null without words."""
+    shingles_of = Shingler()
+    for batch in batches:
+        yield pa.array([class_of(own) if len(own) else None for own in sets_of(shingles_of, batch.to_pylist())], pa.int64())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the first of its component."""
-    kept = grouped(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select("row.*")
+    """The rows of docs that are the first of their component, and all rows without shingles.
+
+    First is the row with the smallest doc_id, a null last; of rows alike in this the one with the
+    smallest class, and of rows alike in both any one.
+    """
+    members, classes = linked(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "cls")
+    rows = members.filter("n > 0").join(classes.select("cls", "component"), "cls")
+    kept = rows.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.cls").alias("_cls"), F.col("best.no_id").alias("_no_id"), F.col("best.id").alias("_id"))
+    own_class = F.arrow_udf(classes_of, "long")(F.col("text"))
+    own = docs.select(F.struct("*").alias("row"), own_class.alias("cls"), F.col("doc_id").cast("long").alias("id"))
+    found = own.filter("cls is not null").join(kept, (F.col("cls") == F.col("_cls")) & (F.col("id").isNull() == F.col("_no_id")) & (F.coalesce("id", F.lit(0)) == F.col("_id")))
+    first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
+    one = found.withColumn("place", first).filter("place = 1").select("row.*")
+    return one.unionByName(own.filter("cls is null").select("row.*"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,18 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9] and kept.columns == docs.columns
 
 
+def test_rows_without_ids_and_with_shared_ids_stay_or_go_one_by_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    alone = [f"a text {i} that is like no other one of row {i}" for i in range(3)]
+    rows = [(None, alone[0]), (None, alone[1]), (None, None), (None, ""), (5, text), (5, text + " x"), (None, text + " y"), (6, text + " z"), (6, alone[2]), (7, "b c"), (7, "b c")]
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(documents(spark, rows)).collect()]
+    linked = [r for r in kept if r[1] and r[1].startswith(text)]
+    assert len(linked) == 1 and linked[0][0] == 5
+    assert sorted(map(str, (r for r in kept if r not in linked))) == sorted(map(str, [(None, alone[0]), (None, alone[1]), (None, None), (None, ""), (6, alone[2]), (7, "b c")]))
+    copies = near_dedup.keep_one(documents(spark, [(None, text), (None, text), (None, text + " x")])).collect()
+    assert len(copies) == 1
+
+
 def test_prefixes_share_what_they_must():
     """Of two sets that link, the parts of the prefixes that the pair needs share enough tokens, whatever the matches."""
     draw = np.random.default_rng(3)
