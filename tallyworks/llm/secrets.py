@@ -19,10 +19,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_LITERAL = 8
 
-#: A name (maybe quoted), an operator of assignment, and a literal or a name. A name starts where no
-#: other could have, and gives nothing back, so that long texts take time in proportion to them.
+#: A declared type, maybe with arguments or a union. Single colons aren't part of it: after each the next one starts anew.
+_INNER = r"""(?:[^<>\[\]:\n="';{}()]|::)*+"""
+_TYPE = rf"""(?:[&*][ \t]*+)?(?:'[a-z]+[ \t]++)?(?:(?:mut|const|dyn)[ \t]++)?[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z0-9_]++)*+(?:<{_INNER}(?:<{_INNER}>{_INNER})*+>|\[{_INNER}(?:\[{_INNER}\]{_INNER})*+\])*+[?!*]?"""
+TYPE = rf"{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+"
+#: A name (maybe quoted, maybe with a type), an operator of assignment, and a literal or a name. A name starts where
+#: no other could have, and gives nothing back, so that long texts take time in proportion to them.
 STATEMENT = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+"""
+    rf"""(?<![A-Za-z0-9_.-])(?P<go>(?:var|const)[ \t]++)?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?(?:[ \t]*+\??:[ \t]*+{TYPE}(?=[ \t]*+=(?![=>]))|(?(go)[ \t]++{TYPE}(?=[ \t]*+=(?![=>]))|(?!)))?"""
+    r"""[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+"""
     r"""(?P<value>"[^"\n]*"|'[^'\n]*'|[^\s,;"'(){}\[\]<>]++)"""
 )
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
@@ -32,7 +37,12 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9,
     "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "authkey": 1.0, "bearer": 0.8, "auth": 0.6, "pin": 0.5,
 }
-PLACEHOLDER = re.compile(r"^(?:\$\{.*|<.*|%.*%|x+|\*+|\.+|(?:your|my|the|some|test|dummy|example|sample|change)[-_ ]?.*|none|null|true|false|todo)$", re.IGNORECASE)
+#: Stand-ins: the words that begin them are followed by a separator, or by one of the words for a secret.
+PLACEHOLDER = re.compile(
+    r"^(?:\$\{.*|<.*|%.*%|x+|\*+|\.+|(?:your|my|the|some|test|dummy|example|sample|change)(?:[-_].*|(?:password|passwd|passphrase|pass|secret|token|api[-_]?key|key|value)?[0-9]*)"
+    r"|change[-_ ]?(?:me|this|it)[-_!.0-9]*|your .*|none|null|true|false|todo)$",
+    re.IGNORECASE,
+)
 THRESHOLD = 0.5
 
 
@@ -43,12 +53,17 @@ def sensitivity(name: str) -> float:
 
 
 def strength(literal: str) -> float:
-    """0 to 1: how much a literal looks like a secret rather than a word, a name or a stand-in."""
-    if len(literal) < LEAST_LITERAL or any(c.isspace() for c in literal) or PLACEHOLDER.match(literal):
+    """0 to 1: how much a literal looks like a secret rather than a stand-in, or a sentence about secrets.
+
+    Words and pass phrases reach the threshold with fully sensitive names only.
+    """
+    if len(literal) < LEAST_LITERAL or PLACEHOLDER.match(literal):
         return 0.0
+    different = len(set(literal))
+    if any(c.isspace() for c in literal):
+        return 0.0 if sensitivity(literal) else min(1.0, different / 6) * 0.6
     kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit))
-    varied = min(1.0, len(set(literal)) / 8)
-    return varied * (1.0 if kinds >= 2 else 0.6 if any(not c.isalnum() for c in literal) else 0.3)
+    return min(1.0, different / 8) if kinds >= 2 else min(1.0, different / 6) * 0.6
 
 
 def assigned(text: str) -> list[tuple[int, int, float]]:

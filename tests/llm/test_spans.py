@@ -129,3 +129,38 @@ def test_literals_of_sensitive_names(text, literal):
         literal = None  # a stand-in
     found = [text[a:b] for a, b, _ in secrets.assigned(text)]
     assert found == ([literal] if literal else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        ('apiToken: string = "aB3dE5fG7h"', "aB3dE5fG7h"),
+        ('db_passphrase: str = "Tr0ub4dor&3xyz"', "Tr0ub4dor&3xyz"),
+        ("auth_token: Optional[str] = 'zz81LmQx0p'", "zz81LmQx0p"),
+        ('let secret_key: &\'static str = "a8Fk2LmQ9z";', "a8Fk2LmQ9z"),
+        ('clientSecret?: string | null = "a8Fk2LmQ9z"', "a8Fk2LmQ9z"),
+        ('var apiToken string = "a8Fk2LmQ9z"', "a8Fk2LmQ9z"),
+        ("apiToken: string = KEY", None),
+        ('colour: string = "a8Fk2LmQ9z"', None),
+        ('db_pwd = "myS3cr3tP4ss!"', "myS3cr3tP4ss!"),
+        ('secretKey = "TheX9k2LmQ0p"', "TheX9k2LmQ0p"),
+        ('credentials = "testK8s7Jq2"', "testK8s7Jq2"),
+        ('db_pwd = "my_secret_pass1"', None),
+        ('db_pwd = "testpassword123"', None),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ('passphrase = "the quick brown fox"', "the quick brown fox"),
+        ('password_text = "Enter your password"', None),
+        ('db_pwd = "correcthorsebattery"', "correcthorsebattery"),
+        ('DB_PASSPHRASE = "BATTERYSTAPLE"', "BATTERYSTAPLE"),
+        ('bearer = "correcthorsebattery"', None),
+    ],
+)
+def test_typed_names_phrases_and_stand_ins(text, literal):
+    assert [text[a:b] for a, b, _ in secrets.assigned(text)] == ([literal] if literal else [])
+
+
+@pytest.mark.parametrize("text", ["a:b<a:b<" * 40_000, "a:b|b" * 50_000, "a: b<c<d>c" * 30_000, "const " * 50_000, "a:b[b::b" * 40_000, "a" + ":b|" * 90_000, "a: b" + "|b" * 100_000])
+def test_types_take_little_time(text):
+    began = time.time()
+    secrets.spans_of(text)
+    assert time.time() - began < 20
