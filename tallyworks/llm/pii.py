@@ -35,6 +35,8 @@ SHORTEST = {"email": 5, "ip": 7, "card": 12, "phone": 9}
 #: Other spellings that the generators propose; by kind.
 PROPOSED = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+A-Za-z])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z])",
 }
 AROUND = 24
@@ -116,6 +118,7 @@ def features(kind: Column, found: Column, before: Column, after: Column) -> Colu
     """Numbers that describe a span's format and what stands around it."""
     number = digits(found)
     n = F.char_length(number)
+    plain = F.regexp_replace(found, r"\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?", ".")
 
     def times(pattern: str) -> Column:
         return F.regexp_count(found, F.lit(pattern)).cast("double")
@@ -132,7 +135,7 @@ def features(kind: Column, found: Column, before: Column, after: Column) -> Colu
         times(r"[\x20().-]"),
         times("[0-9]+"),
         flag(F.when(n.between(12, 19), luhn(number))),
-        flag(F.when(found.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), small_parts(found))),
+        flag(F.when(plain.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), small_parts(plain))),
         flag(found.rlike(r"@|\(at\)|\[at\]|\x20at\x20")),
         flag(before.rlike(r"[A-Za-z0-9_=/-]$")),
         flag(after.rlike(r"^[A-Za-z0-9_=/-]")),
@@ -174,20 +177,17 @@ class Trees:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def unaccepted(span: Column) -> Column:
-    """A span that counts as none of the base's."""
-    return F.struct(span["start"].alias("start"), F.lit(-1).alias("rank"), *[span[c].alias(c) for c in ("end", "kind", "found")])
-
-
 def examples(docs: DataFrame, most: int) -> DataFrame:
-    """kind, label, x, draw: accepted spans, their other spellings and spoilt forms, and rejected spans of about `most` texts.
+    """kind, label, x, draw: accepted spans, their other spellings and spoilt forms, and rejected spans of the base, of about `most` texts.
+
+    Candidates in other spellings are no counterexamples: they are what the trees are to accept.
 
     The texts are those whose hash is in the part that most is of all, so only they are searched.
     """
     part = min(1.0, most / max(docs.count(), 1))
     drawn = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30)))
-    spans = drawn.select("text", F.concat(matched(F.col("text"), BASE), F.transform(matched(F.col("text"), PROPOSED), unaccepted)).alias("spans")).filter(F.size("spans") > 0)
-    rows = spans.select(F.inline(described(F.col("text"), F.col("spans")))).withColumn("ok", (F.col("rank") >= 0) & valid(F.struct("kind", "found")))
+    spans = drawn.select("text", matched(F.col("text"), BASE).alias("spans")).filter(F.size("spans") > 0)
+    rows = spans.select(F.inline(described(F.col("text"), F.col("spans")))).withColumn("ok", valid(F.struct("kind", "found")))
     sample = rows.withColumn("draw", F.xxhash64("found", "before", "after"))
     found, number = F.col("found"), digits(F.col("found"))
     respelt = F.array_compact(
@@ -196,6 +196,8 @@ def examples(docs: DataFrame, most: int) -> DataFrame:
             F.when(F.col("kind") == "phone", F.regexp_replace(found, r"^\+[0-9]{1,2}[\x20.-]?", "")),
             F.when(F.col("kind") == "phone", F.regexp_replace(F.regexp_replace(found, r"^\+[0-9]{1,2}[\x20.-]?", ""), r"[().\x20-]+", "-")),
             F.when(F.col("kind") == "card", F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1 ")),
+            F.when(F.col("kind") == "card", F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1.")),
+            F.when(F.col("kind") == "ip", F.regexp_replace(found, r"\.", "[.]")),
             F.when(F.col("kind") == "email", F.regexp_replace(F.regexp_replace(found, "@", " at "), r"\.", " dot ")),
             F.when(F.col("kind") == "email", F.regexp_replace(found, "@", "[at]")),
         )

@@ -105,6 +105,19 @@ def test_personal_data_in_other_spellings(spark):
     assert found[n + 2] == found[n + 3] == []
 
 
+def test_candidates_in_other_spellings_are_no_counterexamples(spark):
+    texts = [f"please call +1 ({375 + i}) 555-{4000 + i} today" for i in range(100)]
+    rows = pii.examples(documents(spark, list(enumerate(texts))), 1000).filter("kind = 'phone'")
+    bare = rows.groupBy("x").agg({"label": "min", "*": "count"}).withColumnRenamed("min(label)", "least").withColumnRenamed("count(1)", "n")
+    assert {r.label for r in rows.filter("x[5] = 10").collect()} == {1.0} and bare.filter("x[5] = 10").count() > 0
+
+
+@pytest.mark.parametrize(("kind", "text", "found"), [("ip", "at 10[.]0[.]3[.]4 now", "10[.]0[.]3[.]4"), ("card", "card 4111.1111.1111.1111 it is", "4111.1111.1111.1111")])
+def test_generators_of_cards_and_addresses(spark, kind, text, found):
+    row = documents(spark, [(1, text)]).select(pii.matched(pii.F.col("text"), pii.PROPOSED).alias("spans")).first()
+    assert [s.found for s in row.spans if s.kind == kind] == [found]
+
+
 def test_plan_of_personal_data_has_no_python(spark):
     plan = pii.op8_pii(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
