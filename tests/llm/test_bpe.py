@@ -56,3 +56,11 @@ def test_odd_rows(spark):
     assert bpe.tokenised(emptied(spark)).count() == 0
     null = spark.createDataFrame([(None,), ([1, None],)], "ids array<int>").select(bpe.decoder(PATH)("ids").alias("t")).collect()
     assert [r.t for r in null] == ["", LIBRARY.decode([1])]
+
+
+def test_the_pipeline_decodes_what_it_encodes(spark):
+    import corpus_pipeline
+
+    texts = ["some words of a text", "", None]
+    rows = {r.doc_id: r for r in corpus_pipeline.tokens(spark, documents(spark, list(enumerate(texts))), "").collect()}
+    assert [rows[i].decoded_sha256 for i in range(3)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
