@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tallyworks.llm.common import table
 
-#: Queries that are broadcast at once: 64 components each make 8 MB.
-BLOCK = 16_384
-#: Segments of the levels, from coarse to fine.
-LEVELS = (4, 16)
-#: Queries and rows whose bounds are held in memory at once.
-QUERIES, ROWS = 512, 4096
+#: Queries of a block, and components of a block of rows: each is held by one task.
+BLOCK, COMPONENTS = 8_192, 2_000_000
+#: Rows that are worth a block of their own where there are fewer than Spark has tasks.
+SMALL = 2_048
+#: Segments of the levels, from coarse to fine; those with one component for each are the vectors themselves.
+LEVELS = (8, 16, 32, 48, 56)
+#: Queries and rows whose bounds are held in memory at once, and for each result rows that give a first threshold.
+QUERIES, ROWS, FAVOURED = 512, 4096, 4
 #: Pairs in which exact scores are computed at once, and the part of all pairs above which a whole matrix is.
 PAIRS, DENSE = 200_000, 0.2
 #: Sums of products below this are exact in doubles.
@@ -44,7 +44,7 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     width = np.diff(cuts)
     means = np.add.reduceat(vectors, cuts[:-1], axis=1) / width
     squares = np.add.reduceat((vectors - np.repeat(means, width, axis=1)) ** 2, cuts[:-1], axis=1)
-    return np.hstack([means * np.sqrt(width), np.sqrt(squares)])
+    return np.hstack([means * np.sqrt(width), np.sqrt(squares[:, width > 1])])
 
 
 def whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,19 +59,18 @@ class Searcher:
     """The k best rows seen so far for each query of a block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
-        self.ids, self.vectors, self.k, self.levels = ids, vectors, k, levels
-        self.bounds = [statistics(vectors, s) for s in levels]
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.levels = [s for s in levels if s < vectors.shape[1]] or [1]
+        self.bounds = [statistics(vectors, s) for s in self.levels]
         self.norms = np.linalg.norm(vectors, axis=1)
         self.best = np.zeros((0, 3), np.int64)  # query's place, score, vec_id: in that order, the best first
         self.least = np.full(len(ids), -np.inf)
+        self.verified = 0
 
     def keep(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Take these scores into account; of an id that a query meets again the best stays."""
+        """Take these scores into account."""
         rows = np.concatenate([self.best, np.column_stack([query, score, ids])])
         rows = rows[np.lexsort((rows[:, 2], ~rows[:, 1], rows[:, 0]))]  # ~x falls as x rises, and doesn't overflow
-        if len(rows) > 1:
-            _, first = np.unique(rows[:, [0, 2]], axis=0, return_index=True)
-            rows = rows[np.sort(first)]
         opens = np.flatnonzero(np.append(True, np.diff(rows[:, 0]) != 0)) if len(rows) else np.zeros(0, int)
         place = np.arange(len(rows)) - np.repeat(opens, np.diff(np.append(opens, len(rows))))
         self.best = rows[place < self.k]
@@ -79,6 +78,7 @@ class Searcher:
         self.least[last[:, 0]] = last[:, 1]
 
     def exact(self, query: np.ndarray, row: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.verified += len(query)
         for at in range(0, len(query), PAIRS):
             q, r = query[at : at + PAIRS], row[at : at + PAIRS]
             score = whole_products(self.vectors[q], vectors[r])
@@ -86,24 +86,26 @@ class Searcher:
             self.keep(q[better], score[better], ids[r[better]])
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Rows with different ids: bounds leave fewer and fewer pairs with a query, and exact scores decide among the rest."""
+        """Bounds from coarse to fine leave fewer and fewer pairs of a query and a row, and exact scores decide among the rest.
+
+        As long as a query has no threshold, the rows that the finest bounds favour give it one;
+        they are left out afterwards.
+        """
         bounds = [statistics(vectors, s) for s in self.levels]
         norms = np.linalg.norm(vectors, axis=1)
         for low in range(0, len(self.ids), QUERIES):
             block = np.arange(low, min(low + QUERIES, len(self.ids)))
             slack = 1 + 1e-9 * self.norms[block, None] * norms  # for rounding
-            own = self.ids[block, None] == ids
-            coarse = self.bounds[0][block] @ bounds[0].T + slack
-            coarse[own] = -np.inf
-            if np.isinf(self.least[block]).any():  # exact scores of the most promising rows give a first threshold
-                k = min(self.k + 1, len(ids))
-                top = np.argpartition(-coarse, k - 1, axis=1)[:, :k]
-                query, row = np.repeat(block, k), top.ravel()
-                other = ids[row] != self.ids[query]
-                self.exact(query[other], row[other], ids, vectors)
-            alive = coarse >= self.least[block, None]
-            alive &= ~own
-            for mine, theirs in zip(self.bounds[1:], bounds[1:], strict=True):
+            alive = self.ids[block, None] != ids
+            if np.isinf(self.least[block]).any():
+                k = min(FAVOURED * self.k, len(ids))
+                finest = np.where(alive, self.bounds[-1][block] @ bounds[-1].T, -np.inf)
+                top = np.argpartition(-finest, k - 1, axis=1)[:, :k]
+                query, row = np.repeat(np.arange(len(block)), k), top.ravel()
+                other = alive[query, row]
+                self.exact(block[query[other]], row[other], ids, vectors)
+                alive[query, row] = False
+            for mine, theirs in zip(self.bounds, bounds, strict=True):
                 if alive.mean() > DENSE:
                     alive &= mine[block] @ theirs.T + slack >= self.least[block, None]
                 else:
@@ -115,28 +117,34 @@ class Searcher:
             self.exact(block[q], r, ids, vectors)
 
 
-def _block_search(block: list[tuple[int, list[float]]], k: int):
-    """A function over batches of (vec_id, embedding) that gives each query's best rows of a partition."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size: dict[int, list] = {}
-        for query in block:
-            by_size.setdefault(len(query[1]), []).append(query)
-        searchers = {n: Searcher(np.array([q[0] for q in own], np.int64), scaled([q[1] for q in own]), k) for n, own in by_size.items()}
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lengths = batch.column(1).value_lengths().to_numpy()
-            seen: dict[int, int] = {}
-            turn = np.array([seen.__setitem__(i, seen.get(i, -1) + 1) or seen[i] for i in ids.tolist()], int)  # rows of one id are added one after the other
-            for n, searcher in searchers.items():
-                for t in range(turn.max(initial=-1) + 1):
-                    rows = np.flatnonzero((lengths == n) & (turn == t))
-                    for at in range(0, len(rows), ROWS):
-                        take = rows[at : at + ROWS]
-                        searcher.add(ids[take], scaled(batch.column(1).take(pa.array(take)).flatten().to_numpy().reshape(-1, n)))
-        for searcher in searchers.values():
+FOUND = "query_id long, number long, vec_id long, score long"
+
+
+def block_search(k: int):
+    """A function over a block of queries and a block of rows that gives the k best rows of the block for each query."""
+
+    def by_length(vectors: pa.Table) -> dict[int, np.ndarray]:
+        lengths = vectors["embedding"].combine_chunks().value_lengths().to_numpy()
+        return {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+
+    def some(vectors: pa.Table, rows: np.ndarray, n: int) -> np.ndarray:
+        return scaled(vectors["embedding"].take(pa.array(rows)).combine_chunks().flatten().to_numpy().reshape(-1, n))
+
+    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        parts = [np.zeros((0, 4), np.int64)]
+        candidates = by_length(rows) if len(rows) else {}
+        for n, own in (by_length(queries) if len(queries) else {}).items():
+            if n not in candidates:
+                continue
+            query_ids, numbers = (queries[c].to_numpy()[own] for c in ("query_id", "number"))
+            searcher, ids = Searcher(query_ids, some(queries, own, n), k), rows["vec_id"].to_numpy()
+            for at in range(0, len(candidates[n]), ROWS):
+                take = candidates[n][at : at + ROWS]
+                searcher.add(ids[take], some(rows, take, n))
             query, score, row = searcher.best.T
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(searcher.ids[query]), "vec_id": pa.array(row), "score": pa.array(score)})
+            parts.append(np.column_stack([query_ids[query], numbers[query], row, score]))
+        found = np.concatenate(parts)
+        return pa.table({name: pa.array(found[:, i]) for i, name in enumerate(("query_id", "number", "vec_id", "score"))})
 
     return search
 
@@ -147,25 +155,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, components: int = COMPONENTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows with the largest inner products of floor(256 * x).
 
-    Queries go to the tasks in blocks of about block rows, and each task passes over its rows once
-    for a block; only the k best of each task and query are shuffled. A query's own vec_id is no
-    candidate. Ties go to the smaller vec_id. Rows with a null id, no components or a component
-    that is null or not finite take no part; vectors are compared with those of as many components;
-    a vec_id that repeats counts once, with its best score. A score beyond the range of a long is
-    its end. Queries with fewer than k candidates get all; without queries or rows there are none.
+    Queries and rows are dealt into blocks, and each pair of blocks is one group of a cogroup, so
+    a task holds one block of either sort at a time; only the k best rows of each block and query
+    are shuffled again. Rows with a query's own vec_id are no candidates; every other row is, also
+    those that repeat. Ties go to the smaller vec_id. Rows with a null id, no components or a
+    component that is null or not finite take no part; vectors are compared with those of as many
+    components. Query rows that are alike in id and vector are one query; those that share an id
+    only are queries of their own. A score beyond the range of a long is its end. Queries with
+    fewer than k candidates get all; without queries or rows there are none.
     """
     rows, asked = usable(vectors), usable(queries).distinct()
-    blocks = max(1, math.ceil(asked.count() / block))
-    found = []
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).collect()
-        part = _block_search([(q.vec_id, q.embedding) for q in own], k)
-        found.append(rows.mapInArrow(part, "query_id long, vec_id long, score long"))
-    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
+    row_blocks = max(1, math.ceil(size.n * size.dims / components), min(rows.sparkSession.sparkContext.defaultParallelism, size.n // SMALL))
+    query_blocks = max(1, math.ceil(asked.count() / block))
+    dealt = lambda blocks: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = rows.withColumn("row_block", dealt(row_blocks)).withColumn("query_block", every(query_blocks))
+    numbered = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "embedding").alias("number"), "embedding")
+    mine = numbered.withColumn("query_block", dealt(query_blocks)).withColumn("row_block", every(row_blocks))
+    pairs = mine.groupBy("row_block", "query_block").cogroup(own.groupBy("row_block", "query_block"))
+    best = pairs.applyInArrow(block_search(k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
@@ -179,9 +192,10 @@ ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+  SELECT q.vec_id AS query_id, q.e, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT * FROM ranked WHERE rank <= 5
 """
