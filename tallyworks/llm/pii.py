@@ -4,11 +4,17 @@ Generators of high recall propose spans that may overlap. Boosted trees score th
 and by what stands around them. As there are no labels, the trees learn from the texts themselves:
 spans that the base accepts are examples, also in other spellings (a phone number without its plus,
 a card number in groups of four, a mail address in words); what the base rejects, and accepted
-spans with a digit too many or too few or a wrong check digit, are counterexamples.
+spans in wrong forms that the generators still propose (digits grouped otherwise, a digit too many
+or too few, a wrong check digit, a part above 255, a domain that ends in a number), are
+counterexamples. The scores are calibrated for each kind on a fourth of all spans.
+
+The patterns run over the texts once: the spans with their surroundings are written to the shared
+folder, and the trees learn from those and then score them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,30 +47,76 @@ PROPOSED = {
 }
 AROUND = 24
 CUES = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|account|payment", "phone": "phone|call|tel|fax|mobile|cell"}
-#: Texts whose spans the trees learn from, about (those with the smallest hashes), and the trees.
-LEARNED, TREES, DEPTH = 20_000, 8, 3
-#: A kind's spans are taken from the score on at which this part of the calibration examples above it is right.
-PRECISION, STEPS = 0.99, 20
-#: Fewer examples of a kind than this teach nothing about it.
-LEAST = 20
+#: Accepted spans of a kind that the trees learn from, about (those with the smallest hashes), and the trees.
+LEARNED, TREES, DEPTH = 10_000, 10, 4
+#: A candidate is taken if its calibrated probability is this at least; scores are calibrated in so many steps.
+PRECISION, STEPS = 0.9, 20
+#: Values that a running total takes up at once.
+RUN = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each value of an array of whole numbers what it and those before it are joined to.
+
+    Blocks of RUN values, whose ends are joined first, keep this near the number of values.
+    """
+
+    def plain(array: Column) -> Column:
+        step = lambda out, x: F.array_append(out, join(F.coalesce(F.try_element_at(out, F.lit(-1)), zero), x))
+        return F.aggregate(array, F.array().cast("array<int>"), step)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: plain(F.slice(values, i * RUN + 1, F.lit(RUN))))
+    joined = let(blocks, lambda own: let(plain(F.transform(own, lambda b: F.element_at(b, -1))), lambda ends: F.flatten(F.transform(own, lambda b, i: F.transform(b, lambda x: join(F.coalesce(F.get(ends, i - 1), zero), x))))))
+    return F.when(F.size(values) > RUN, joined).otherwise(plain(values))
+
+
+def running_of(values: Column, join: Callable[[Column, Column], Column], zero: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the running totals; both are computed once."""
+    return let(values, lambda array: let(running(array, join, zero), body))
 
 
 def found_spans(text: Column, pattern: str, kind: str) -> Column:
-    """start, rank, end, kind and found of a pattern's matches, leftmost and not overlapping; positions are code points.
+    """start, rank, end, kind, found, before and after of a pattern's matches, leftmost and not overlapping; positions are code points.
 
-    What lies between the matches and the matches themselves, one after the other, give the positions.
+    What lies between the matches and the matches themselves, one after the other, give the positions
+    and what stands around each, as far as the next match of the pattern.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["found"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(end - start >= SHORTEST[kind], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def placed(matches: Column, between: Column, ends: Column) -> Column:
+        def span(found: Column, i: Column) -> Column:
+            end = F.get(ends, i)
+            before, after = F.right(F.get(between, i), F.lit(AROUND)), F.left(F.get(between, i + 1), F.lit(AROUND))
+            return F.struct((end - F.char_length(found)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), found.alias("found"), before.alias("before"), after.alias("after"))
+
+        return F.filter(F.transform(matches, span), lambda s: s["end"] - s["start"] >= SHORTEST[kind])
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none().alias("spans")), step)["spans"]
+    def of(matches: Column, between: Column) -> Column:
+        lengths = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, found: F.char_length(gap) + F.char_length(found))
+        return running_of(lengths, lambda a, b: a + b, F.lit(0), lambda ends: placed(matches, between, ends))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, none()).otherwise(let(F.split(text, pattern, -1), lambda between: of(matches, between))))
+
+
+def apart_from(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, by one pass over both in order."""
+    far = 2**31 - 1
+    marked = lambda array, own: F.transform(array, lambda s: F.struct(s["start"].alias("at"), F.lit(own).alias("own"), s.alias("span")))
+
+    def free(both: Column, ended: Column, begins: Column) -> Column:
+        kept = F.filter(F.transform(both, lambda m, i: F.struct(m["span"].alias("span"), (m["own"] & (F.get(ended, i) <= m["at"]) & (F.get(begins, F.size(both) - 1 - i) >= m["span"]["end"])).alias("free"))), lambda m: m["free"])
+        return F.transform(kept, lambda m: m["span"])
+
+    def of(both: Column) -> Column:
+        ends = F.transform(both, lambda m: F.when(m["own"], 0).otherwise(m["span"]["end"]))
+        starts = F.reverse(F.transform(both, lambda m: F.when(m["own"], far).otherwise(m["at"])))
+        return running_of(ends, F.greatest, F.lit(0), lambda ended: running_of(starts, F.least, F.lit(far), lambda begins: free(both, ended, begins)))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(F.array_sort(F.concat(marked(others, False), marked(spans, True))), of))
 
 
 def digits(found: Column) -> Column:
@@ -100,15 +152,19 @@ def valid(span: Column) -> Column:
 
 
 def none() -> Column:
-    return F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,found:string>>")
+    return F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,found:string,before:string,after:string>>")
 
 
 def matched(text: Column, patterns: dict[str, str]) -> Column:
     """The spans of all patterns in one array; patterns aren't tried on texts that can't hold them."""
     numbers = text.rlike("[0-9]")
+    has = lambda part: F.contains(text, F.lit(part))
 
     def of(kind: str, pattern: str) -> Column:
-        there = F.contains(text, F.lit(NEEDS[kind])) if patterns is BASE and NEEDS[kind] else F.lit(True)
+        if patterns is BASE:
+            there = has(NEEDS[kind])
+        else:
+            there = {"email": has("(at)") | has("[at]") | (has(" at ") & has(" dot ")), "ip": has("(") | has("[")}.get(kind, F.lit(True))
         return F.when(there if kind == "email" else there & numbers, found_spans(text, pattern, kind)).otherwise(none())
 
     return F.concat(*[of(kind, pattern) for kind, pattern in patterns.items()])
@@ -140,23 +196,12 @@ def features(kind: Column, found: Column, before: Column, after: Column) -> Colu
         flag(before.rlike(r"[A-Za-z0-9_=/-]$")),
         flag(after.rlike(r"^[A-Za-z0-9_=/-]")),
         *[flag(near.rlike(CUES[k])) for k in KINDS],
+        *[F.char_length(F.regexp_extract(found, p, 1)).cast("double") for p in (r"^[^0-9]*([0-9]*)", r"([0-9]*)$", r"([A-Za-z]*)$")],
+        F.size(F.array_distinct(F.split(F.regexp_replace(found, r"[^\x20./_-]", ""), ""))).cast("double"),
+        flag(F.contains(found, F.lit("("))),
     )
 
 
-FEATURES = 4 + 10 + 4
-
-
-def described(text: Column, spans: Column) -> Column:
-    """The spans with the features of each."""
-
-    def one(span: Column) -> Column:
-        low = F.greatest(span["start"] - AROUND, F.lit(0))
-        before, after = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(AROUND))
-        return F.struct(*[span[c].alias(c) for c in ("start", "rank", "end", "kind", "found")], before.alias("before"), after.alias("after"))
-
-    return F.transform(spans, one)
-
-
 @dataclass
 class Trees:
     """Trees as columns of the features, their weights, and the least score of each kind that is taken."""
@@ -177,95 +222,119 @@ class Trees:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def examples(docs: DataFrame, most: int) -> DataFrame:
-    """kind, label, x, draw: accepted spans, their other spellings and spoilt forms, and rejected spans of the base, of about `most` texts.
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id and spans (start, rank, end, kind, found, base, ok, before, after) of docs.
 
-    Candidates in other spellings are no counterexamples: they are what the trees are to accept.
+    These are the base's matches, ok if the base accepts them, and what the generators propose
+    apart from accepted ones.
+    """
+    text = F.col("text")
+    own = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumns({"matches": matched(text, BASE), "proposed": matched(text, PROPOSED)})
+    own = own.withColumns({"accepted": F.filter("matches", valid), "rejected": F.filter("matches", lambda s: ~valid(s))})
+    own = own.withColumns({"rejected": apart_from(F.col("rejected"), F.col("accepted")), "proposed": apart_from(F.col("proposed"), F.col("accepted"))})
+    return own.select("doc_id", F.concat(told(F.col("accepted"), True, True), told(F.col("rejected"), True, False), told(F.col("proposed"), False, False)).alias("spans"))
+
+
+def told(spans: Column, base: bool, ok: bool) -> Column:
+    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "found", "before", "after")], F.lit(base).alias("base"), F.lit(ok).alias("ok")))
 
-    The texts are those whose hash is in the part that most is of all, so only they are searched.
+
+def examples_of(found: DataFrame, most: int | None) -> DataFrame:
+    """kind, label, x, draw of candidates(): accepted spans and their other spellings, rejected spans of the base and spoilt forms.
+
+    Candidates in other spellings are no counterexamples: they are what the trees are to accept.
+    Of each kind about `most` spans of the base are taken, by their hashes; all without it.
     """
-    part = min(1.0, most / max(docs.count(), 1))
-    drawn = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30)))
-    spans = drawn.select("text", matched(F.col("text"), BASE).alias("spans")).filter(F.size("spans") > 0)
-    rows = spans.select(F.inline(described(F.col("text"), F.col("spans")))).withColumn("ok", valid(F.struct("kind", "found")))
-    sample = rows.withColumn("draw", F.xxhash64("found", "before", "after"))
-    found, number = F.col("found"), digits(F.col("found"))
+    sample = found.select(F.inline("spans")).filter("base").withColumn("draw", F.xxhash64("found", "before", "after"))
+    if most is not None:
+        counts = {r.kind: r.n for r in sample.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        part = reduce(lambda c, k: c.when(F.col("kind") == k, min(1.0, most / counts[k])), counts, F.when(F.lit(False), 1.0))
+        sample = sample.filter(F.pmod(F.shiftright("draw", 8), F.lit(1 << 30)) < part * (1 << 30))
+    text, number = F.col("found"), digits(F.col("found"))
+    bare = F.regexp_replace(text, r"^\+[0-9]{1,2}[\x20.-]?", "")
+    wrong_digit = F.concat(F.expr("substring(found, 1, char_length(found) - 1)"), ((F.substring(text, -1, 1).try_cast("int") + 1) % 10).cast("string"))
+    too_large = [F.regexp_replace(text, *x) for x in ((r"\.([0-9])[0-9]*$", ".7$15"), (r"^([0-9]+)\.([0-9])[0-9]*", "$1.6$24"), ("^([0-9])[0-9]*", "4$17"), (r"([0-9])[0-9]*(\.[0-9]+)$", "9$13$2"))]
+    tail = lambda end: F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "@", " [at] "), r"\.", " [dot] "), "[A-Za-z0-9-]+$", end)
+    in_fours = lambda digits_, by: F.regexp_replace(digits_, "([0-9]{4})(?=[0-9])", f"$1{by}")
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
     respelt = F.array_compact(
         F.array(
-            found,
-            F.when(F.col("kind") == "phone", F.regexp_replace(found, r"^\+[0-9]{1,2}[\x20.-]?", "")),
-            F.when(F.col("kind") == "phone", F.regexp_replace(F.regexp_replace(found, r"^\+[0-9]{1,2}[\x20.-]?", ""), r"[().\x20-]+", "-")),
-            F.when(F.col("kind") == "card", F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1 ")),
-            F.when(F.col("kind") == "card", F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1.")),
-            F.when(F.col("kind") == "ip", F.regexp_replace(found, r"\.", "[.]")),
-            F.when(F.col("kind") == "email", F.regexp_replace(F.regexp_replace(found, "@", " at "), r"\.", " dot ")),
-            F.when(F.col("kind") == "email", F.regexp_replace(found, "@", "[at]")),
+            text, of("phone", bare), of("phone", F.regexp_replace(F.regexp_replace(bare, r"^\(", ""), r"[().\x20-]+", "-")), of("card", in_fours(number, " ")), of("card", in_fours(number, ".")),
+            *[of("ip", F.regexp_replace(text, r"\.", dot)) for dot in ("[.]", "(.)", "[dot]")],
+            of("email", F.regexp_replace(F.regexp_replace(text, "@", " at "), r"\.", " dot ")), of("email", F.regexp_replace(text, "@", "[at]")), of("email", F.regexp_replace(F.regexp_replace(text, "@", " [at] "), r"\.", " [dot] ")),
         )
-    )
+    )
     spoilt = F.array_compact(
         F.array(
-            F.when(F.col("kind") == "card", F.concat(F.expr("substring(found, 1, char_length(found) - 1)"), ((F.substring(found, -1, 1).try_cast("int") + 1) % 10).cast("string"))),
-            F.when(F.col("kind") == "ip", F.concat(F.lit("9"), F.regexp_replace(found, r"\.([0-9])", ".7$1"))),
-            F.when(F.col("kind") == "phone", F.regexp_replace(found, r"[0-9]{3,}", "0")),
-            F.when(F.col("kind") == "phone", F.concat(F.substring(number, 1, 4), F.lit(" "), F.substring(number, 1, 2))),
-            F.when(F.col("kind") == "email", F.regexp_replace(found, "@", " ")),
+            of("card", wrong_digit), of("card", in_fours(digits(wrong_digit), ".")),
+            *[of("ip", F.regexp_replace(x, r"\.", "[.]")) for x in too_large],
+            of("phone", F.regexp_replace(number, "^([0-9]{4})([0-9]{4})([0-9]{3,4}).*$", "$1 $2 $3")), of("phone", F.regexp_replace(F.concat(number, F.substring(number, -1, 1)), "^([0-9]{4})([0-9]{4})([0-9]{3,4}).*$", "$1-$2-$3")),
+            of("phone", F.regexp_replace(number, "^([0-9]{2})([0-9]{3})([0-9]{3}).*$", "$1 $2.$3")),
+            *[of("email", tail(x)) for x in ("x", "", "informationabout")], of("email", F.regexp_replace(tail("x"), r"[\[\]]", "")), of("email", F.concat(F.regexp_replace(text, r"\.[A-Za-z0-9-]+$", ""), F.lit(".1"))),
         )
-    )
-    good = sample.filter("ok").select("kind", F.explode(respelt).alias("found"), "before", "after", "draw", F.lit(1.0).alias("label"))
-    bad = sample.filter("ok").select("kind", F.explode(spoilt).alias("found"), "before", "after", "draw", F.lit(0.0).alias("label"))
-    wrong = sample.filter("not ok").select("kind", "found", "before", "after", "draw", F.lit(0.0).alias("label"))
-    both = good.unionByName(bad).unionByName(wrong)
+    )
+    form = lambda rows, label: rows.select("kind", "found", "before", "after", "draw", F.lit(label).alias("label"))
+    good, bad = (form(sample.filter("ok").withColumn("found", F.explode(values)), label) for values, label in ((respelt, 1.0), (spoilt, 0.0)))
+    both = good.unionByName(bad).unionByName(form(sample.filter("not ok"), 0.0))
     return both.select("kind", "label", "draw", features(F.col("kind"), F.col("found"), F.col("before"), F.col("after")).alias("x"))
 
 
-def learn(docs: DataFrame, most: int = LEARNED) -> Trees | None:
-    """The trees and thresholds from the spans of docs; None if there are too few of one sort."""
-    rows = checkpointed(examples(docs, most))
-    fitting = rows.filter("pmod(draw, 4) <> 0")
-    seen = {r.label for r in fitting.groupBy("label").count().filter(F.col("count") >= LEAST).collect()}
-    if seen != {0.0, 1.0}:
+def examples(docs: DataFrame, most: int | None = LEARNED) -> DataFrame:
+    return examples_of(candidates(docs), most)
+
+
+def calibrated(counts: list[tuple[int, float, int]]) -> dict[int, float]:
+    """The probability of each step of scores, from (step, right, all): rising with the scores, with half an example of either sort for each."""
+    pools: list[list] = []
+    for step, good, n in sorted(counts):
+        pools.append([[step], good, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            steps, good, n = pools.pop()
+            pools[-1] = [pools[-1][0] + steps, pools[-1][1] + good, pools[-1][2] + n]
+    return {step: (good + 0.5) / (n + 1) for steps, good, n in pools for step in steps}
+
+
+def learn_from(found: DataFrame, most: int = LEARNED) -> Trees | None:
+    """The trees and thresholds from candidates(); None if the base accepts no span at all."""
+    fitting = checkpointed(examples_of(found, most).filter("pmod(draw, 4) <> 0"))
+    if {r.label for r in fitting.select("label").distinct().collect()} != {0.0, 1.0}:
         return None
     vectors = fitting.select("label", array_to_vector("x").alias("features"))
     trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(vectors), {})
     step = F.floor(trees.score(F.col("x")) * STEPS).cast("int")
-    counts = rows.filter("pmod(draw, 4) = 0").groupBy("kind", step.alias("step")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    counts = examples_of(found, None).filter("pmod(draw, 4) = 0").groupBy("kind", step.alias("step")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
     for kind in KINDS:
-        good = n = 0
-        for row in sorted((r for r in counts if r.kind == kind), key=lambda r: -r.step):
-            good, n = good + row.good, n + row.n
-            if good < PRECISION * n:
-                break
-            if n >= LEAST and row.step >= STEPS // 2:
-                trees.least[kind] = row.step / STEPS
+        taken = [step for step, p in calibrated([(r.step, r.good, r.n) for r in counts if r.kind == kind]).items() if p >= PRECISION]
+        if taken:
+            trees.least[kind] = min(taken) / STEPS
     return trees
 
 
+def learn(docs: DataFrame, most: int = LEARNED) -> Trees | None:
+    return learn_from(checkpointed(candidates(docs)), most)
+
+
 def detected(docs: DataFrame, most: int = LEARNED) -> DataFrame:
     """doc_id and spans (start, end, kind, base), one row for each row of docs; other columns aren't read.
 
     Spans are by start, then kind. Those of the base are marked; the others are candidates that
-    overlap none of the base and score enough. A null or empty text has no spans; rows that repeat,
-    and null ids, stay as they are; no documents give no rows. Long texts are searched whole.
-    Without enough examples to learn from only the base's spans are given.
+    overlap none of the base and whose calibrated probability is PRECISION at least. The trees
+    learn from about `most` spans of each kind, the calibration from a fourth of all spans. A kind
+    of which the base accepts no span in docs has no candidate taken, as nothing tells what it looks
+    like there. A null or empty text has no spans; rows that repeat, and null ids, stay as they are; no
+    documents give no rows. Long texts are searched whole, in time about in proportion to their matches.
     """
-    trees = learn(docs, most)
-    text = F.col("text")
-    own = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumn("matches", matched(text, BASE))
-    own = own.withColumn("base", F.filter("matches", valid))
-    plain = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>"
-
-    def marked(spans: Column, base: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(base).alias("base"))).cast(plain)
-
-    spans = marked(F.col("base"), True)
+    found = checkpointed(candidates(docs))
+    trees = learn_from(found, most)
+    wanted = F.col("spans")
     if trees and trees.least:
-        apart = lambda span: ~F.exists("base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        rejected = F.filter("matches", lambda span: ~valid(span))
-        own = own.withColumn("proposed", F.filter(F.concat(rejected, matched(text, PROPOSED)), apart))
-        own = own.withColumn("proposed", F.transform(described(text, F.col("proposed")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")], features(s["kind"], s["found"], s["before"], s["after"]).alias("x"))))
-        enough = lambda s: reduce(lambda a, b: a | b, [(s["kind"] == k) & (trees.score(s["x"]) >= v) for k, v in trees.least.items()])
-        spans = F.concat(spans, marked(F.filter("proposed", enough), False))
-    return own.select("doc_id", F.array_sort(spans).alias("spans"))
+        x = lambda s: features(s["kind"], s["found"], s["before"], s["after"])
+        enough = lambda s: let(x(s), lambda own: reduce(lambda a, b: a | b, [(s["kind"] == k) & (trees.score(own) >= v) for k, v in trees.least.items()]))
+        spans = F.filter(wanted, lambda s: s["ok"] | enough(s))
+    else:
+        spans = F.filter(wanted, lambda s: s["ok"])
+    marked = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["ok"].alias("base")))
+    return found.select("doc_id", F.array_sort(F.array_distinct(marked)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -105,6 +105,60 @@ def test_personal_data_in_other_spellings(spark):
     assert found[n + 2] == found[n + 3] == []
 
 
+def test_planted_respelt_data_is_found(spark):
+    """Spellings that the base doesn't know, among numbers and words that look alike, in texts whose plain data teach the trees."""
+    draw = random.Random(11)
+    digits = lambda n: "".join(str(draw.randrange(10)) for _ in range(n))
+    word = lambda: "".join(draw.choice("aeioustrnl") for _ in range(draw.randrange(3, 9)))
+
+    def card():
+        body = draw.choice("3456") + digits(14)
+        return body + next(d for d in "0123456789" if luhn(body + d))
+
+    def ip(dot):
+        return dot.join(str(draw.randrange(256)) for _ in range(4))
+
+    def user():
+        return f"{word()}{draw.choice(['', '.', digits(2)])}{draw.choice(['', word()])}".strip(".")
+
+    plain = [lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{user()}@{word()}{digits(1)}.{word()}.{draw.choice(['com', 'org', 'de'])}", card, lambda: ip(".")]
+    respelt = [
+        ("phone", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), ("ip", lambda: ip("[.]")), ("ip", lambda: ip("[dot]")),
+        ("email", lambda: f"{user()} [at] {word()}{digits(1)} [dot] {word()} [dot] com"), ("email", lambda: f"{user()}[at]{word()}{digits(1)}.{word()}.org"), ("card", lambda: re.sub("(....)(?=.)", r"\1.", card())),
+    ]
+    other = [lambda: f"{digits(4)} {digits(4)} {digits(4)}", lambda: f"{digits(4)}-{digits(4)}-{digits(3)}", lambda: "[.]".join(str(draw.randrange(256, 999)) for _ in range(4)), lambda: re.sub("(....)(?=.)", r"\1.", (lambda c: c[:-1] + str((int(c[-1]) + 1) % 10))(card())), lambda: f"{word()} [at] {word()} [dot] {digits(2)}"]
+    texts, wanted = [], set()
+    for i in range(900):
+        text, kind = " ".join(word() for _ in range(6)), None
+        if i % 3 == 0:
+            kind, make = draw.choice(respelt)
+            found = make()
+        else:
+            found = draw.choice(plain if i % 3 == 1 else other)()
+        if kind:
+            wanted.add((i, kind, len(text) + 1, len(text) + 1 + len(found)))
+        texts.append(f"{text} {found} {word()}")
+    got = {(i, k, a, b) for i, spans in rows_of(pii, texts)(spark).items() for k, a, b, own in spans if not own}
+    assert len(got & wanted) > 0.9 * len(wanted) and len(got & wanted) > 0.9 * len(got)
+    assert {k for _, k, _, _ in got & wanted} == set(pii.KINDS)
+
+
+def test_running_totals_and_overlaps_in_long_arrays(spark):
+    values = list(range(1000))
+    row = spark.createDataFrame([(values,)], "v array<int>").select(pii.running(pii.F.col("v"), lambda a, b: a + b, pii.F.lit(0)).alias("s"), pii.running(pii.F.col("v"), pii.F.greatest, pii.F.lit(7)).alias("m")).first()
+    assert row.s == [sum(values[: i + 1]) for i in range(1000)] and row.m == [max(7, i) for i in range(1000)]
+    draw = random.Random(3)
+    spans, others = ([(a := draw.randrange(9000), 0, a + draw.randrange(1, 9), "ip", "x") for _ in range(700)] for _ in range(2))
+    kind = "array<struct<start:int,rank:int,end:int,kind:string,found:string>>"
+    free = spark.createDataFrame([(spans, others)], f"a {kind}, b {kind}").select(pii.apart_from(pii.F.col("a"), pii.F.col("b")).alias("free")).first().free
+    assert sorted(map(tuple, free)) == sorted(s for s in spans if not any(s[0] < o[2] and o[0] < s[2] for o in others))
+
+
+def test_probabilities_rise_with_scores():
+    p = pii.calibrated([(0, 0.0, 50), (5, 4.0, 10), (6, 3.0, 10), (19, 30.0, 30)])
+    assert [round(p[s], 3) for s in (0, 5, 6, 19)] == [round(0.5 / 51, 3), round(7.5 / 21, 3), round(7.5 / 21, 3), round(30.5 / 31, 3)] and pii.calibrated([]) == {}
+
+
 def test_candidates_in_other_spellings_are_no_counterexamples(spark):
     texts = [f"please call +1 ({375 + i}) 555-{4000 + i} today" for i in range(100)]
     rows = pii.examples(documents(spark, list(enumerate(texts))), 1000).filter("kind = 'phone'")
