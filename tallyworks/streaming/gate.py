@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,51 +21,43 @@ FIRST, OTHERS, TAIL = 48, 160, 12
 NOTICE = "[ระบบระงับการแสดงผลบางส่วน]"
 
 SEGMENTS = "request_id long, segment int, text string, blocked boolean"
-STATE = "buffer string, tail string, sent int, blocked boolean"
-
-
-@dataclass
-class Gate:
-    """What is kept of one request between its deltas."""
-
-    buffer: str = ""
-    tail: str = ""
-    sent: int = 0
-    blocked: bool = False
-    out: list[tuple[int, str, bool]] = field(default_factory=list)
-
-    def cut(self) -> int:
-        """Where the next segment ends: after the first end of a sentence, or at the longest length, at its last space if that is past half; 0 for not yet."""
-        ends = [at for at in (self.buffer.find(c) for c in ENDS) if at >= 0]
-        if ends:
-            return min(ends) + 1
-        longest = OTHERS if self.sent else FIRST
-        if len(self.buffer) < longest:
-            return 0
-        space = self.buffer.rfind(" ", 0, longest)
-        return space + 1 if space > longest // 2 else longest
-
-    def send(self, segment: str, terms: tuple[str, ...]) -> None:
-        """Show a segment, or the notice if it holds a banned term; then nothing more is shown."""
-        seen = self.tail + segment
-        self.blocked = any(t in seen or t in seen.lower() for t in terms)
-        self.out.append((self.sent, NOTICE if self.blocked else segment, self.blocked))
-        self.sent, self.tail = self.sent + 1, seen[-TAIL:]
-
-    def push(self, delta: str, terms: tuple[str, ...]) -> None:
-        self.buffer = "" if self.blocked else self.buffer + delta
-        while not self.blocked and (at := self.cut()):
-            segment, self.buffer = self.buffer[:at], self.buffer[at:]
-            self.send(segment, terms)
-
-    def flush(self, terms: tuple[str, ...]) -> None:
-        if self.buffer and not self.blocked:
-            self.send(self.buffer, terms)
-        self.buffer = ""
-
-    def rows(self, request: int) -> pd.DataFrame:
-        frame = pd.DataFrame([(request, *x) for x in self.out], columns=["request_id", "segment", "text", "blocked"])
-        return frame.astype({"request_id": "int64", "segment": "int32", "blocked": "bool"})
+STATE = "text string, shown int, sent int, blocked boolean"
+
+
+def piece(longest: int) -> re.Pattern:
+    """What may be shown next of a text: up to its first end of a sentence; without one, if the text is that long, up to the last space past half of the length, or the whole length."""
+    return re.compile(rf"[^{ENDS}]*[{ENDS}]|(?=.{{{longest}}})(?:.{{{longest // 2 + 1},{longest - 1}}}[ ]|.{{{longest}}})", re.DOTALL)
+
+
+PIECES = (piece(FIRST), piece(OTHERS))
+
+
+def let_through(state: tuple, deltas: Iterable[tuple[str | None, bool]], terms: tuple[str, ...]) -> tuple[list[tuple[int, str, bool]], tuple]:
+    """The segments (number, text, blocked) that deltas (text, last) complete, and the state after them.
+
+    The state is a text, how much of it has been shown, how many segments that were, and whether
+    the request is blocked. Of what has been shown only the end is kept, which is checked again with
+    the next segment. A segment with a banned term is replaced by the notice, and nothing follows it.
+    """
+    text, shown, sent, blocked = state
+    segments: list[tuple[int, str, bool]] = []
+    for delta, last in deltas:
+        text += delta or ""
+        while not blocked and shown < len(text):
+            found = PIECES[min(sent, 1)].match(text, shown)
+            end = found.end() if found else len(text) if last else shown
+            if end == shown:
+                break
+            checked = text[max(shown - TAIL, 0) : end]
+            blocked = any(term in form for term in terms for form in (checked, checked.lower()))
+            segments.append((sent, NOTICE if blocked else text[shown:end], blocked))
+            shown, sent = end, sent + 1
+        behind = len(text) if blocked else max(shown - TAIL, 0)
+        text, shown = text[behind:], shown - behind if not blocked else 0
+    return segments, (text, shown, sent, blocked)
+
+
+START = ("", 0, 0, False)
 
 
 def gated(deltas: DataFrame, terms: tuple[str, ...] = BANNED) -> DataFrame:
@@ -76,26 +68,24 @@ def gated(deltas: DataFrame, terms: tuple[str, ...] = BANNED) -> DataFrame:
     what is left of a request is state, which is dropped with its last delta.
     """
 
+    def frame(request: int, segments: list[tuple[int, str, bool]]) -> pd.DataFrame:
+        found = pd.DataFrame([(request, *x) for x in segments], columns=["request_id", "segment", "text", "blocked"])
+        return found.astype({"request_id": "int64", "segment": "int32", "blocked": "bool"})
+
+    def pairs(rows: pd.DataFrame) -> Iterator[tuple[str | None, bool]]:
+        return rows.sort_values("seq")[["delta", "last"]].itertuples(index=False)
+
     def batch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gate = Gate()
-        for delta, last in rows.sort_values("seq")[["delta", "last"]].itertuples(index=False):
-            gate.push(delta or "", terms)
-            if last:
-                gate.flush(terms)
-        return gate.rows(key[0])
+        return frame(key[0], let_through(START, pairs(rows), terms)[0])
 
     def stream(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = Gate(*state.get) if state.exists else Gate()
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for delta, last in rows[["delta", "last"]].itertuples(index=False):
-            gate.push(delta or "", terms)
-            if last:
-                gate.flush(terms)
+        rows = pd.concat(list(frames))
+        segments, after = let_through(state.get if state.exists else START, pairs(rows), terms)
         if rows["last"].any():
             state.remove()
         else:
-            state.update((gate.buffer, gate.tail, gate.sent, gate.blocked))
-        yield gate.rows(key[0])
+            state.update(after)
+        yield frame(key[0], segments)
 
     grouped = deltas.groupBy("request_id")
     if deltas.isStreaming:
