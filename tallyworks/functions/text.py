@@ -57,7 +57,7 @@ def baht_amounts(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(arabic_digits(text), F.lit(BAHT), F.lit(1)), to_amount)
 
 
-def money_amounts(text: Column) -> Column:
+def written_money(text: Column) -> Column:
     """All numbers written as money, that is with a comma or a fraction, in reading order."""
     tokens = F.regexp_extract_all(arabic_digits(text), F.lit(NUMBER), F.lit(0))
     return F.transform(F.filter(tokens, lambda t: t.rlike("[,.]")), to_amount)
@@ -72,7 +72,7 @@ def match_key(name: Column) -> Column:
     return F.regexp_replace(name, r"(?U)\s+", "")
 
 
-def clean_component(name: Column) -> Column:
+def tidy_name(name: Column) -> Column:
     """A name of a path without white space at its ends, marks at its start and runs of white space."""
     stripped = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
     return F.regexp_replace(F.regexp_replace(stripped, f"^[{MARKS}]+", ""), r"(?U)\s+", " ")
@@ -87,7 +87,7 @@ def buddhist_year(digits: Column) -> Column:
 
 def folder_year(folder: Column) -> Column:
     """The year that a folder is named after, with or without the word for year."""
-    return buddhist_year(arabic_digits(F.regexp_extract(clean_component(folder), r"^(?:ปี\s*)?([0-9๐-๙]{2,4})$", 1)))
+    return buddhist_year(arabic_digits(F.regexp_extract(tidy_name(folder), r"^(?:ปี\s*)?([0-9๐-๙]{2,4})$", 1)))
 
 
 def report_year(filename: Column) -> Column:
@@ -97,7 +97,7 @@ def report_year(filename: Column) -> Column:
 
 def doc_type(filename: Column) -> Column:
     """What kind of document a file is by its name; the first rule that fits decides."""
-    name = F.lower(clean_component(filename))
+    name = F.lower(tidy_name(filename))
     out = F
     for pattern, kind in DOC_TYPES:
         out = out.when(name.rlike(pattern), kind)

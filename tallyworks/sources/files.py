@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.text import clean_component, doc_type, folder_year
+from tallyworks.functions.text import tidy_name, doc_type, folder_year
 
 #: Deepest folder level first; what a file at that depth belongs to.
 SCOPES = {1: "REFERENCE", 2: "SUB_DISTRICT"}
@@ -33,10 +33,10 @@ def catalogued(files: DataFrame) -> DataFrame:
     depth = F.size(parts)
     kept = files.filter(~name.startswith(".") & ~F.lower(name).endswith(".md"))
     kind = doc_type(name)
-    clean = clean_component(name)
+    clean = tidy_name(name)
     final = F.when(kind.isNotNull(), F.concat(kind, F.lit(".pdf"))).when(F.lower(clean).endswith(".pdf"), clean).otherwise(F.concat(clean, F.lit(".pdf")))
     anomalies = F.array_compact(F.array(F.when(clean != name, "filename-normalized"), F.when(kind.isNull() & ~F.lower(clean).endswith(".pdf"), "extension-added"), F.when(~F.col("is_pdf"), "not-a-pdf")))
-    part = lambda place: F.when(depth > place, clean_component(F.get(parts, F.lit(place - 1))))
+    part = lambda place: F.when(depth > place, tidy_name(F.get(parts, F.lit(place - 1))))
     scope = F.when(depth <= 2, SCOPES[1]).when(depth == 3, SCOPES[2]).otherwise("PROJECT")
     found = kept.select("source_path", "is_pdf", scope.alias("scope"), part(2).alias("sub_district"), F.when(depth > 3, folder_year(F.get(parts, F.lit(2)))).alias("fiscal_year"), part(4).alias("project_name"), kind.alias("doc_type"), anomalies.alias("anomalies"), final.alias("_name"))
     return found.withColumn("normalized_key", F.concat_ws("/", F.lower("scope"), "sub_district", "fiscal_year", "project_name", "_name")).drop("_name")
