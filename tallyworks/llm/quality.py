@@ -12,22 +12,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import pieces, python_batches, remainder, table
-
-#: Words share BUCKETS vectors of DIMS components by hash, apart for each SHAPES of words.
-SHAPE_BITS, WORD_BITS, DIMS = 3, 12, 64
-BUCKETS = 1 << SHAPE_BITS + WORD_BITS
-#: Neighbours on each side that give a word its vector, and components that each neighbour changes.
-REACH, MARKS = 2, 2
-PIECE, REMEMBERED = 1_000_000, 500_000
+from tallyworks.llm.common import checkpointed, giving_back, in_arrow, pieces, python_batches, remainder, table
+
+#: Components of a vector, neighbours on each side that give a word its vector, and components that each neighbour changes.
+DIMS, REACH, MARKS = 64, 2, 2
+#: A word that is at least this part of all has a vector of its own (so at most 1 / SHARE words are broadcast);
+#: others share one with words of the same shape and the same last bits of their hashes.
+SHARE, SHAPE_BITS, REST_BITS = 2.0**-17, 3, 8
+PIECE, REMEMBERED = 250_000, 150_000
+#: Rows of contexts that a task holds before it hands them on.
+HELD = 40_000
 #: Labelled texts that the network is fitted on at most; the vectors come from all texts.
 LABELLED = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
-#: The part of the labelled texts that the temperature is calibrated on.
-CALIBRATION = 0.15
+HIDDEN, EPOCHS, PATIENCE, BATCH, RATE, DECAY = 32, 60, 6, 256, 3e-3, 3e-3
+#: The parts of the labelled texts that tell when to stop, and that the temperature is calibrated on.
+STOPPING, CALIBRATION = 0.15, 0.15
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Vectors that go to Spark in one row.
-ROWS = 256
+U = np.uint64
+CONTEXT = np.dtype([("word", "<u8"), ("uses", "<i8"), ("vector", "<i4", (DIMS,))])
 
 
 def shape(token: str) -> int:
@@ -42,13 +44,13 @@ def shape(token: str) -> int:
 
 
 class _Tokens(dict):
-    """The number of a token: its bucket, and the bits of the hash that its marks come from."""
+    """The number of a token: a hash whose last bits are its shape."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "replace"))
-        value = self[token] = (shape(token) << WORD_BITS | h & (1 << WORD_BITS) - 1) << 32 | h >> 32
+        h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
+        value = self[token] = h >> SHAPE_BITS << SHAPE_BITS | shape(token)
         return value
 
 
@@ -56,81 +58,180 @@ def token_numbers(texts: list[str | None], tokens: _Tokens) -> tuple[np.ndarray,
     """The numbers of all texts' tokens, and how many each text has."""
     split = [TOKEN.findall(t) if t else [] for t in texts]
     counts = np.array([len(x) for x in split], np.int64)
-    return np.fromiter((tokens[w] for x in split for w in x), np.int64, counts.sum()), counts
+    return np.fromiter((tokens[w] for x in split for w in x), np.uint64, counts.sum()), counts
 
 
-def add_contexts(vectors: np.ndarray, uses: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> None:
-    """Add to each token's vector the marks of its neighbours in the same text."""
-    bucket = numbers >> 32
+def contexts_of(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each different token how often it is there, and the sum of the marks of its neighbours in the same texts."""
+    words, own = np.unique(numbers, return_inverse=True)
     text = np.repeat(np.arange(len(counts)), counts)
-    uses += np.bincount(bucket, minlength=BUCKETS)
+    out = np.zeros(len(words), CONTEXT)
+    out["word"], out["uses"] = words, np.bincount(own, minlength=len(words))
+    sums = np.zeros(len(words) * DIMS)
     for mark in range(MARKS):
-        bits = numbers >> (8 * mark)
-        at, sign = bits & DIMS - 1, 1.0 - 2.0 * (bits >> 6 & 1)
+        bits = (words >> U(8 + 8 * mark)).astype(np.int64)
+        at, sign = (bits & DIMS - 1)[own], (1.0 - 2.0 * (bits >> 6 & 1))[own]
         for reach in range(1, REACH + 1):
-            same = text[reach:] == text[:-reach]
-            left, right = np.flatnonzero(same), np.flatnonzero(same) + reach
-            for own, other in ((left, right), (right, left)):
-                vectors += np.bincount(bucket[own] * DIMS + at[other], sign[other], BUCKETS * DIMS)
+            left = np.flatnonzero(text[reach:] == text[:-reach])
+            right = left + reach
+            for a, b in ((left, right), (right, left)):
+                sums += np.bincount(own[a] * DIMS + at[b], sign[b], len(sums))
+    out["vector"] = sums.reshape(-1, DIMS)
+    return out
 
 
-FEATURES = 2 * DIMS + 3 + (1 << SHAPE_BITS)
-CONTEXTS = "slot int, vectors binary, uses binary"
+def added(rows: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each word, by words; whole numbers, so that no order of adding changes them."""
+    rows = rows[np.argsort(rows["word"], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows["word"][1:] != rows["word"][:-1])) if len(rows) else np.zeros(0, np.int64)
+    out = rows[first]
+    if len(first):
+        out["uses"], out["vector"] = np.add.reduceat(rows["uses"], first), np.add.reduceat(rows["vector"], first, axis=0)
+    return out
+
+
+class Sums:
+    """Rows of contexts, added up whenever they have doubled."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.rows = self.summed = 0
+
+    def add(self, rows: np.ndarray) -> None:
+        self.parts.append(rows)
+        self.rows += len(rows)
+        if self.rows > 2 * self.summed + HELD // 4:
+            self.parts = [added(np.concatenate(self.parts))]
+            self.rows = self.summed = len(self.parts[0])
+
+    def clear(self) -> np.ndarray:
+        out = added(np.concatenate([np.zeros(0, CONTEXT), *self.parts]))
+        self.__init__()
+        return out
+
+
+def in_slots(rows: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Rows by the slot that their words fall in."""
+    slot = (rows["word"] >> U(SHAPE_BITS)) % U(slots)
+    order = np.argsort(slot, kind="stable")
+    rows, slot = rows[order], slot[order]
+    cuts = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])), len(rows)) if len(rows) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_pydict({"slot": pa.array(slot[cuts[:-1]].astype(np.int32)), "packed": pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a partition's contexts, in rows of ROWS vectors."""
-    tokens = _Tokens()
-    vectors, uses = np.zeros(BUCKETS * DIMS), np.zeros(BUCKETS, np.int64)
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        for texts in pieces(batch.column(0).to_pylist(), 4 * PIECE):
-            add_contexts(vectors, uses, *token_numbers(texts, tokens))
-    parts, n = vectors.reshape(-1, ROWS * DIMS).astype(np.float32), uses.reshape(-1, ROWS)
-    used = np.flatnonzero(n.any(axis=1))
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(used, pa.int32()), "vectors": pa.array([parts[i].tobytes() for i in used], pa.binary()), "uses": pa.array([n[i].tobytes() for i in used], pa.binary())})
+        for packed in batch.column("packed").to_pylist():
+            yield np.frombuffer(packed, CONTEXT)
+
+
+def contexts(slots: int) -> Callable:
+    """A function over batches of texts that gives their contexts by slot."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = _Tokens(), Sums()
+        for batch in batches:
+            for texts in pieces(batch.column(0).to_pylist(), 4 * PIECE):
+                sums.add(contexts_of(*token_numbers(texts, tokens)))
+                if sums.summed > HELD:
+                    yield in_slots(sums.clear(), slots)
+        yield in_slots(sums.clear(), slots)
+
+    return of
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a partition's rows by slot, one batch at a time."""
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for slot, vectors, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            v, u = sums.setdefault(slot, (np.zeros(ROWS * DIMS), np.zeros(ROWS, np.int64)))
-            v += np.frombuffer(vectors, np.float32)
-            u += np.frombuffer(uses, np.int64)
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "vectors": pa.array([v.astype(np.float32).tobytes() for v, _ in sums.values()], pa.binary()), "uses": pa.array([u.tobytes() for _, u in sums.values()], pa.binary())})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """A vector for each bucket, from all texts: the direction of its contexts beside that of all contexts."""
-    python_batches(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(contexts, CONTEXTS).repartition(BUCKETS // ROWS, "slot").mapInArrow(summed, CONTEXTS).toArrow()
-    vectors, uses = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS)
-    for slot, v, u in zip(*(rows[c].to_pylist() for c in ("slot", "vectors", "uses")), strict=True):
-        vectors[slot * ROWS : (slot + 1) * ROWS] = np.frombuffer(v, np.float32).reshape(-1, DIMS)
-        uses[slot * ROWS : (slot + 1) * ROWS] = np.frombuffer(u, np.int64)
-    usual = vectors.sum(axis=0) / max(uses.sum(), 1)
-    mean = np.where(uses[:, None] > 0, vectors / np.maximum(uses, 1)[:, None] - usual, 0.0)
-    return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(texts: list[str | None], tokens: _Tokens, vectors: np.ndarray) -> np.ndarray:
+    """packed, uses: the sums of a partition's words, and how many tokens they are."""
+    sums = Sums()
+    for rows in unpacked(batches):
+        sums.add(rows)
+    rows = sums.clear()
+    for at in range(0, len(rows), HELD):
+        some = rows[at : at + HELD]
+        yield pa.RecordBatch.from_pydict({"packed": pa.array([some.tobytes()], pa.binary()), "uses": pa.array([int(some["uses"].sum())], pa.int64())})
+
+
+def rest_of(words: np.ndarray) -> np.ndarray:
+    """The vector that words without one of their own share, as a number below 2**(SHAPE_BITS + REST_BITS)."""
+    return words & U((1 << SHAPE_BITS + REST_BITS) - 1)
+
+
+def frequent(least: float) -> Callable:
+    """A function over batches of summed() that gives the rows of words with so many uses."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in unpacked(batches):
+            yield pa.RecordBatch.from_pydict({"packed": pa.array([rows[rows["uses"] >= least].tobytes()], pa.binary())})
+
+    return of
+
+
+def shared_rest(least: float, slots: int) -> Callable:
+    """A function over batches of summed() that gives the sums of the vectors that other words share, by slot."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for rows in unpacked(batches):
+            others = rows[rows["uses"] < least].copy()
+            others["word"] = rest_of(others["word"])
+            sums.add(others)
+        yield in_slots(sums.clear(), slots)
+
+    return of
+
+
+@dataclass
+class Vectors:
+    """The numbers of the words with vectors of their own in order, and all vectors: theirs, then those that others share."""
+
+    words: np.ndarray
+    rows: np.ndarray
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The vector of each number, as a row."""
+        at = np.minimum(np.searchsorted(self.words, numbers), max(len(self.words) - 1, 0))
+        own = self.words[at] == numbers if len(self.words) else np.zeros(len(numbers), bool)
+        return np.where(own, at, len(self.words) + rest_of(numbers).astype(np.int64))
+
+
+def word_vectors(docs: DataFrame) -> Vectors:
+    """A vector for each word, from all texts: the direction of its contexts beside that of all contexts."""
+    spark = docs.sparkSession
+    python_batches(spark)
+    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = "slot int, packed binary"
+    sums = checkpointed(in_arrow(in_arrow(docs.select("text"), contexts(slots), dealt).repartition("slot"), summed, "packed binary, uses long"))
+    total = sums.agg(F.sum("uses")).first()[0] or 0
+    least = total * SHARE
+    own, rest = (added(np.concatenate([np.zeros(0, CONTEXT), *unpacked(found.toArrow().to_batches())])) for found in (in_arrow(sums, frequent(least), "packed binary"), in_arrow(in_arrow(sums, shared_rest(least, slots), dealt).repartition("slot"), summed, "packed binary, uses long")))
+    every = np.zeros(len(own) + (1 << SHAPE_BITS + REST_BITS), CONTEXT)
+    every[: len(own)] = own
+    every[len(own) + rest["word"].astype(np.int64)] = rest
+    usual = every["vector"].sum(axis=0) / max(total, 1)
+    mean = every["vector"] / np.maximum(every["uses"], 1)[:, None] - np.where(every["uses"] > 0, 1, 0)[:, None] * usual
+    return Vectors(own["word"].copy(), (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+
+
+FEATURES = 2 * DIMS + 3 + (1 << SHAPE_BITS)
+
+
+def pooled(texts: list[str | None], tokens: _Tokens, vectors: Vectors) -> np.ndarray:
     """For each text the mean and deviation of its words' vectors, its length, and how its words and their shapes vary and repeat."""
     numbers, counts = token_numbers(texts, tokens)
     out = np.zeros((len(texts), FEATURES), np.float32)
     full = np.flatnonzero(counts)
     if len(full):
-        bucket = numbers >> 32
+        words, number = np.unique(numbers, return_inverse=True)
         starts = np.append(0, np.cumsum(counts[full])[:-1])
-        own = vectors[bucket]
+        own = vectors.rows[vectors.of(words)[number]]
         n = counts[full, None].astype(np.float32)
         mean = np.add.reduceat(own, starts, axis=0) / n
         square = np.add.reduceat(own * own, starts, axis=0) / n
         text = np.repeat(np.arange(len(full)), counts[full])
-        different = np.unique(text << 32 | bucket) >> 32
-        shapes = np.bincount(text << SHAPE_BITS | bucket >> WORD_BITS, minlength=len(full) << SHAPE_BITS).reshape(len(full), -1)
+        different = np.unique(text * len(words) + number) // len(words)
+        shapes = np.bincount(text << SHAPE_BITS | (words & U((1 << SHAPE_BITS) - 1)).astype(np.int64)[number], minlength=len(full) << SHAPE_BITS).reshape(len(full), -1)
         varied = np.bincount(different, minlength=len(full))[:, None] / n
-        repeats = np.bincount(text[1:][(numbers[1:] == numbers[:-1]) & (text[1:] == text[:-1])], minlength=len(full))[:, None] / n
+        repeats = np.bincount(text[1:][(number[1:] == number[:-1]) & (text[1:] == text[:-1])], minlength=len(full))[:, None] / n
         out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(n), varied, repeats, shapes / n])
     return out
 
@@ -165,17 +266,19 @@ def loss(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
-    """Adam on the logistic loss of part of the rows; the rest gives the best temperature. A constant if a label is missing or rows are few."""
+    """Adam on the logistic loss of most rows until that of a second part no longer falls; a third part gives the best temperature.
+
+    A constant if a label is missing or rows are few.
+    """
     if len(y) < 20 or y.min() == y.max():
         return constant(x.shape[1], float(y.mean()) if len(y) else 0.5)
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(y))
-    cut = max(1, int(CALIBRATION * len(y)))
-    later, now = order[:cut], order[cut:]
-    net = Network(x[now].mean(axis=0), x[now].std(axis=0) + 1e-3, draw.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
+    later, stopping, now = np.split(order, np.cumsum([max(1, int(part * len(y))) for part in (CALIBRATION, STOPPING)]))
+    net = Network(x[now].mean(axis=0), x[now].std(axis=0) + 1e-3, draw.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, 0.3 * HIDDEN**-0.5, HIDDEN), 0.0)
     z, names = (x - net.mean) / net.scale, ("w1", "b1", "w2", "b2")
-    first, second, step = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(3))
-    steps = 0
+    first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
+    steps, worse, least, best = 0, 0, np.inf, {}
     for _ in range(EPOCHS):
         for at in np.array_split(draw.permutation(now), max(1, len(now) // BATCH)):
             hidden = np.tanh(z[at] @ net.w1 + net.b1)
@@ -187,39 +290,47 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
                 first[k] = 0.9 * first[k] + 0.1 * step[k]
                 second[k] = 0.999 * second[k] + 0.001 * step[k] ** 2
                 setattr(net, k, getattr(net, k) - RATE * first[k] / (1 - 0.9**steps) / (np.sqrt(second[k] / (1 - 0.999**steps)) + 1e-8))
+        now_lost = loss(net.logits(x[stopping]), y[stopping])
+        worse = 0 if now_lost < least else worse + 1
+        if not worse:
+            least, best = now_lost, {k: np.copy(getattr(net, k)) for k in names}
+        if worse == PATIENCE:
+            break
+    for k, value in best.items():
+        setattr(net, k, value)
     logits = net.logits(x[later])
     net.temperature = float(min(np.geomspace(0.25, 8, 101), key=lambda t: loss(logits / t, y[later])))
     return net
 
 
-def pooling(spark: SparkSession, vectors: np.ndarray) -> Callable:
+def pooling(spark: SparkSession, vectors: Vectors) -> Callable:
     """A function of a text column that gives its pooled vector."""
-    shared = spark.sparkContext.broadcast(vectors)
+    shared = spark.sparkContext.broadcast((vectors.words, vectors.rows))
 
     def pool(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = _Tokens()
+        tokens, words = _Tokens(), Vectors(*shared.value)
         for batch in batches:
-            parts = [pooled(texts, tokens, shared.value) for texts in pieces(batch.to_pylist(), PIECE)]
+            parts = [pooled(texts, tokens, words) for texts in pieces(batch.to_pylist(), PIECE)]
             yield pa.array([row for part in parts for row in part], pa.list_(pa.float32()))
 
-    return F.arrow_udf(pool, "array<float>")
+    return F.arrow_udf(giving_back(pool), "array<float>")
 
 
-def scoring(spark: SparkSession, vectors: np.ndarray, net: Network) -> Callable:
+def scoring(spark: SparkSession, vectors: Vectors, net: Network) -> Callable:
     """A function of a text column that gives its score."""
-    shared = spark.sparkContext.broadcast((vectors, tuple(vars(net).values())))
+    shared = spark.sparkContext.broadcast(((vectors.words, vectors.rows), tuple(vars(net).values())))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, own = shared.value[0], Network(*shared.value[1])
+        words, own = Vectors(*shared.value[0]), Network(*shared.value[1])
         tokens = _Tokens()
         for batch in batches:
             parts = [own.scores(pooled(texts, tokens, words)) for texts in pieces(batch.to_pylist(), PIECE)]
             yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    return F.arrow_udf(score, "double")
+    return F.arrow_udf(giving_back(score), "double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, Network]:
+def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Vectors, Network]:
     """Word vectors from all texts of docs, and the network from those that labels (doc_id, quality) has.
 
     At most `most` labelled ids take part: those with the smallest hashes. Labels other than 0
@@ -228,8 +339,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.
     vectors = word_vectors(docs)
     one = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     sample = one.filter("quality = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), "quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", pooling(docs.sparkSession, vectors)(F.col("text")).alias("x"))
-    found = rows.toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", F.xxhash64("text").alias("text_hash"), "quality", pooling(docs.sparkSession, vectors)(F.col("text")).alias("x"))
+    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     return vectors, fit(found["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64), found["quality"].to_numpy().astype(np.float64))
 
 

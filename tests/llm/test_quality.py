@@ -35,8 +35,35 @@ def test_network_learns_and_is_calibrated():
 
 
 def test_contexts_tell_words_apart():
-    tokens, vectors, uses = quality._Tokens(), np.zeros(quality.BUCKETS * quality.DIMS), np.zeros(quality.BUCKETS, np.int64)
-    quality.add_contexts(vectors, uses, *quality.token_numbers(["the cat sat . the dog sat . the cat ran . the dog ran ."] * 9 + ["1 2 3 4"] * 9, tokens))
-    v = vectors.reshape(-1, quality.DIMS)
-    cat, dog, two = (v[tokens[w] >> 32] / max(np.linalg.norm(v[tokens[w] >> 32]), 1e-9) for w in ("cat", "dog", "2"))
+    tokens = quality._Tokens()
+    rows = quality.added(quality.contexts_of(*quality.token_numbers(["the cat sat . the dog sat . the cat ran . the dog ran ."] * 9 + ["1 2 3 4"] * 9, tokens)))
+    v = {int(r["word"]): r["vector"] / max(np.linalg.norm(r["vector"]), 1e-9) for r in rows}
+    cat, dog, two = (v[tokens[w]] for w in ("cat", "dog", "2"))
     assert cat @ dog > 0.95 > cat @ two
+
+
+def test_contexts_equal_brute_force_however_they_are_summed(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()][:40] + [None, "", "a", "b a"]
+    tokens, wanted = quality._Tokens(), {}
+    for text in texts:
+        words = [tokens[w] for w in quality.TOKEN.findall(text or "")]
+        for i, w in enumerate(words):
+            uses, vector = wanted.setdefault(w, [0, np.zeros(quality.DIMS, int)])
+            wanted[w][0] = uses + 1
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                for mark in range(quality.MARKS):
+                    bits = words[j] >> 8 + 8 * mark
+                    vector[bits & quality.DIMS - 1] += (1 - 2 * (bits >> 6 & 1)) * (j != i)
+    sums = quality.Sums()
+    for text in texts[::-1]:
+        sums.add(quality.contexts_of(*quality.token_numbers([text], tokens)))
+    rows = sums.clear()
+    assert rows["word"].tolist() == sorted(wanted) and all(wanted[int(r["word"])][0] == r["uses"] and (wanted[int(r["word"])][1] == r["vector"]).all() for r in rows)
+
+
+def test_vectors_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    one, other = (quality.word_vectors(docs.repartition(n)) for n in (1, 7))
+    assert (one.words == other.words).all() and (one.rows == other.rows).all() and len(one.words) > 1000
+    rare = np.array([8 * 12345 + 6], np.uint64)
+    assert one.of(one.words[:3]).tolist() == [0, 1, 2] and one.of(rare)[0] >= len(one.words)
