@@ -11,22 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import checkpointed, pieces, python_batches, remainder, table
+from tallyworks.llm.common import checkpointed, giving_back, in_arrow, pieces, python_batches, remainder, table
 
-#: Slots of the filters; each holds one bit for each language.
-SLOT_BITS = 20
+#: Slots of a filter for each n-gram of a language, and the least and most slots, as powers of two.
+SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 4, 14, 22
 #: Odd factors below 2**31, one for each hash of an n-gram: a product with 32 bits stays below 2**63.
 FACTORS = (0x2545F491, 0x61C88647)
-#: A language contains an n-gram if at least this share of the language's n-grams is it (so at
-#: most 1 / SHARE n-grams are in a filter) and no language has it LIFT times as often.
-SHARE = 2.0**-16
-LIFT = 8.0
-PIECE = 4_000_000
+#: For each of these shares a filter tells which languages have an n-gram at least so often among
+#: theirs; the first one holds every n-gram of each language, so that none is left out.
+SHARES = (0.0, 2.0**-16, 2.0**-12)
+PIECE = 400_000
 #: Other ASCII than letters becomes a space; bytes of other letters stay.
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNDETERMINED = "und"
 #: Entries of (language, n-gram) that a training task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def cleaned(text: str | None) -> bytes:
@@ -79,7 +78,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """languages in the order of their bits; masks: for each word of 64 languages the slots' bits; rates: how often a bit is set by chance."""
+    """languages in the order of their bits; masks: for each word of 64 languages and each share the slots' bits; rates: how often a language's bit is set by chance, for each share."""
 
     languages: list[str]
     masks: np.ndarray
@@ -87,7 +86,7 @@ class Model:
     commonest: int
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language of each text and its part of all languages' corrected shares of n-grams.
+        """The language of each text and its part of all languages' shares of n-grams, corrected for chance.
 
         Without any n-gram that a language contains it is the commonest language, with score 0.
         """
@@ -99,16 +98,19 @@ class Model:
         shares = np.zeros((len(texts), len(self.languages)))
         if len(full):
             keys = np.concatenate([found[i] for i in full]).astype(np.uint64)
-            slots = [(keys * np.uint64(f) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - SLOT_BITS) for f in FACTORS]
+            places = 32 - int(self.masks.shape[2]).bit_length() + 1
+            slots = [(keys * np.uint64(f) & np.uint64(0xFFFFFFFF)) >> np.uint64(places) for f in FACTORS]
             starts = np.append(0, np.cumsum(sizes[full])[:-1])
-            for k in range(len(self.languages)):
-                if k % 64 == 0:
-                    within = self.masks[k // 64][slots[0]]
+            for first in range(0, len(self.languages), 64):
+                for tier, masks in enumerate(self.masks[first // 64]):
+                    within = masks[slots[0]]
                     for s in slots[1:]:
-                        within &= self.masks[k // 64][s]
-                hits = np.add.reduceat(within >> np.uint64(k % 64) & np.uint64(1), starts)
-                shares[full, k] = (hits / sizes[full] - self.rates[k]) / (1 - self.rates[k])
-        shares = np.clip(shares, 0, 1)
+                        within &= masks[s]
+                    for k in range(first, min(first + 64, len(self.languages))):
+                        hits = np.add.reduceat(within >> np.uint64(k % 64) & np.uint64(1), starts) / sizes[full]
+                        chance = self.rates[tier, k]
+                        if chance < 1:  # a filter that is full tells nothing
+                            shares[full, k] += np.clip((hits - chance) / (1 - chance), 0, 1) / len(SHARES)
         total = shares.sum(axis=1)
         best = np.where(total > 0, shares.argmax(axis=1), self.commonest)
         score = np.divide(shares.max(axis=1), total, out=np.zeros(len(texts)), where=total > 0)
@@ -120,28 +122,31 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """The filters from text and lang of docs; rows with a null in either are left out.
 
-    Counts cover every n-gram. The members of a filter are at most 1 / SHARE for each language,
-    and only the slots (2**SLOT_BITS for each 64 languages) come to the driver.
+    Counts cover every n-gram, and every n-gram of a language is in its first filter. Filters have
+    as many slots as the n-grams need, 2**MOST_BITS at most; those slots (for each 64 languages and
+    share) are all that comes to the driver. Beyond that they fill, and the correction for chance
+    grows: they never lose an n-gram.
     """
     spark = docs.sparkSession
     python_batches(spark)
-    counted = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(gram_counts, "lang string, gram long, n long")
+    counted = in_arrow(docs.filter("lang is not null and text is not null").select("lang", "text"), gram_counts, "lang string, gram long, n long")
     counts = checkpointed(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r.lang: (r.n, r.grams) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).collect()}
     languages = sorted(totals)
+    needed = SLOTS_A_GRAM * max((grams for _, grams in totals.values()), default=1)
+    bits = min(max(LEAST_BITS, (needed - 1).bit_length()), MOST_BITS)
+    masks = np.zeros((max(1, (len(languages) + 63) // 64), len(SHARES), 1 << bits), np.uint64)
     if not languages:
-        return Model([], np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0), 0)
-    sizes = spark.createDataFrame([(x, i, totals[x]) for i, x in enumerate(languages)], "lang string, bit int, total long")
+        return Model([], masks, np.zeros((len(SHARES), 0)), 0)
+    sizes = spark.createDataFrame([(x, i, totals[x][0]) for i, x in enumerate(languages)], "lang string, bit int, total long")
     shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("total"))
-    most = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("bit", "share")).alias("own"))
-    member = most.select("gram", "most", F.inline("own")).filter((F.col("share") >= SHARE) & (F.col("share") * LIFT >= F.col("most")))
-    slots = F.explode(F.array(*[F.shiftrightunsigned(F.col("gram") * F.lit(f) % F.lit(1 << 32), 32 - SLOT_BITS) for f in FACTORS])).alias("slot")
-    bits = member.select(slots, F.floor(F.col("bit") / 64).alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("mask"))
-    table_ = bits.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(((len(languages) + 63) // 64, 1 << SLOT_BITS), np.uint64)
-    masks[table_["word"].to_numpy(), table_["slot"].to_numpy()] = table_["mask"].to_numpy().view(np.uint64)
-    full = np.array([(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(languages))])
-    return Model(languages, masks, full ** len(FACTORS), max(range(len(languages)), key=lambda k: totals[languages[k]]))
+    tiers = F.explode(F.array_compact(F.array(*[F.when(F.col("share") >= least, F.lit(i)) for i, least in enumerate(SHARES)]))).alias("tier")
+    slots = F.explode(F.array(*[F.shiftrightunsigned(F.col("gram") * F.lit(f) % F.lit(1 << 32), 32 - bits) for f in FACTORS])).alias("slot")
+    member = shares.select("gram", "bit", tiers).select("bit", "tier", slots)
+    words = member.groupBy(F.floor(F.col("bit") / 64).alias("word"), "tier", "slot").agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask")).toArrow()
+    masks[tuple(words[c].to_numpy() for c in ("word", "tier", "slot"))] = words["mask"].to_numpy().view(np.uint64)
+    full = np.array([[(masks[k // 64, tier] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(languages))] for tier in range(len(SHARES))])
+    return Model(languages, masks, full ** len(FACTORS), max(range(len(languages)), key=lambda k: totals[languages[k]][0]))
 
 
 def predictor(spark: SparkSession, model: Model) -> Callable:
@@ -158,7 +163,7 @@ def predictor(spark: SparkSession, model: Model) -> Callable:
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
-    return F.arrow_udf(predict, "struct<lang_pred string, score double>")
+    return F.arrow_udf(giving_back(predict), "struct<lang_pred string, score double>")
 
 
 def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -174,7 +179,11 @@ def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language."""
+    """The rows of docs whose text has a language, with the columns of docs; the filters are learned from docs.
+
+    Rows with a null text or one without a letter go, as do all rows if none has a lang. Null ids and
+    rows that repeat stay as they are; no documents give no rows.
+    """
     return identified(docs).filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 

@@ -38,3 +38,20 @@ def test_short_and_mixed_texts():
     assert list(language.grams(language.cleaned("a"))) == [int.from_bytes(b" a  ", "big")]
     assert language.cleaned("É1é—x") == " é é— x ".replace(" é é— x ", " é é—x ").encode()
     assert language.has_letter("1é") and not language.has_letter("12 —") and not language.has_letter(None)
+
+
+def test_every_gram_of_a_language_is_found(spark):
+    """The first filter has full recall, however rare an n-gram is; beyond it only chance sets bits."""
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text and r.lang]
+    model = language.learn(documents(spark, [(i, t, g) for i, (t, g) in enumerate(rows)]))
+    held = {g: set() for g in model.languages}
+    for text, lang in rows:
+        held[lang] |= set(language.grams(language.cleaned(text)).tolist())
+    every = np.array(sorted(set().union(*held.values())), np.uint64)
+    places = np.uint64(32 - (model.masks.shape[2].bit_length() - 1))
+    for k, lang in enumerate(model.languages):
+        found = np.ones(len(every), bool)
+        for factor in language.FACTORS:
+            found &= (model.masks[k // 64, 0][(every * np.uint64(factor) & np.uint64(0xFFFFFFFF)) >> places] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)
+        own = np.isin(every, np.array(sorted(held[lang]), np.uint64))
+        assert found[own].all() and abs(found[~own].mean() - model.rates[0, k]) < 0.1
