@@ -226,7 +226,48 @@ def test_typed_names_phrases_and_stand_ins(text, literal):
     assert [text[a:b] for a, b, _ in secrets.assigned(text)] == ([literal] if literal else [])
 
 
-@pytest.mark.parametrize("text", ["a:b<a:b<" * 40_000, "a:b|b" * 50_000, "a: b<c<d>c" * 30_000, "const " * 50_000, "a:b[b::b" * 40_000, "a" + ":b|" * 90_000, "a: b" + "|b" * 100_000])
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        ("os.environ['API_TOKEN'] = 'zz81LmQx0p'", "zz81LmQx0p"),
+        ("<db><password>zz81LmQx0p</password></db>", "zz81LmQx0p"),
+        ('<add key="DbPassphrase" value="zz81LmQx0p" />', "zz81LmQx0p"),
+        ('<conn authToken="zz81LmQx0p">', "zz81LmQx0p"),
+        ("auth_token = (\n    'zz81LmQx0p'\n)", "zz81LmQx0p"),
+        ("auth_token = 'zz81' + 'LmQx0p'", "zz81' + 'LmQx0p"),
+        ("auth_token = ('zz81'\n   'LmQx0p')", "zz81'\n   'LmQx0p"),
+        ('db_pwd = "zz81\\"LmQx0p"', 'zz81\\"LmQx0p'),
+        ("db_pwd = \"\"\"zz81LmQx0p\"\"\"", "zz81LmQx0p"),
+        ("connect(host, authToken='zz81LmQx0p', port=1)", "zz81LmQx0p"),
+        ('{"client": {"secretKey": "zz81LmQx0p"}}', "zz81LmQx0p"),
+        ("client:\n  signingKey: zz81LmQx0p\n", "zz81LmQx0p"),
+        ("client:\n  signingKey: |\n    zz81LmQx0p\nnext: 1", "zz81LmQx0p"),
+        ("[db]\npassphrase=zz81LmQx0p\n", "zz81LmQx0p"),
+        ("export AUTH_TOKEN=zz81LmQx0p", "zz81LmQx0p"),
+        ("run --auth-token=zz81LmQx0p now", "zz81LmQx0p"),
+        ("cfg.setPassphrase(\"zz81LmQx0p\");", "zz81LmQx0p"),
+        ('env.put("AUTH_TOKEN", "zz81LmQx0p")', "zz81LmQx0p"),
+        ("# db_pwd = 'zz81LmQx0p'", "zz81LmQx0p"),
+        ("/* db_pwd = 'zz81LmQx0p' */ x = 1", "zz81LmQx0p"),
+        ('say("db_pwd = zz81LmQx0p")', "zz81LmQx0p"),
+        ("# K = 'zz81LmQx0p'\nauth_token = K", None),  # a comment gives code nothing
+        ("def f():\n    K = 'zz81LmQx0p'\nauth_token = K", None),  # another scope
+        ("K = 'zz81LmQx0p'\ndef f():\n    auth_token = K", "zz81LmQx0p"),
+        ("K = 'zz81LmQx0p'\ndef f():\n    K = g\n    x = K\nauth_token = K", "zz81LmQx0p"),
+        ("function f() { var K = 'zz81LmQx0p' } authToken = K", None),
+        ("K = 'zz81'\nauth_token = K + 'LmQx0p'", "LmQx0p"),
+        ("auth_token = os.getenv('AUTH_TOKEN')", None),
+        ("auth_token = f('zz81LmQx0p')", None),
+        ("auth_token = 'zz81LmQx0p' + g(1)", None),
+        ("auth_token == 'zz81LmQx0p'", None),
+        ("don't say token it's zz81LmQx0p", None),
+    ],
+)
+def test_lexer(text, literal):
+    assert [text[a:b] for a, b, _ in secrets.assigned(text)] == ([literal] if literal else [])
+
+
+@pytest.mark.parametrize("text", ["a:b<a:b<" * 40_000, "a:b|b" * 50_000, "a: b<c<d>c" * 30_000, "const " * 50_000, "a:b[b::b" * 40_000, "/* " * 90_000, '\\"' * 100_000, '"' + '\\"' * 100_000, "<a " * 90_000, "<a>" * 90_000, "token='a'" * 30_000, "a='" * 90_000, "(" * 200_000, "a=(" * 90_000, "x = 'a' + " * 30_000, "{k='v1'" * 40_000, "a" + ":b|" * 90_000, "a: b" + "|b" * 100_000])
 def test_types_take_little_time(text):
     began = time.time()
     secrets.spans_of(text)
