@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyworks.operators import checks, documents, items, portfolio, recurring, retrieval, risk, trends
+from tallyworks.operators import assessments, checks, documents, items, listings, portfolio, recurring, retrieval, risk, trends
 from tallyworks.sources import sinks
 from tallyworks.streaming import gate, telemetry
 
-_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, documents, sinks, gate, telemetry)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, assessments, listings, documents, sinks, gate, telemetry)
 
 
 def queries() -> dict:
