@@ -4,7 +4,9 @@ The trie of contexts is learned from all training texts: windows of ORDER + 1 by
 Spark, and shorter ones come from them by summing. Every (context, symbol) that occurs is an entry,
 however rare. Symbols without an entry share the escape probability; they take the probabilities of
 the context that is one byte shorter, without the symbols that have an entry, so each context's
-probabilities sum to 1.
+probabilities sum to 1. How often a context escapes is estimated for each order from all contexts
+with about as many symbols and as many different ones: by how many of their symbols would be new
+if each were left out once.
 
 Windows are dealt by the last LOCAL bytes of their contexts, so a partition holds all that contexts
 of this length and longer need; shorter ones have few different entries, which all tasks get. The
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import checkpointed, pieces, python_batches, remainder_of, table
+from tallyworks.llm.common import checkpointed, in_arrow, pieces, python_batches, remainder_of, table
 
 ORDER = 6
 #: Windows are dealt by this many bytes; entries of shorter contexts, 2**24 at most, go to all tasks.
@@ -34,11 +36,11 @@ FREQUENT, STEPS = 2**20, 8
 SHARE = 2.0**-20
 #: Words with fewer training tokens than this are looked up by a shuffle even in small inputs.
 LEAST_HEAVY = 16
-#: What an entry's count leaves to the escape; so a context's escape follows its number of symbols.
-DISCOUNT = 0.5
-PIECE = 1_000_000
+#: Contexts are alike in escaping by their number of symbols (beyond EXACT by its doublings) and of different ones.
+EXACT, DOUBLINGS, TYPES_APART = 8, 8, 6
+PIECE = 250_000
 #: Rows that a task holds before it sums them or deals them out, and words whose hashes it remembers.
-HELD, REMEMBERED = 1_000_000, 500_000
+HELD, REMEMBERED = 900_000, 150_000
 #: Buckets for each of Spark's shuffle partitions.
 BUCKETS = 4
 #: Texts of one remainder of crc32 are held out.
@@ -120,8 +122,12 @@ class Tallies:
             self.rows = self.summed = len(self.parts[0])
 
     def sum(self) -> np.ndarray:
-        rows = np.concatenate(self.parts) if self.parts else np.empty(0, COUNT)
-        return tally(rows["key"], rows["n"])
+        """The sums of all that came in; the parts are given up before they are sorted."""
+        rows = np.concatenate([np.empty(0, COUNT), *self.parts])
+        self.parts = []
+        keys, n = rows["key"].copy(), rows["n"].copy()
+        del rows
+        return tally(keys, n)
 
     def clear(self) -> np.ndarray:
         out = self.sum()
@@ -129,6 +135,18 @@ class Tallies:
         return out
 
 
+def wired(rows: np.ndarray) -> bytes:
+    """Counts as bytes: all keys, then all counts; those of one task fit into 32 bits."""
+    return rows["key"].tobytes() + rows["n"].astype(np.uint32).tobytes()
+
+
+def unwired(packed: bytes) -> np.ndarray:
+    n = len(packed) // 12
+    out = np.empty(n, COUNT)
+    out["key"], out["n"] = np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.uint32, offset=8 * n)
+    return out
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * U(0x9E3779B97F4A7C15) >> U(32)) % U(buckets)).astype(np.int64)
 
@@ -146,7 +164,7 @@ def dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[
         yield int(b), rows[ends[b] : ends[b + 1]].tobytes()
 
 
-WINDOW, WORD, TYPES, TOKENS, SHORT, LEVEL, SCORE = range(7)
+WINDOW, WORD, TYPES, TOKENS, SHORT, LEVEL, SCORE, LEFT_OUT, NEW = range(9)
 
 
 def training_counts(buckets: int):
@@ -162,7 +180,7 @@ def training_counts(buckets: int):
         def out(kind: int) -> pa.RecordBatch:
             rows = held[kind].clear()
             parts = list(dealt(rows, bucket_of(local(rows["key"]) if kind == WINDOW else rows["key"], buckets), buckets))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "kind": pa.array([kind] * len(parts), pa.int32()), "packed": pa.array([x for _, x in parts], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "kind": pa.array([kind] * len(parts), pa.int32()), "packed": pa.array([wired(np.frombuffer(x, COUNT)) for _, x in parts], pa.binary())})
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -211,7 +229,7 @@ def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for kind, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tallies[kind].add(np.frombuffer(packed, COUNT))
+            tallies[kind].add(unwired(packed))
     words = tallies.pop(WORD).clear()
     yield from rows_of(TYPES, np.zeros(1), np.array([len(words)]))
     yield from rows_of(TOKENS, np.zeros(1), np.array([words["n"].sum()]))
@@ -225,6 +243,10 @@ def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from rows_of(SHORT, short["key"], short["n"])
     levels, n = np.unique(count_level(found["n"]), return_counts=True)
     yield from rows_of(LEVEL, levels, n)
+    for order, level in enumerate(levels_of(found["key"], found["n"], range(LOCAL, ORDER + 1)), LOCAL):
+        for kind, n in zip((LEFT_OUT, NEW), left_out(level), strict=True):
+            at = np.flatnonzero(n)
+            yield from rows_of(kind, order * CLASSES + at, n[at])
 
 
 def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,22 +255,65 @@ def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
+CLASSES = (EXACT + DOUBLINGS) * TYPES_APART
+
+
+def alike(total: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """The class of contexts with so many symbols, so many of them different."""
+    doublings = np.floor(np.log2(np.maximum(total, 1) / EXACT)).astype(np.int64)
+    size = np.where(total <= EXACT, total - 1, EXACT + np.clip(doublings, 0, DOUBLINGS - 1))
+    return size * TYPES_APART + np.minimum(types, TYPES_APART) - 1
+
+
+def contexts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys the contexts, where each begins, and the place of each key's context."""
+    first = firsts(keys >> 8)
+    types = np.diff(np.append(first, len(keys)))
+    return (keys >> 8)[first], first, np.repeat(np.arange(len(first)), types)
+
+
+def left_out(level: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each class how many symbols of an order's contexts leave a context of that class if they are left out once, and how many of these it doesn't have then."""
+    keys, n, total = level
+    _, first, back = contexts_of(keys)
+    types = np.bincount(back, minlength=len(first))[back]
+    several = total > 1
+    classes = alike(total - 1, types - (n == 1))[several]
+    n, single = n[several], (n == 1)[several]
+    return np.bincount(classes, n, CLASSES).astype(np.int64), np.bincount(classes, single, CLASSES).astype(np.int64)
+
+
+def escapes_of(left: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The probability to escape of each class; half where nothing tells."""
+    return (new + 0.5) / (left + 1)
+
+
+def entry_probabilities(level: tuple[np.ndarray, np.ndarray, np.ndarray], escapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each entry, and that of the escape of each context."""
+    keys, n, total = level
+    _, first, back = contexts_of(keys)
+    escape = escapes[alike(total[first], np.bincount(back, minlength=len(first)))]
+    return n / total * (1 - escape[back]), escape
+
+
 class Trie:
     """Contexts of each order with their entries' probabilities and weights of escape, as decimal logarithms."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shorter: Trie | None = None):
-        """levels: for orders 0, 1, ..., or those after a trie of shorter contexts: keys (context and symbol) of the entries, their counts, their contexts' totals."""
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shorter: Trie | None = None, escapes: np.ndarray | None = None):
+        """levels: for orders 0, 1, ..., or those after a trie of shorter contexts: keys (context and symbol) of the entries, their counts, their contexts' totals.
+
+        escapes: for each order and class the probability to escape; without it, it is estimated from the levels.
+        """
         self.levels = list(shorter.levels) if shorter else []
         lower = (self.levels[-1][0], 10 ** self.levels[-1][1]) if shorter else None
         for order, (keys, n, total) in enumerate(levels, len(self.levels)):
             by_key = np.argsort(keys)
-            keys, n, total = keys[by_key], n[by_key], total[by_key]
-            contexts, first, back = np.unique(keys >> 8, return_index=True, return_inverse=True)
-            p = (n - DISCOUNT) / total[first][back]
-            escape = 1 - np.bincount(back, p, len(contexts))
-            shorter = np.full(len(keys), 1 / 256) if lower is None else lower[1][np.searchsorted(lower[0], keys & ((1 << 8 * order) - 1))]
-            left = 1 - np.bincount(back, shorter, len(contexts))
-            weight = np.where(left > 1e-12, np.clip(escape, 1e-300, 1) / np.maximum(left, 1e-12), 1.0)
+            level = keys, n, total = keys[by_key], n[by_key], total[by_key]
+            contexts, _, back = contexts_of(keys)
+            p, escape = entry_probabilities(level, escapes_of(*left_out(level)) if escapes is None else escapes[order])
+            below = np.full(len(keys), 1 / 256) if lower is None else lower[1][np.searchsorted(lower[0], keys & ((1 << 8 * order) - 1))]
+            left = 1 - np.bincount(back, below, len(contexts))
+            weight = np.where(left > 1e-12, escape / np.maximum(left, 1e-12), 1.0)
             self.levels.append((keys, np.log10(p), contexts, np.log10(weight)))
             lower = (keys, p)
 
@@ -289,14 +354,16 @@ def packed_windows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return np.concatenate([np.empty(0, COUNT), *(np.frombuffer(x, COUNT) for batch in batches for x in batch.column(0).to_pylist())])
 
 
-def frequent_windows(least: int):
+def frequent_windows(least: int, escapes: np.ndarray):
     """A function over a partition's packed windows that gives the key and score of those whose level of counts is at least this."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = packed_windows(batches)
-        [(keys, n, total)] = levels_of(*(lambda own: (own["key"], own["n"]))(found[found["n"] > 0]), range(ORDER, ORDER + 1))
-        some = count_level(n) >= least
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[some]), "score": pa.array(np.log10((n[some] - DISCOUNT) / total[some]))})
+        own = found[found["n"] > 0]
+        [level] = levels_of(own["key"], own["n"], range(ORDER, ORDER + 1))
+        some = count_level(level[1]) >= least
+        p, _ = entry_probabilities(level, escapes[ORDER])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(level[0][some]), "score": pa.array(np.log10(p[some]))})
 
     return frequent
 
@@ -304,13 +371,13 @@ def frequent_windows(least: int):
 SCORES = np.dtype([("key", "<u8"), ("score", "<f8")])
 
 
-def other_windows(shorter, least: int, buckets: int):
+def other_windows(shorter, escapes: np.ndarray, least: int, buckets: int):
     """A function over a partition's packed windows that gives those that aren't frequent, with their scores, by bucket."""
 
     def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = packed_windows(batches)
         own = found[found["n"] > 0]
-        trie = Trie(levels_of(own["key"], own["n"], range(LOCAL, ORDER + 1)), shorter.value)
+        trie = Trie(levels_of(own["key"], own["n"], range(LOCAL, ORDER + 1)), shorter.value, escapes)
         found = found[(found["n"] == 0) | (count_level(found["n"]) < least)]
         for at in range(0, len(found), HELD // 2):
             keys = found["key"][at : at + HELD // 2]
@@ -500,8 +567,8 @@ def scored(docs: DataFrame) -> DataFrame:
     python_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered = own.mapInArrow(training_counts(buckets), "bucket int, kind int, packed binary")
-    counts = checkpointed(gathered.repartition("bucket").select("kind", "packed").mapInArrow(summed_counts, SUMMED))
+    gathered = in_arrow(own, training_counts(buckets), "bucket int, kind int, packed binary")
+    counts = checkpointed(in_arrow(gathered.repartition("bucket").select("kind", "packed"), summed_counts, SUMMED))
     sums = {r.kind: r.n for r in counts.filter(F.col("kind").isin(TYPES, TOKENS)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     types, tokens = sums.get(TYPES, 0), sums.get(TOKENS, 0)
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") >= tokens * SHARE)).select("key", "n").toArrow()
@@ -511,13 +578,20 @@ def scored(docs: DataFrame) -> DataFrame:
     numbers = np.cumsum([r.n for r in at_level])
     least = min((r.key for r, n in zip(at_level, numbers, strict=True) if n <= FREQUENT), default=1 << 30)
     all_windows = counts.filter(F.col("kind") == WINDOW).select("packed")
-    common = all_windows.mapInArrow(frequent_windows(least), "key long, score double").toArrow().sort_by("key")
     short = counts.filter(F.col("kind") == SHORT).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    trie = Trie(levels_of(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), range(LOCAL)))
+    short_levels = levels_of(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), range(LOCAL))
+    found = np.zeros((2, (ORDER + 1) * CLASSES), np.int64)
+    for length, level in enumerate(short_levels):
+        found[:, length * CLASSES : (length + 1) * CLASSES] = left_out(level)
+    for r in counts.filter(F.col("kind").isin(LEFT_OUT, NEW)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+        found[0 if r.kind == LEFT_OUT else 1, r.key] = r.n
+    escapes = escapes_of(*found).reshape(ORDER + 1, CLASSES)
+    common = in_arrow(all_windows, frequent_windows(least, escapes), "key long, score double").toArrow().sort_by("key")
+    trie = Trie(short_levels, escapes=escapes)
     shared = spark.sparkContext.broadcast((common["key"].to_numpy(), common["score"].to_numpy(), heavy[order], heavy_n[order]))
-    others = all_windows.mapInArrow(other_windows(spark.sparkContext.broadcast(trie), least, buckets), "bucket int, kind int, packed binary")
-    dealt_out = own.mapInArrow(scored_texts(shared, buckets), SCORED).unionByName(others, allowMissingColumns=True).repartition("bucket")
-    summed = dealt_out.mapInArrow(counted_uses(buckets), PARTS).repartition("bucket").mapInArrow(added_up, WHOLE)
+    others = in_arrow(all_windows, other_windows(spark.sparkContext.broadcast(trie), escapes, least, buckets), "bucket int, kind int, packed binary")
+    dealt_out = in_arrow(own, scored_texts(shared, buckets), SCORED).unionByName(others, allowMissingColumns=True).repartition("bucket")
+    summed = in_arrow(in_arrow(dealt_out, counted_uses(buckets), PARTS).repartition("bucket"), added_up, WHOLE)
     each = float(np.log10(tokens + 0.1 * (types + 1)))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")
 
