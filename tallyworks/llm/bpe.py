@@ -11,12 +11,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import pieces, python_batches, table
+from tallyworks.llm.common import giving_back, pieces, python_batches, table
 
 #: Words whose ids a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters that are encoded at once.
-PIECE = 2_000_000
+PIECE = 300_000
 #: How the vocabulary's pattern splits a text (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.iinfo(np.int32).max
@@ -166,7 +166,7 @@ def encoder(path: str) -> Callable:
             ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
 
-    return F.arrow_udf(encode_texts, "array<int>")
+    return F.arrow_udf(giving_back(encode_texts), "array<int>")
 
 
 def decoder(path: str) -> Callable:
@@ -179,7 +179,7 @@ def decoder(path: str) -> Callable:
             ids = batch.flatten().fill_null(-1).to_numpy()
             yield pa.array(decode(ids, counts, vocabulary), pa.string())
 
-    return F.arrow_udf(decode_ids, "string")
+    return F.arrow_udf(giving_back(decode_ids), "string")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
