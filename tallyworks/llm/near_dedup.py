@@ -3,8 +3,13 @@
 A text's set holds its distinct 5-word shingles. Texts with equal sets form a class, and one of
 each class goes on. All sets are put in one order, rare shingles first. If two sets overlap in t,
 the first |x| - t + l of each share at least l: so a set is found by l shared tokens of a prefix of
-that length, and each set takes the l that makes its own search cheapest. Pairs that share as many
-tokens as the prefixes' lengths demand are verified on whole sets.
+that length, and each set takes the l that makes its own search cheapest, a small part of its size
+at least. Pairs that share as many tokens as the prefixes' lengths demand are verified on whole sets.
+
+What many texts share is spared the search: of l tokens that two sets share in their prefixes, the
+rarest one is never among the l - 1 most frequent ones of either. So each set leaves out about as
+many of its prefix's most frequent tokens, by how many classes really have them, and passages that
+thousands of texts share make no pairs.
 
 Near copies come in groups of thousands, whose pairs must not all be made. Components only need
 enough links to hold together, so every class is first verified against a few others that its
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import checkpointed, pieces, python_batches, table
+from tallyworks.llm.common import checkpointed, giving_back, in_arrow, pieces, python_batches, table
 from tallyworks.operators.graph import components
 
 WORDS = 5
@@ -38,15 +43,14 @@ SKETCH_BITS, SLICES = 22, 16
 #: Codes for each doubling of a frequency, and the frequencies that codes stand for.
 STEPS = 8
 LEVELS = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
-#: How many shared tokens a set may ask for. More would lengthen prefixes of copies that differ in
-#: many words into what all of them share.
-MATCHES = (1, 2, 3)
+#: A set asks for this part of its shingles as shared tokens at least, and takes one of these multiples of that.
+PART, MULTIPLES = 16, (1, 2, 4)
 #: Verifying a pair costs as much as reading this part of a set's postings.
 VERIFY = 1 / 16
 #: Shingles that are this much more frequent than their bucket's share skip the search for shared ones.
 HOT = 200
 #: Bytes of tokens that a task looks through at once, and tokens that it gathers before it deals them out.
-TASK_BYTES, GATHERED = 16_000_000, 500_000
+TASK_BYTES, GATHERED = 8_000_000, 150_000
 #: Bits of the filter of classes whose sets are needed.
 FILTER_BITS = 24
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two in all.
@@ -54,7 +58,7 @@ BITMAP_BITS = 4
 #: Other classes that each class is verified against first; the last step is exact however many there are.
 TURNS = 3
 #: Characters whose shingles are made at once.
-PIECE = 2_000_000
+PIECE = 250_000
 
 U = np.uint64
 
@@ -173,22 +177,37 @@ def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _record("slice int, codes binary", slice=list(sums), codes=[frequency_codes(x).tobytes() for x in sums.values()])
 
 
+def least_matches(n):
+    """How many shared tokens a set of that size asks for at least; more for larger sets, so those that it links with ask for as many as their size may be smaller."""
+    return np.maximum(n // PART, 1)
+
+
+def spared(n: Column) -> Column:
+    """How many of its most frequent tokens a set leaves out: one less than what the smallest set that it may link with asks for."""
+    smallest = F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
+    return F.greatest(F.floor(smallest / PART), F.lit(1)) - 1
+
+
 def least_overlap(n: int) -> int:
     """The smallest overlap of a set of that size with any that it links with."""
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def prefix_of(shingles: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, int]:
+def excess_of(codes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """How much more frequent the shingles are than chance explains."""
+    return LEVELS[codes[(shingles >> U(64 - SKETCH_BITS)).astype(np.int64)]]
+
+
+def prefix_of(shingles: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, int]:
     """The prefix of a set, and how many of its tokens a partner must share.
 
     The order is by the power of two of the estimated frequency, then by hash. With l matches the
     prefix's postings are read, and about a part 1 / l of them become pairs to verify.
     """
-    expected = excess[(shingles >> U(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((shingles, np.ceil(np.log2(expected + 1))))
     need = least_overlap(len(shingles))
     read = np.cumsum(expected[order])
-    choices = [m for m in MATCHES if m <= need]
+    choices = sorted({min(int(least_matches(len(shingles))) * x, need) for x in MULTIPLES})
     lengths = [len(shingles) - need + m for m in choices]
     costs = [length + read[length - 1] * (1 + VERIFY * len(shingles) / m) for m, length in zip(choices, lengths, strict=True)]
     best = int(np.argmin(costs))
@@ -196,39 +215,39 @@ def prefix_of(shingles: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, int
 
 
 TOKENS = "bucket int, packed binary, token long, cls long, n long, matches int, place int"
-PACKED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("matches", "u1"), ("place", "<u4")])
+PACKED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("matches", "<u4"), ("place", "<u4")])
 
 
 def tokens_of(codes: np.ndarray, buckets: int):
     """A function over batches of texts that gives their prefix tokens, dealt to buckets; hot ones as rows."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of, excess = Shingler(), LEVELS[codes]
+        shingles_of = Shingler()
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held)
             held.clear()
-            hot = excess[(rows["token"] >> U(64 - SKETCH_BITS)).astype(np.int64)] > HOT
+            hot = excess_of(codes, rows["token"]) > HOT
             if hot.any():
                 some = rows[hot]
                 spread = (some["cls"] % buckets).astype(np.int32)
                 yield _record(TOKENS, bucket=spread, **posting_columns(some))
             rows = rows[~hot]
             bucket = (rows["token"] % U(buckets)).astype(np.int64)
-            rows = rows[np.argsort(bucket, kind="stable")]
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            full = [b for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
-            if full:
-                yield _record(TOKENS, bucket=full, packed=[rows[ends[b - 1] if b else 0 : ends[b]].tobytes() for b in full])
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            if len(rows):
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(rows))
+                yield _record(TOKENS, bucket=bucket[cuts[:-1]].astype(np.int32), packed=[rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
         for batch in batches:
             for own in sets_of(shingles_of, batch.column(0).to_pylist()):
                 if not len(own) or (cls := class_of(own)) in seen:
                     continue
                 seen.add(cls)
-                prefix, matches = prefix_of(own, excess)
+                prefix, matches = prefix_of(own, excess_of(codes, own))
                 rows = np.empty(len(prefix), PACKED)
                 rows["token"], rows["cls"], rows["n"], rows["matches"], rows["place"] = prefix, cls, len(own), matches, np.arange(len(prefix))
                 held.append(rows)
@@ -240,7 +259,9 @@ def tokens_of(codes: np.ndarray, buckets: int):
     return tokens
 
 
-POSTINGS = "token long, cls long, n long, matches int, place int"
+POSTINGS = "token long, cls long, n long, matches int, place int, classes int"
+#: Stands for the number of classes of hot tokens, which no task sees as a whole.
+MANY = 2**31 - 1
 
 
 def posting_columns(rows: np.ndarray) -> dict:
@@ -248,12 +269,13 @@ def posting_columns(rows: np.ndarray) -> dict:
 
 
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of a partition that more than one class has, a row for each class; hot tokens as they come."""
+    """The tokens of a partition that more than one class has, a row for each class, with the number of classes; hot tokens as they come."""
     parts = []
     for batch in batches:
         packed = pc.is_valid(batch.column(0))
         parts += [np.frombuffer(x, PACKED) for x in batch.column(0).filter(packed).to_pylist()]
-        yield batch.filter(pc.invert(packed)).drop_columns(["packed"])
+        hot = batch.filter(pc.invert(packed)).drop_columns(["packed"])
+        yield hot.append_column("classes", pa.array(np.full(len(hot), MANY, np.int32)))
     if not parts:
         return
     rows = np.concatenate(parts)
@@ -261,10 +283,18 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1]))
     rows = rows[new]
     first = np.append(True, rows["token"][1:] != rows["token"][:-1])
-    single = first & np.append(first[1:], True)
-    rows = rows[~single]
+    runs = np.diff(np.append(np.flatnonzero(first), len(rows)))
+    classes = np.repeat(runs, runs).astype(np.int32)
+    rows, classes = rows[classes > 1], classes[classes > 1]
     for at in range(0, len(rows), 100_000):
-        yield _record(POSTINGS, **posting_columns(rows[at : at + 100_000]))
+        yield _record(POSTINGS, **posting_columns(rows[at : at + 100_000]), classes=classes[at : at + 100_000])
+
+
+def searched(postings: DataFrame) -> DataFrame:
+    """The postings without those of each set's most frequent tokens that it leaves out."""
+    order = Window.partitionBy("cls").orderBy(F.desc("classes"), F.desc("token"))
+    ranked = postings.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > spared(F.col("n")))
+    return ranked.drop("rank", "classes")
 
 
 def filter_slots(cls) -> list:
@@ -365,6 +395,11 @@ def must_share(a: Column, b: Column) -> Column:
     return F.least(a["matches"], b["matches"])
 
 
+def must_meet(a: Column, b: Column) -> Column:
+    """How many of those are left at least, as both leave out the most frequent ones."""
+    return must_share(a, b) - F.greatest(spared(a["n"]), spared(b["n"]))
+
+
 def meet(a: Column, b: Column) -> Column:
     """Whether a token that two sets share is in the prefix that this pair needs of either.
 
@@ -390,7 +425,7 @@ def star_pairs(postings: DataFrame, turn: int) -> DataFrame:
     draw = F.col("place") / F.col("n") if turn == 0 else F.xxhash64("cls", F.lit(turn)).cast("double")
     drawn = postings.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), packed().alias("row"))).alias("first")).select("token", F.col("first.row").alias("hub"))
     met = postings.select("token", packed().alias("own")).join(drawn, "token").filter((F.col("own.cls") != F.col("hub.cls")) & meet(F.col("own"), F.col("hub")))
-    counts = met.groupBy("own.cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("own"), F.col("hub"))).alias("least"))
+    counts = met.groupBy("own.cls", F.col("hub.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_meet(F.col("own"), F.col("hub"))).alias("least"))
     best = counts.filter("2 * shared >= least").groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("best"))
     return best.select(F.least("cls", "best.other").alias("a"), F.greatest("cls", "best.other").alias("b"))
 
@@ -400,25 +435,26 @@ def rest_pairs(postings: DataFrame) -> DataFrame:
     own, other = (postings.select("token", packed("component").alias(name)) for name in ("own", "other"))
     different = (F.col("own.cls") < F.col("other.cls")) & (F.col("own.component") != F.col("other.component"))
     met = own.join(other, (own["token"] == other["token"]) & different & meet(F.col("own"), F.col("other")))
-    counts = met.groupBy(F.col("own.cls").alias("a"), F.col("other.cls").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_share(F.col("own"), F.col("other"))).alias("least"))
+    counts = met.groupBy(F.col("own.cls").alias("a"), F.col("other.cls").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must_meet(F.col("own"), F.col("other"))).alias("least"))
     return counts.filter("shared >= least").select("a", "b")
 
 
 def passing(texts: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The pairs (a, b) that pass the test on the sets of the classes that they name, in this form."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    sets = texts.mapInArrow(needed_sets(class_filter(named), form), "cls long, members binary").dropDuplicates(["cls"])
+    sets = in_arrow(texts, needed_sets(class_filter(named), form), "cls long, members binary").dropDuplicates(["cls"])
     own = sets.select(F.col("cls").alias("a"), F.col("members").alias("own"))
     other = sets.select(F.col("cls").alias("b"), F.col("members").alias("other"))
-    return checkpointed(pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(chosen(test), "a long, b long"))
+    both = pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other")
+    return checkpointed(in_arrow(both, chosen(test), "a long, b long"))
 
 
 def class_links(docs: DataFrame, total: int, codes: np.ndarray) -> DataFrame | None:
     """Links (a, b) between classes that hold together the components of all links; None if no token is shared."""
     texts = docs.select("text")
-    buckets = max(1, math.ceil(0.3 * total * PACKED.itemsize / TASK_BYTES))
-    tokens = texts.mapInArrow(tokens_of(codes, buckets), TOKENS)
-    postings = apart(tokens.repartition(buckets, "bucket").drop("bucket").mapInArrow(shared_tokens, POSTINGS).distinct(), None)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.3 * total * PACKED.itemsize / TASK_BYTES))
+    tokens = in_arrow(texts, tokens_of(codes, buckets), TOKENS)
+    postings = apart(searched(in_arrow(tokens.repartition(buckets, "bucket").drop("bucket"), shared_tokens, POSTINGS).distinct()), None)
     if not postings.limit(1).count():
         return None
     stars = reduce(DataFrame.unionByName, [star_pairs(postings, turn) for turn in range(TURNS)]).distinct()
@@ -431,12 +467,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, n and cls of each row of docs, and component and least (its smallest doc_id) of each class."""
     python_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = checkpointed(own.mapInArrow(sizes_and_sketch, SIZES))
+    first = checkpointed(in_arrow(own, sizes_and_sketch, SIZES))
     members = first.filter("slice is null").select("doc_id", "n", "cls")
     total = members.agg(F.sum("n")).first()[0] or 0
     codes = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
     slices = first.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
-    for row in slices.mapInArrow(sum_slices, "slice int, codes binary").collect():
+    for row in in_arrow(slices, sum_slices, "slice int, codes binary").collect():
         codes[row["slice"]] = np.frombuffer(row["codes"], np.uint8)
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("cls"))
     links = class_links(own, total, codes.ravel())
@@ -477,7 +513,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "cls")
     rows = members.filter("n > 0").join(classes.select("cls", "component"), "cls")
     kept = rows.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.cls").alias("_cls"), F.col("best.no_id").alias("_no_id"), F.col("best.id").alias("_id"))
-    own_class = F.arrow_udf(classes_of, "long")(F.col("text"))
+    own_class = F.arrow_udf(giving_back(classes_of), "long")(F.col("text"))
     own = docs.select(F.struct("*").alias("row"), own_class.alias("cls"), F.col("doc_id").cast("long").alias("id"))
     found = own.filter("cls is not null").join(kept, (F.col("cls") == F.col("_cls")) & (F.col("id").isNull() == F.col("_no_id")) & (F.coalesce("id", F.lit(0)) == F.col("_id")))
     first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))

@@ -112,14 +112,66 @@ def test_prefixes_share_what_they_must():
         shared = len(np.intersect1d(x, y))
         if 100 * shared < 75 * (len(x) + len(y) - shared):
             continue
-        excess = draw.exponential(3, 1 << near_dedup.SKETCH_BITS).astype(np.float32)
-        (p, l1), (q, l2) = (near_dedup.prefix_of(s, excess) for s in (x, y))
+        codes = draw.integers(0, 40, 1 << near_dedup.SKETCH_BITS).astype(np.uint8)
+        (p, l1), (q, l2) = (near_dedup.prefix_of(s, near_dedup.excess_of(codes, s)) for s in (x, y))
         t = -(-75 * (len(x) + len(y)) // 175)
         m = min(l1, l2)
         assert len(x) - t + m <= len(p) and len(y) - t + m <= len(q)
         assert len(np.intersect1d(p[: len(x) - t + m], q[: len(y) - t + m])) >= m
 
 
+def test_pairs_that_link_share_a_token_that_neither_leaves_out():
+    """Whatever the frequencies, enough tokens are left of what the prefixes of two sets that link share."""
+    draw = np.random.default_rng(8)
+    linked = 0
+    for _ in range(400):
+        n = int(draw.integers(1, 900))
+        x = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([draw.choice(x, max(1, int(len(x) * draw.uniform(0.74, 1))), replace=False), draw.integers(0, 2**63, int(draw.integers(0, n // 4 + 1))).astype(np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared < 75 * (len(x) + len(y) - shared):
+            continue
+        linked += 1
+        codes = draw.integers(0, 60, 1 << near_dedup.SKETCH_BITS).astype(np.uint8)
+        classes = dict(zip(np.union1d(x, y).tolist(), draw.integers(1, 4, len(np.union1d(x, y))).tolist(), strict=True))
+        t, kept, asked, left = -(-75 * (len(x) + len(y)) // 175), [], [], []
+        for s in (x, y):
+            prefix, matches = near_dedup.prefix_of(s, near_dedup.excess_of(codes, s))
+            smallest = -(-75 * len(s) // 100)
+            out = max(smallest // near_dedup.PART, 1) - 1
+            asked.append(matches)
+            left.append(out)
+            kept.append((prefix.tolist(), set(sorted(prefix.tolist(), key=lambda w: (classes[w], w))[: len(prefix) - out])))
+        m = min(asked)
+        needed = [set(prefix[: len(s) - t + m]) & own for s, (prefix, own) in zip((x, y), kept, strict=True)]
+        assert m - max(left) >= 1 and len(needed[0] & needed[1]) >= m - max(left)
+    assert linked > 100
+
+
+def test_passages_that_many_share_make_few_pairs(spark):
+    """Texts that have a passage in common, and hardly anything else, aren't paired for it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(500)) + " " + passage) for i in range(150)]
+    docs = documents(spark, rows)
+    codes = np.zeros(1 << near_dedup.SKETCH_BITS, np.uint8)
+    tokens = near_dedup.in_arrow(docs.select("text"), near_dedup.tokens_of(codes, 4), near_dedup.TOKENS).repartition(4, "bucket").drop("bucket")
+    postings = near_dedup.in_arrow(tokens, near_dedup.shared_tokens, near_dedup.POSTINGS).distinct()
+    assert postings.count() > 1000 and near_dedup.searched(postings).count() == 0
+
+
+def test_hot_tokens_are_searched_like_others(spark, monkeypatch):
+    draw = random.Random(6)
+    base = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(draw.choice([0, 1, 2, 8])):
+            words[draw.randrange(60)] = f"u{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "HOT", 5)
+    assert found(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("size", [1, 7, 8, 15, 16, 17, 100, 1000])
 def test_bitmaps_pass_every_pair_that_links(size):
     draw = np.random.default_rng(size)
