@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir), works on all rows of docs, and all but
 columns of docs: language identification drops texts without a language, exact and near
 deduplication leave one row of each group, the mix repeats rows or leaves them out, and the last
 stage gives each row's tokens.
+
+Null and empty texts and those without a letter go in the first stage. Rows without an id stay like
+others; where ids order rows, a null comes last. Rows that repeat are copies of one another. No
+documents give no rows in any stage; other columns of docs, whatever their names, are carried along
+up to the mix. Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language id", identify), ("exact dedup", exact), ("n-gram jaccard join", near), ("source mix", mixed), ("bpe", tokens)]
-#: SQL can't express the filters' hashes, nor the encoder.
+#: SQL can't express the filters' hashes, nor the encoder; tests hold all stages against brute force and the tokenizers library.
 ORACLE_SQL = None
 
 
