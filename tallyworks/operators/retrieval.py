@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from tallyworks.sources.tables import table
 
 #: Candidates of each list, and how many of them the reranker leaves.
 K, TOP = 10, 6
+#: Texts and characters of each that the reranker takes at once (fixed values).
+BATCH, CLAMP = 12, 512
 #: Words that stand for banned terms in the driver's documents.
 TERMS = ("trash", "worthless", "pathetic", "stupid", "disgusting")
 
@@ -49,6 +54,54 @@ def rerank_labels(spark: SparkSession, folder: str) -> DataFrame:
     return reranked(found, found.select("vec_id", (F.col("vec_id") * 7919 % 101).alias("rerank"))).select("vec_id", "rerank", "label", "document", "regulation")
 
 
+def batched_scores(passages: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], size: int = BATCH, most: int = CLAMP) -> DataFrame:
+    """vec_id and rerank of passages (vec_id, text): the reranker gets the first characters of size texts at a time and gives (place, score) in its own order; each score goes back to its passage.
+
+    The passages are a list of candidates, at most 2 * K of them.
+    """
+
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id").reset_index(drop=True)
+        found = dict(score([t[:most] for t in rows["text"].fillna("")]))
+        return pd.DataFrame({"vec_id": rows["vec_id"], "rerank": [float(found[i]) for i in range(len(rows))]})
+
+    place = F.row_number().over(Window.orderBy("vec_id")) - 1
+    numbered = passages.select("vec_id", "text", F.floor(place / size).alias("batch"))
+    return numbered.groupBy("batch").applyInPandas(batch, "vec_id long, rerank double")
+
+
+def by_length(texts: list[str]) -> list[tuple[int, float]]:
+    """Stands for the reranker, which is a service: scores from the texts' lengths, the best first."""
+    return sorted(((i, float(len(t) * 31 % 101)) for i, t in enumerate(texts)), key=lambda x: -x[1])
+
+
+def context_of(found: DataFrame, texts: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], top: int = TOP) -> DataFrame:
+    """The context of an answer: what was found, with its texts, reranked and labelled; without candidates there is none, and the answer is a refusal."""
+    passages = found.join(texts, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return reranked(passages, batched_scores(passages, score), top)
+
+
+def citation_payload(context: DataFrame, valid: list[int], most: int = 400) -> DataFrame:
+    """label, kind, quote and source of the passages of a context that an answer really cites."""
+    kind = F.when(F.col("regulation").isNotNull(), "regulation").otherwise("document")
+    return context.filter(F.col("place").isin(valid)).select("label", kind.alias("kind"), F.substring("text", 1, most).alias("quote"), F.coalesce("regulation", "document").alias("source_id"))
+
+
+def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Embed (the vector of id 0), retrieve, rerank and assemble; documents of the same ids are the passages."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return context_of(candidates(spark, folder), texts, by_length)
+
+
+def retrieval_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_context(spark, folder).select("label", "vec_id", "rerank", "document", "regulation", F.substring("text", 1, 60).alias("passage"))
+
+
+def cited_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What an answer that cites the first, the third and a passage that was never offered shows."""
+    return citation_payload(retrieval_context(spark, folder), [1, 3, 9], 40)
+
+
 def excerpts(chunks: DataFrame, group: str, kind: str, order: str, size: str, per_kind: int = 2, most: int = 8, budget: int = 3000) -> DataFrame:
     """For each group the first chunks of each kind, the kinds in order, until the first that breaks the budget.
 
@@ -101,7 +154,7 @@ def history(spark: SparkSession, folder: str, turns: int = 4) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", "role").withColumn("place", place).filter(F.col("place") <= 2 * turns)
 
 
-QUERIES = {"knn_chunks": knn_chunks, "knn_union": candidates, "rerank_labels": rerank_labels, "prefix_budget": prefix_budget, "dedupe_first_seen": dedupe_first_seen, "top_n_per_group": top_n_per_group, "citation_check": citation_check, "banned_terms": banned_documents, "chat_history": history}
+QUERIES = {"knn_chunks": knn_chunks, "knn_union": candidates, "rerank_labels": rerank_labels, "prefix_budget": prefix_budget, "dedupe_first_seen": dedupe_first_seen, "top_n_per_group": top_n_per_group, "citation_check": citation_check, "banned_terms": banned_documents, "chat_history": history, "retrieval_plan": retrieval_plan, "cited_sources": cited_sources}
 
 _SCORES = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0),
@@ -110,7 +163,13 @@ candidates AS (
   (SELECT vec_id, score, label AS document, NULL::INTEGER AS regulation FROM scores WHERE label < 5 ORDER BY score DESC, vec_id LIMIT 10)
   UNION ALL (SELECT vec_id, score, NULL, label FROM scores WHERE label >= 5 ORDER BY score DESC, vec_id LIMIT 10))
 """
+_CONTEXT = _SCORES + """, passages AS (SELECT c.*, coalesce(text, '') AS text FROM candidates c LEFT JOIN documents ON doc_id = vec_id),
+ranked AS (SELECT *, CAST(length(left(text, 512)) * 31 % 101 AS DOUBLE) AS rerank FROM passages),
+context AS (SELECT *, row_number() OVER (ORDER BY rerank DESC, vec_id) AS place FROM ranked QUALIFY place <= 6)
+"""
 ORACLE = {
+    "retrieval_plan": _CONTEXT + "SELECT 'C' || place AS label, vec_id, rerank, document, regulation, left(text, 60) AS passage FROM context",
+    "cited_sources": _CONTEXT + "SELECT 'C' || place AS label, CASE WHEN regulation IS NOT NULL THEN 'regulation' ELSE 'document' END AS kind, left(text, 40) AS quote, coalesce(regulation, document) AS source_id FROM context WHERE place IN (1, 3)",
     "knn_chunks": _SCORES + "SELECT vec_id, score FROM scores ORDER BY score DESC, vec_id LIMIT 10",
     "knn_union": _SCORES + "SELECT * FROM candidates",
     "rerank_labels": _SCORES

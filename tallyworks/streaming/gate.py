@@ -118,5 +118,22 @@ def batch_gate(spark: SparkSession, folder: str) -> DataFrame:
     return gated(conversation_deltas(spark.read.parquet(f"{folder}/conversations.parquet")))
 
 
-QUERIES = {"stream_gate": stream_gate, "batch_gate": batch_gate}
-ORACLE: dict[str, str] = {}
+def whole_answers(segments: DataFrame) -> DataFrame:
+    """request_id, blocked, and the text that was shown of requests that aren't blocked, from their segments."""
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda s: s["text"]), "")
+    return segments.groupBy("request_id").agg(F.max("blocked").alias("blocked"), shown.alias("text")).withColumn("text", F.when(~F.col("blocked"), F.col("text")))
+
+
+def batch_gate_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return whole_answers(batch_gate(spark, folder))
+
+
+def stream_gate_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return whole_answers(stream_gate(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (stream_gate, batch_gate, stream_gate_whole, batch_gate_whole)}
+_TERMS = " OR ".join(f"contains(lower(text), '{term}')" for term in BANNED)
+#: What the gate shows is the whole text, unless a banned term is anywhere in it, as the end of what has been shown is checked again.
+_WHOLE = f"SELECT conv_id * 1000 + turn AS request_id, ({_TERMS}) AS blocked, CASE WHEN NOT ({_TERMS}) THEN text END AS text FROM conversations WHERE role = 'assistant' AND text <> ''"
+ORACLE = {"stream_gate_whole": _WHOLE, "batch_gate_whole": _WHOLE}
