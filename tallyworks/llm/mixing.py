@@ -19,6 +19,21 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def with_totals_before(rows: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """rows with the totals of values over all rows that come before in an order.
+
+    Rows are dealt by ranges of the order; within a range a window sums up, and what the ranges
+    before hold is one row for each range. So no task orders more than its range.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.groupBy("_range").agg(*[F.sum(value).alias(name) for name, value in values.items()])
+    offsets = own.select("_range", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_to_{name}") for name in values])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), "_range")
+    return placed.select(*rows.columns, *[(F.col(f"_to_{name}") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long").alias(name) for name, value in values.items()])
+
+
 def source_targets(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, source_size, target, rate: one row for each source, a null source included.
 
@@ -27,19 +42,18 @@ def source_targets(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: in
     below), over the sources in the order of cap / weight, the largest level is the one at which
     no target exceeds its cap (most * source_size) after the excess has gone to the others.
     """
-    totals = docs.select("source", size_of(F.col("text")).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = totals.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
+    by_name = F.col("source").asc_nulls_last()
+    totals = checkpointed(docs.select("source", size_of(F.col("text")).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size")))
+    placed = with_totals_before(totals, [by_name], {"_place": F.lit(1)})
+    weighed = placed.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("long"))
     capped = weighed.withColumn("_cap", F.col("source_size") * most)
-    order = Window.orderBy(F.col("_cap") / F.col("_weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    levels = capped.withColumn("_level", left.cast("double") / F.sum("_weight").over(after).cast("double"))
-    target = F.least(F.max("_level").over(every) * F.col("_weight"), F.col("_cap").cast("double"))
+    filled = with_totals_before(capped, [F.col("_cap") / F.col("_weight"), by_name], {"_caps": F.col("_cap"), "_weights": F.col("_weight")})
+    every = capped.agg(F.sum("source_size").alias("_all"), F.sum("_weight").alias("_all_weights"))
+    levels = filled.crossJoin(F.broadcast(every)).withColumn("_level", (F.col("_all") - F.col("_caps")).cast("double") / (F.col("_all_weights") - F.col("_weights")).cast("double"))
+    highest = levels.agg(F.max("_level").alias("_highest"))
+    target = F.least(F.col("_highest") * F.col("_weight"), F.col("_cap").cast("double"))
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)), F.lit(float(most)))
-    return levels.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
+    return filled.crossJoin(F.broadcast(highest)).withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
 def draw(seed: int) -> Column:

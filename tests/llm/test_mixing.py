@@ -63,3 +63,12 @@ def test_odd_rows(spark):
 def test_plan_has_no_python(spark):
     plan = mixing.op5_source_mix(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_totals_before_equal_brute_force_over_many_ranges(spark):
+    rows = [(None if i == 7 else f"s{i * 7919 % 500:03}", i % 13) for i in range(500)]
+    frame = spark.createDataFrame(rows, "source string, n long").repartition(5)
+    order = [mixing.F.col("source").asc_nulls_last()]
+    found = {r.source: (r.place, r.total) for r in mixing.with_totals_before(frame, order, {"place": mixing.F.lit(1), "total": mixing.F.col("n")}).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    assert found == {source: (i, sum(n for _, n in ordered[:i])) for i, (source, _) in enumerate(ordered)}
