@@ -43,8 +43,9 @@ SKETCH_BITS, SLICES = 22, 16
 #: Codes for each doubling of a frequency, and the frequencies that codes stand for.
 STEPS = 8
 LEVELS = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
-#: A set asks for this part of its shingles as shared tokens at least, and takes one of these multiples of that.
-PART, MULTIPLES = 16, (1, 2, 4)
+#: A set asks for this part of its shingles as shared tokens, and for so many MORE. Still more would lengthen
+#: prefixes of copies that differ in many words into what all of them share, which makes all their pairs.
+PART, MORE = 16, (1, 2, 3)
 #: Verifying a pair costs as much as reading this part of a set's postings.
 VERIFY = 1 / 16
 #: Shingles that are this much more frequent than their bucket's share skip the search for shared ones.
@@ -177,15 +178,14 @@ def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _record("slice int, codes binary", slice=list(sums), codes=[frequency_codes(x).tobytes() for x in sums.values()])
 
 
-def least_matches(n):
-    """How many shared tokens a set of that size asks for at least; more for larger sets, so those that it links with ask for as many as their size may be smaller."""
-    return np.maximum(n // PART, 1)
+def spare(n: int) -> int:
+    """How many shared tokens a set of that size asks for before those that it searches for."""
+    return n // PART
 
 
 def spared(n: Column) -> Column:
-    """How many of its most frequent tokens a set leaves out: one less than what the smallest set that it may link with asks for."""
-    smallest = F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
-    return F.greatest(F.floor(smallest / PART), F.lit(1)) - 1
+    """How many of its most frequent tokens a set needs with no set that it may link with: the smallest of those asks for this many and MORE."""
+    return F.greatest(F.floor(F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) / PART) + MORE[0] - MORE[-1], F.lit(0))
 
 
 def least_overlap(n: int) -> int:
@@ -202,14 +202,16 @@ def prefix_of(shingles: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, i
     """The prefix of a set, and how many of its tokens a partner must share.
 
     The order is by the power of two of the estimated frequency, then by hash. With l matches the
-    prefix's postings are read, and about a part 1 / l of them become pairs to verify.
+    postings of what the set doesn't leave out are read, and about a part 1 / l of them, without
+    those left out, become pairs to verify.
     """
     order = np.lexsort((shingles, np.ceil(np.log2(expected + 1))))
-    need = least_overlap(len(shingles))
+    n = len(shingles)
+    need = least_overlap(n)
     read = np.cumsum(expected[order])
-    choices = sorted({min(int(least_matches(len(shingles))) * x, need) for x in MULTIPLES})
-    lengths = [len(shingles) - need + m for m in choices]
-    costs = [length + read[length - 1] * (1 + VERIFY * len(shingles) / m) for m, length in zip(choices, lengths, strict=True)]
+    choices = sorted({min(spare(n) + more, need) for more in MORE})
+    lengths = [n - need + m for m in choices]
+    costs = [length + read[length - max(m - MORE[-1], 0) - 1] * (1 + VERIFY * n / min(m, MORE[-1])) for m, length in zip(choices, lengths, strict=True)]
     best = int(np.argmin(costs))
     return shingles[order[: lengths[best]]], choices[best]
 
@@ -291,10 +293,10 @@ def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def searched(postings: DataFrame) -> DataFrame:
-    """The postings without those of each set's most frequent tokens that it leaves out."""
+    """The postings with the rank of each token in its set, the most frequent first, without those that the set needs with no other."""
     order = Window.partitionBy("cls").orderBy(F.desc("classes"), F.desc("token"))
     ranked = postings.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > spared(F.col("n")))
-    return ranked.drop("rank", "classes")
+    return ranked.drop("classes")
 
 
 def filter_slots(cls) -> list:
@@ -391,28 +393,33 @@ def overlap_of(n: Column, n2: Column) -> Column:
 
 
 def must_share(a: Column, b: Column) -> Column:
-    """How many tokens two sets that link share at least in the prefixes that they need of either."""
-    return F.least(a["matches"], b["matches"])
+    """How many tokens of their prefixes two sets that link share at least.
+
+    Of what they share, as many as a set has tokens beyond its prefix may lie there.
+    """
+    t = overlap_of(a["n"], b["n"])
+    need = lambda n: F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
+    return F.least(t - need(a["n"]) + a["matches"], t - need(b["n"]) + b["matches"])
 
 
 def must_meet(a: Column, b: Column) -> Column:
-    """How many of those are left at least, as both leave out the most frequent ones."""
-    return must_share(a, b) - F.greatest(spared(a["n"]), spared(b["n"]))
+    """How many of those are left at least when both leave out all but so many of them, the most frequent ones."""
+    return F.least(must_share(a, b), F.lit(MORE[-1]))
 
 
 def meet(a: Column, b: Column) -> Column:
-    """Whether a token that two sets share is in the prefix that this pair needs of either.
+    """Whether a token that two sets share is not among the most frequent ones that this pair leaves out.
 
-    Sets that share t hold m of them among the first |x| - t + m of each. The t of two sets is more
-    than that of a set and its smallest possible partner, so most pairs need less than the whole prefix.
+    Of m tokens that are shared, the rarest k are never among the m - k most frequent ones of
+    either prefix, as the other shared ones are above them in both.
     """
-    t = overlap_of(a["n"], b["n"])
     close = F.least(a["n"], b["n"]) * DENOMINATOR >= F.greatest(a["n"], b["n"]) * NUMERATOR
-    return close & (a["place"] < a["n"] - t + must_share(a, b)) & (b["place"] < b["n"] - t + must_share(a, b))
+    out = must_share(a, b) - must_meet(a, b)
+    return close & (a["rank"] > out) & (b["rank"] > out)
 
 
 def packed(*more: str) -> Column:
-    return F.struct("cls", "n", "matches", "place", *more)
+    return F.struct("cls", "n", "matches", "place", "rank", *more)
 
 
 def star_pairs(postings: DataFrame, turn: int) -> DataFrame:

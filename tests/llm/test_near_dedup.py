@@ -134,17 +134,17 @@ def test_pairs_that_link_share_a_token_that_neither_leaves_out():
         linked += 1
         codes = draw.integers(0, 60, 1 << near_dedup.SKETCH_BITS).astype(np.uint8)
         classes = dict(zip(np.union1d(x, y).tolist(), draw.integers(1, 4, len(np.union1d(x, y))).tolist(), strict=True))
-        t, kept, asked, left = -(-75 * (len(x) + len(y)) // 175), [], [], []
+        t, prefixes, asked = -(-75 * (len(x) + len(y)) // 175), [], []
         for s in (x, y):
             prefix, matches = near_dedup.prefix_of(s, near_dedup.excess_of(codes, s))
-            smallest = -(-75 * len(s) // 100)
-            out = max(smallest // near_dedup.PART, 1) - 1
             asked.append(matches)
-            left.append(out)
-            kept.append((prefix.tolist(), set(sorted(prefix.tolist(), key=lambda w: (classes[w], w))[: len(prefix) - out])))
-        m = min(asked)
-        needed = [set(prefix[: len(s) - t + m]) & own for s, (prefix, own) in zip((x, y), kept, strict=True)]
-        assert m - max(left) >= 1 and len(needed[0] & needed[1]) >= m - max(left)
+            prefixes.append(prefix.tolist())
+        need = [-(-75 * len(s) // 100) for s in (x, y)]
+        m = min(t - n + asked_for for n, asked_for in zip(need, asked, strict=True))
+        out = max(m - near_dedup.MORE[-1], 0)
+        assert all(max(near_dedup.spare(n) + near_dedup.MORE[0] - near_dedup.MORE[-1], 0) <= out for n in need)
+        kept = [set(sorted(prefix, key=lambda w: (classes[w], w))[: len(prefix) - out]) for prefix in prefixes]
+        assert len(set(prefixes[0]) & set(prefixes[1])) >= m and len(kept[0] & kept[1]) >= m - out >= 1
     assert linked > 100
 
 
