@@ -46,6 +46,8 @@ LEVELS = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
 #: A set asks for this part of its shingles as shared tokens, and for so many MORE. Still more would lengthen
 #: prefixes of copies that differ in many words into what all of them share, which makes all their pairs.
 PART, MORE = 16, (1, 2, 3)
+#: How many of the tokens that a pair must share are left for the search, the rarest ones.
+LEFT = 1
 #: Verifying a pair costs as much as reading this part of a set's postings.
 VERIFY = 1 / 16
 #: Shingles that are this much more frequent than their bucket's share skip the search for shared ones.
@@ -404,7 +406,7 @@ def must_share(a: Column, b: Column) -> Column:
 
 def must_meet(a: Column, b: Column) -> Column:
     """How many of those are left at least when both leave out all but so many of them, the most frequent ones."""
-    return F.least(must_share(a, b), F.lit(MORE[-1]))
+    return F.least(must_share(a, b), F.lit(LEFT))
 
 
 def meet(a: Column, b: Column) -> Column:

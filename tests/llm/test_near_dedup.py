@@ -141,7 +141,7 @@ def test_pairs_that_link_share_a_token_that_neither_leaves_out():
             prefixes.append(prefix.tolist())
         need = [-(-75 * len(s) // 100) for s in (x, y)]
         m = min(t - n + asked_for for n, asked_for in zip(need, asked, strict=True))
-        out = max(m - near_dedup.MORE[-1], 0)
+        out = max(m - near_dedup.LEFT, 0)
         assert all(max(near_dedup.spare(n) + near_dedup.MORE[0] - near_dedup.MORE[-1], 0) <= out for n in need)
         kept = [set(sorted(prefix, key=lambda w: (classes[w], w))[: len(prefix) - out]) for prefix in prefixes]
         assert len(set(prefixes[0]) & set(prefixes[1])) >= m and len(kept[0] & kept[1]) >= m - out >= 1
