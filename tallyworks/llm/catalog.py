@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, ppm, quality, secrets, topk
+from tallyworks.llm import bpe, exact_dedup, fim, language, mixing, near_dedup, pii, ppm, quality, secrets, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_bpe": bpe.op10_bpe,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_fill_in_middle": fim.ORACLE}
