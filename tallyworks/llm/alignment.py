@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from tallyworks.llm.bpe import Encoder, Vocabulary, spread, tokenizer_path
 from tallyworks.llm.common import checkpointed, in_arrow, pieces, python_batches, table
 
-#: Characters that are encoded at once, tokens that go to DuckDB at once (more if no place comes where both cut), and
-#: rows of a partition's pair counts that are added up anew.
-PIECE, WINDOW, HELD = 1_000_000, 600_000, 2_000_000
+#: Characters that are encoded at once, tokens that go to DuckDB at once (more if no place comes where both cut), rows
+#: of a partition's pair counts that are added up anew, and segments that a task remembers before it starts anew.
+PIECE, WINDOW, HELD, REMEMBERED = 1_000_000, 600_000, 2_000_000, 300_000
+#: A text with a blank before it falls into segments that begin with a blank after a character that is none: there both tokenizers cut.
+SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*|\s+\Z)*")
 #: Pairs whose counts are broadcast: the most frequent ones, 17 bytes each. Others meet theirs in a shuffle.
 FREQUENT = 1 << 21
 #: Pairs of one row of packed counts.
@@ -32,8 +35,10 @@ UNION ALL
 SELECT wide.doc, wide.a, inner_b.id
 FROM (SELECT * FROM first WHERE reached < e) AS wide JOIN (SELECT b.id, b.s FROM b ANTI JOIN a ON b.s = a.s) AS inner_b ON wide.reached <= inner_b.s AND inner_b.s < wide.e
 """
-PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT doc, (a::BIGINT << 32) | b AS key, count(*) AS n FROM links GROUP BY ALL"
-#: The group of a token: how many ends before its own are ends of both kinds. Texts end with both.
+LINKED = "SELECT doc, (a::BIGINT << 32) | b AS key, count(*) AS n FROM links GROUP BY ALL ORDER BY doc, key"
+#: The same of texts, from the links of their segments.
+PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT doc, key, sum(n)::BIGINT AS n FROM held GROUP BY ALL"
+#: The group of a token: how many ends before its own are ends of both kinds. Segments end with both.
 GROUPS = """
 SELECT own.e, (sum(CASE WHEN other.e IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY own.e) - CASE WHEN other.e IS NULL THEN 0 ELSE 1 END)::BIGINT AS g
 FROM {} AS own LEFT JOIN (SELECT e FROM {}) AS other ON own.e = other.e
@@ -42,8 +47,10 @@ FROM {} AS own LEFT JOIN (SELECT e FROM {}) AS other ON own.e = other.e
 
 def packed(keys: np.ndarray, uses: np.ndarray) -> bytes:
     """Pairs in order of their keys and their counts, compressed."""
-    order = np.argsort(keys)
-    raw = np.concatenate([np.diff(keys[order], prepend=0), uses[order]]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, uses = keys[order], uses[order]
+    raw = np.concatenate([np.diff(keys, prepend=0), uses]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -90,26 +97,35 @@ class Aligner:
         self.db.execute("CREATE TEMP TABLE counts (key BIGINT, n BIGINT)")
         self.rows = self.summed = 0
         most = max(len(self.vocabulary.lengths), len(self.b.lengths))
+        self.forget()
+        crossing = any("▁" in self.b.model.id_to_piece(i).lstrip("▁") for i in range(len(self.b.lengths)))
+        self.segments = (lambda text: [text]) if crossing else SEGMENT.findall  # a piece that goes on over a blank would cross segments
         self.names = [[f"{mark}{i}" for i in range(most)] for mark in ("", ";", "|", ",")]
 
-    def tokens(self, texts: list[str | None]) -> tuple[dict, dict]:
-        """Intervals of both kinds in one row of bytes, text after text; texts whose bytes don't come back have none."""
-        spaced = [" " + t if t else "" for t in texts]
-        ids_a, counts_a = self.a.encode(spaced)
-        ids_b, counts_b = self.b.encode([t or "" for t in texts])
-        raw = [t.encode() for t in spaced]
-        whole = np.array([bool(r) for r in raw])
+    def forget(self) -> None:
+        """Segments by number, with what was found of each: tokens of both kinds, groups as text, and links in one array of all."""
+        self.known: dict[str, int] = {}
+        self.text: list[str] = []
+        self.sizes = np.zeros((4, 0), np.int64)  # n_a, n_b, n_groups and n_links; -1 for segments whose bytes don't come back
+        self.starts, self.lengths, self.keys, self.uses = (np.zeros(0, np.int64) for _ in range(4))
+
+    def tokens(self, segments: list[str]) -> tuple[dict, dict, np.ndarray]:
+        """Intervals of both kinds in one row of bytes, segment after segment, and which segments' bytes come back; others have none."""
+        ids_a, counts_a = self.a.encode(segments)
+        ids_b, counts_b = self.b.encode([s[1:] for s in segments])
+        raw = [s.encode() for s in segments]
+        whole = np.ones(len(segments), bool)
         if token_bytes(ids_a, self.vocabulary) != b"".join(raw) or token_bytes(ids_b, self.b) != b"".join(raw):
             for i, (a, b) in enumerate(zip(np.split(ids_a, np.cumsum(counts_a)[:-1]), np.split(ids_b, np.cumsum(counts_b)[:-1]), strict=True)):
-                whole[i] &= token_bytes(a, self.vocabulary) == raw[i] == token_bytes(b, self.b)
+                whole[i] = token_bytes(a, self.vocabulary) == raw[i] == token_bytes(b, self.b)
         out = []
         for ids, counts, of in ((ids_a, counts_a, self.vocabulary), (ids_b, counts_b, self.b)):
-            doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+            doc = np.repeat(np.arange(len(segments), dtype=np.int32), counts)
             ids, doc = ids[whole[doc]], doc[whole[doc]]
             long = of.lengths[ids]
             end = np.cumsum(long)
             out.append({"doc": doc, "id": ids.astype(np.int32), "s": end - long, "e": end})
-        return out[0], out[1]
+        return out[0], out[1], whole
 
     def windows(self, a: dict, b: dict) -> Iterator[tuple[dict, dict]]:
         """Both kinds of intervals, cut where both end, after WINDOW tokens each."""
@@ -123,24 +139,19 @@ class Aligner:
             begin_a, begin_b = end_a, end_b
 
     def found(self, a: dict, b: dict) -> tuple[Iterator[tuple[int, int, str]], pa.Table]:
-        """The groups of each text in a window, and the pairs that are linked in it with how often; these are counted for the partition as well."""
+        """The groups of each segment in a window, and the pairs that are linked in it with how often."""
         for name, columns in (("a", a), ("b", b)):
             self.db.register(name, pa.table([pa.array(columns[c], kind) for c, kind in TOKENS], names=[c for c, _ in TOKENS]))
         self.db.execute(FIRST)
         self.db.execute(LINKS)
-        self.db.execute(PAIRS)
-        self.rows += self.db.execute("INSERT INTO counts SELECT key, sum(n) FROM pairs GROUP BY key").fetchall()[0][0]
-        if self.rows > 2 * self.summed + HELD:
-            self.db.execute("CREATE OR REPLACE TEMP TABLE counts AS SELECT key, sum(n)::BIGINT AS n FROM counts GROUP BY key")
-            self.rows = self.summed = self.db.execute("SELECT count(*) FROM counts").fetchall()[0][0]
         groups = []
         for names in ("ab", "ba"):
             cut = self.db.sql(GROUPS.format(*names)).to_arrow_table()
             groups.append(cut.column("g").to_numpy()[np.argsort(cut.column("e").to_numpy(), kind="stable")])
-        return self.shown(a, b, *groups), self.db.sql("SELECT doc, key, n FROM pairs ORDER BY doc, key").to_arrow_table()
+        return self.shown(a, b, *groups), self.db.sql(LINKED).to_arrow_table()
 
     def shown(self, a: dict, b: dict, groups_a: np.ndarray, groups_b: np.ndarray) -> Iterator[tuple[int, int, str]]:
-        """Each text with how many groups it has and what they are, as a1,a2|b1;a3|b2."""
+        """Each segment with how many groups it has and what they are, as a1,a2|b1;a3|b2."""
         number, doc, group = np.append(a["id"], b["id"]), np.append(a["doc"], b["doc"]), np.append(groups_a, groups_b)
         kind = np.repeat([0, 1], [len(groups_a), len(groups_b)])
         order = np.argsort(2 * group + kind, kind="stable")
@@ -156,25 +167,56 @@ class Aligner:
         for i, j, n in zip(bounds[:-1], bounds[1:], groups, strict=True):
             yield int(doc[i]), int(n), "".join(words[i:j])
 
-    def aligned(self, texts: list[str | None]) -> list[tuple]:
-        """n_a, n_b, n_groups, n_links, groups_sha256 and packed pairs of each text."""
-        a, b = self.tokens(texts)
-        count_a, count_b = (np.bincount(x["doc"], minlength=len(texts)) for x in (a, b))
-        digests, groups, parts = [None] * len(texts), [0] * len(texts), [[] for _ in texts]
+    def learn(self, segments: list[str]) -> None:
+        """Remember what is found of segments that aren't known."""
+        a, b, whole = self.tokens(segments)
+        count_a, count_b = (np.bincount(x["doc"], minlength=len(segments)) for x in (a, b))
+        groups, texts, parts = np.zeros(len(segments), np.int64), [[] for _ in segments], []
         for window in self.windows(a, b):
             cut, pairs = self.found(*window)
             for doc, n, text in cut:
-                digests[doc] = hashlib.sha256() if digests[doc] is None else digests[doc]
-                digests[doc].update(b";" * (groups[doc] > 0) + text.encode())
+                texts[doc].append(text)
                 groups[doc] += n
-            doc, key, n = (pairs.column(c).to_numpy() for c in ("doc", "key", "n"))
-            bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                parts[doc[i]].append((key[i:j], n[i:j]))
+            parts.append([pairs.column(c).to_numpy() for c in ("doc", "key", "n")])
+        doc, key, n = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
+        rows, links = np.bincount(doc, minlength=len(segments)), np.bincount(doc, n, len(segments)).astype(np.int64)
+        self.known |= {s: len(self.text) + i for i, s in enumerate(segments)}
+        self.text += [";".join(t) for t in texts]
+        self.sizes = np.append(self.sizes, np.where(whole, [count_a, count_b, groups, links], -1), axis=1)
+        self.starts = np.append(self.starts, len(self.keys) + np.cumsum(rows) - rows)
+        self.lengths = np.append(self.lengths, rows)
+        self.keys, self.uses = np.append(self.keys, key), np.append(self.uses, n)
+
+    def aligned(self, texts: list[str | None]) -> list[tuple]:
+        """n_a, n_b, n_groups, n_links, groups_sha256 and packed pairs of each text; the pairs are counted for the partition as well."""
+        split = [self.segments(" " + t) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        for new in pieces(list(dict.fromkeys(s for own in split for s in own if s not in self.known)), PIECE):
+            self.learn(new)
+        number = [np.array([self.known[s] for s in own], np.int64) for own in split]
+        number = [n if (self.sizes[0, n] >= 0).all() else n[:0] for n in number]
+        doc, own, times = [], [], []
+        for i, n in enumerate(number):
+            different, uses = np.unique(n, return_counts=True)
+            doc.append(np.full(len(different), i))
+            own.append(different)
+            times.append(uses)
+        doc, own, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (doc, own, times))
+        at, long = spread(self.starts[own], self.lengths[own]), self.lengths[own]
+        self.db.register("held", pa.table({"doc": np.repeat(doc, long), "key": self.keys[at], "n": self.uses[at] * np.repeat(times, long)}))
+        self.db.execute(PAIRS)
+        self.rows += self.db.execute("INSERT INTO counts SELECT key, sum(n) FROM pairs GROUP BY key").fetchall()[0][0]
+        if self.rows > 2 * self.summed + HELD:
+            self.db.execute("CREATE OR REPLACE TEMP TABLE counts AS SELECT key, sum(n)::BIGINT AS n FROM counts GROUP BY key")
+            self.rows = self.summed = self.db.execute("SELECT count(*) FROM counts").fetchall()[0][0]
+        pairs = self.db.sql("SELECT doc, key, n FROM pairs ORDER BY doc, key").to_arrow_table()
+        doc, key, n = (pairs.column(c).to_numpy() for c in ("doc", "key", "n"))
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
         out = []
-        for i in range(len(texts)):
-            keys, uses = added(parts[i])
-            out.append((int(count_a[i]), int(count_b[i]), groups[i], int(uses.sum()), digests[i].hexdigest() if digests[i] else "", packed(keys, uses)))
+        for i, segments in enumerate(number):
+            digest = hashlib.sha256(";".join([self.text[s] for s in segments.tolist()]).encode()).hexdigest() if len(segments) else ""
+            out.append((*map(int, self.sizes[:, segments].sum(axis=1)), digest, packed(key[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]])))
         return out
 
     def counts(self) -> Iterator[bytes]:
@@ -185,14 +227,6 @@ class Aligner:
             yield packed(keys[at : at + PACKED], uses[at : at + PACKED])
 
 
-def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of the counts of each key."""
-    if len(parts) == 1:
-        return parts[0]
-    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(keys)).astype(np.int64)
-
-
 FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("counts", pa.binary())])
 FOUND_DDL = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary"
 
@@ -279,11 +313,12 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     have a token that ends; an A and a B token are linked if their bytes overlap. How often a pair
     of ids is linked in all of docs gives n_best (links whose pair is the commonest one of its B id,
     ties included) and count_sum. Counts of at most `frequent` pairs are broadcast, those of others
-    come by a join.
+    come by a join. In a task, texts fall into segments where both tokenizers cut, and each
+    different segment is encoded and aligned once.
 
     Null and empty texts, and those whose tokens don't give their bytes back, have no tokens: zeros
     and an empty groups_sha256. Rows that repeat count each time; null ids stay; texts are worked on
-    whole, long ones in windows that end where both tokenizers cut. No documents give no rows; no
+    whole; long segments are aligned in windows that end where both tokenizers cut. No documents give no rows; no
     other column of docs is read. doc_id is returned as a long.
     """
     spark = docs.sparkSession

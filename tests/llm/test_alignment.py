@@ -66,7 +66,7 @@ def grouped(spans, ends):
     return ["|".join(",".join(x[g]) for x in lists) for g in range(len(ends))]
 
 
-SOME = ["<|endoftext|> a <s> b</s> <unk>", "▁x ▁", " leading  blanks\t\tand\n\n\nlines ", "naïve Straße 漢字仮名 😀👍🏽", "12345678901234567890", "I'll've don't", "a" * 700, "\x00\x01", "﻿bom", "é ﬁ Ａ", " "]
+SOME = ["<|endoftext|> a <s> b</s> <unk>", "▁x ▁", " leading  blanks\t\tand\n\n\nlines ", "naïve Straße 漢字仮名 😀👍🏽", "12345678901234567890", "I'll've don't", "a" * 700, "trailing blank ", "two  \n", "\x00\x01", "﻿bom", "é ﬁ Ａ", " "]
 
 
 @pytest.mark.parametrize(("window", "frequent", "held"), [(600_000, 1 << 21, 2_000_000), (20, 1 << 21, 10), (100, 50, 2_000_000), (600_000, 0, 100)])
@@ -91,15 +91,22 @@ def test_equals_brute_force(spark, monkeypatch, window, frequent, held):
     assert sorted((str(r.doc_id), *(r[c] for c in COLUMNS)) for r in found) == sorted((str(i), *w) for (i, _), w in zip(rows, wanted, strict=True))
 
 
-def test_windows_give_the_same_as_the_whole(monkeypatch):
-    texts = [" ".join(SOME) * 5, "", None, *SOME, "漢字仮名" * 50]
+def test_windows_and_forgetting_give_the_same(monkeypatch):
+    texts = [" ".join(SOME) * 5, "", None, *SOME, "漢字仮名" * 50, "a b  c \n", " \n x", "x ", "a\tb \u3000c\x1cd e\x85 f"]
     whole, small = alignment.Aligner(A, B), alignment.Aligner(A, B)
     wanted = whole.aligned(texts)
-    monkeypatch.setattr(alignment, "WINDOW", 7)
-    monkeypatch.setattr(alignment, "HELD", 5)
-    assert small.aligned(texts) == wanted
-    counts = [alignment.added([alignment.unpacked(x) for x in own.counts()]) for own in (whole, small)]
-    assert all((x == y).all() for x, y in zip(*counts, strict=True)) and counts[0][1].sum() == sum(w[3] for w in wanted)
+    for name, value in (("WINDOW", 7), ("HELD", 5), ("PIECE", 40), ("REMEMBERED", 3)):
+        monkeypatch.setattr(alignment, name, value)
+    assert [row for text in texts for row in small.aligned([text])] == wanted
+    uncut = alignment.Aligner(A, B)
+    uncut.segments = lambda text: [text]
+    assert uncut.aligned(texts) == wanted
+    counts = []
+    for own in (whole, small, uncut):
+        rows = [x for data in own.counts() for x in zip(*map(np.ndarray.tolist, alignment.unpacked(data)), strict=True)]
+        counts.append(dict(rows))
+        assert len(counts[-1]) == len(rows) and sum(counts[-1].values()) == sum(w[3] for w in wanted)
+    assert counts[0] == counts[1] == counts[2]
 
 
 def test_empty_table(spark):
