@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyworks.llm import alignment, bpe, exact_dedup, fim, language, mixing, near_dedup, pii, ppm, quality, secrets, topk
+from tallyworks.llm import alignment, bpe, exact_dedup, fim, language, mixing, near_dedup, pii, ppm, quality, secrets, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_bpe": bpe.op10_bpe,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_token_alignment": alignment.op13_token_alignment,
     }
 
