@@ -35,8 +35,8 @@ _OPERATOR = r"(?::=|=>|=(?![=~])|:(?![/:]))"
 #: Lexemes. Each gives nothing back and starts where no other could have, and what is never closed
 #: reaches to the end, so that long texts take time in proportion to them.
 LEXEME = re.compile(
-    r"""(?P<escape>\\.)|(?P<comment>(?<!\S)(?:\#|//)[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]++|-(?!->))*+(?:-->|\Z))"""
-    rf"""|(?P<quote>["'])(?P<key>[^"'\\\n]{{1,100}})(?P=quote)(?P<pair>[ \t]*+,[ \t]*+(?=["'])|[ \t]*+\]?[ \t]*+{_OPERATOR})"""
+    r"""(?P<escape>\\.)|(?P<comment>(?<!\S)(?:\#|//)|/\*|<!--)"""
+    rf"""|(?P<quote>["'])(?P<key>[^"'\\\n]++)(?P=quote)(?P<pair>[ \t]*+,[ \t]*+(?=["'])|[ \t]*+\]?[ \t]*+{_OPERATOR})"""
     r"""|(?P<string>(?:(?<![A-Za-z0-9])[rRbBuUfF]{1,2})?+(?:\"{3}(?:[^"\\]++|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]++|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\.)*+"|(?<![A-Za-z0-9])'(?:[^'\\\n]++|\\.)*+'))"""
     r"""|(?P<open>\{)|(?P<close>\})|\n(?P<indent>[ \t]*+)(?=\S)"""
     r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.:-]*+)(?P<attributes>[ \t][^<>]*+)?(?:>(?P<inner>[^<>]++)</(?P=tag)[ \t]*+>|/?>)"""
@@ -50,8 +50,8 @@ BARE = re.compile(r"""[^\s,;"'(){}\[\]<>]++""")
 JOINED = (re.compile(r"""[ \t]*+(?:\+|\.(?=[ \t]))?[ \t]*+(?=[rRbBuUfF]{0,2}["'`]|[A-Za-z_])"""), re.compile(r"""\s*+(?:\+|\.(?=\s))?\s*+(?=[rRbBuUfF]{0,2}["'`]|[A-Za-z_])"""))
 BLOCK = re.compile(r"[ \t]*+[|>][+-]?[ \t]*+\n[ \t]++(?=\S)([^\n]*+)")
 OPENED, BLANKS = re.compile(r"[ \t]*+(?:\(\s*+)*+"), re.compile(r"\s*+")
-#: How deep strings and comments within one another are looked into.
-DEEPEST = 2
+#: What ends a comment, by what begins it.
+CLOSED = {"#": "\n", "//": "\n", "/*": "*/", "<!--": "-->"}
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a name is (fixed values); two parts that follow one another count as one too.
@@ -162,10 +162,12 @@ def assigned(text: str) -> list[tuple[int, int, float]]:
     """start, end and score of the literals that sensitive names get, straight or by way of other names.
 
     A name that was given a literal, or such a name, before stands for that literal where its scope
-    reaches. Comments and strings are looked into as well, each as a scope of its own.
+    reaches. Comments and strings are looked into as well, however deep, each as a scope of its own.
+    A string within a string has other quotes, so there are few such levels; a comment that reaches
+    to the end is gone on with in place, as comments within comments may be many.
     """
     found: list[tuple[int, int, float]] = []
-    waiting = [(0, len(text), 0)]
+    waiting = [(0, len(text))]
 
     def pair(name: str, literal: Literal) -> None:
         score = sensitivity(name) * strength(literal.text)
@@ -173,17 +175,29 @@ def assigned(text: str) -> list[tuple[int, int, float]]:
             found.append((literal.start, literal.end, score))
 
     while waiting:
-        at, end, level = waiting.pop()
-        scopes = Scopes()
+        at, end = waiting.pop()
+        scopes, stops = Scopes(), {}
 
-        def look_into(start: int, stop: int, level: int = level) -> None:
-            if level < DEEPEST and ("=" in (inner := text[start:stop]) or ":" in inner):
-                waiting.append((start, stop, level + 1))
+        def look_into(start: int, stop: int) -> None:
+            if "=" in (inner := text[start:stop]) or ":" in inner:
+                waiting.append((start, stop))
+
+        def stop_of(comment: str, start: int, end: int = end, stops: dict = stops) -> int:
+            """Where the comment ends; what was found for one holds for all that begin before it."""
+            mark = CLOSED[comment]
+            if stops.get(mark, -1) < start:
+                stops[mark] = text.find(mark, start, end) % (len(text) + 1)
+            return min(stops[mark], end)
 
         while lexeme := LEXEME.search(text, at, end):
             at, kind = lexeme.end(), lexeme.lastgroup
             if lexeme["comment"]:
-                look_into(lexeme.start() + (1 if lexeme["comment"][0] == "#" else 2), at)
+                stop = stop_of(lexeme["comment"], at)
+                if stop == end:
+                    scopes = Scopes()
+                else:
+                    look_into(at, stop)
+                    at = stop + (len(CLOSED[lexeme["comment"]]) if CLOSED[lexeme["comment"]] != "\n" else 0)
             elif lexeme["string"]:
                 own = string_at(text, lexeme.start(), end)
                 if own:
@@ -268,7 +282,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id and spans, one row for each row of docs; other columns aren't read.
 
     A null or empty text has no spans; rows that repeat, and null ids, stay as they are; no
-    documents give no rows. Long texts are scanned whole, in time about in proportion to them.
+    documents give no rows. Of spans alike in kind and place one is given, the base's if it is one of
+    them. Long texts are scanned whole, in time about in proportion to them.
     """
     python_batches(docs.sparkSession)
     return docs.select("doc_id", secret_spans(F.col("text")).alias("spans"))

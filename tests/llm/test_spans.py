@@ -272,3 +272,19 @@ def test_types_take_little_time(text):
     began = time.time()
     secrets.spans_of(text)
     assert time.time() - began < 20
+
+
+def test_secrets_at_any_depth_and_with_long_keys():
+    def literals(text):
+        return [text[s["start"] : s["end"]] for s in secrets.spans_of(text) if not s["base"]]
+
+    value = "aB3xY9kLmN2p"
+    for text in (f"# b: 'db_pwd = {value}'", f"""# b: "'db_pwd = {value}'" """, f'''# """x '# "db_pwd = {value}"' """ ''', f"# # # // # db_pwd = {value}", f"/* // # db_pwd = {value} */ x = 1", f"<!-- /* db_pwd = {value} */ -->", f"/* /* # db_pwd = {value}", f"// a\n# db_pwd = {value}\nx = 1"):
+        assert literals(text) == [value], text
+    for n in (10, 107, 5000):
+        assert literals(f'"{"k" * n}_pwd": "{value}"') == [value]
+    assert literals(f"# pwd_name = 1\n/* a */ x = 2 /* b */ db_pwd = {value}") == [value]
+    began = time.perf_counter()
+    for mark in ("# ", "/* ", "<!-- ", "// ", '# "', "/* '"):
+        assert literals(mark * 60_000 + f"\ndb_pwd = {value}")[-1:] in ([value], [])
+    assert time.perf_counter() - began < 20
