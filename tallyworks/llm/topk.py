@@ -159,13 +159,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
     """query_id, rank, vec_id, score: for each query the k rows with the largest inner products of floor(256 * x).
 
     Queries and rows are dealt into blocks, and each pair of blocks is one group of a cogroup, so
-    a task holds one block of either sort at a time; only the k best rows of each block and query
+    a task holds one block of either sort at a time. Queries are dealt by their hash, rows by their
+    place in the table, which should be one that gives them in the same order when it is read again; only the k best rows of each block and query
     are shuffled again. Rows with a query's own vec_id are no candidates; every other row is, also
     those that repeat. Ties go to the smaller vec_id. Rows with a null id, no components or a
     component that is null or not finite take no part; vectors are compared with those of as many
     components. Query rows that are alike in id and vector are one query; those that share an id
     only are queries of their own. A score beyond the range of a long is its end. Queries with
-    fewer than k candidates get all; without queries or rows there are none.
+    fewer than k candidates get all; without queries or rows there are none. No other column is read.
     """
     rows, asked = usable(vectors), usable(queries).distinct()
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
@@ -175,7 +176,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     own = rows.withColumn("row_block", dealt(row_blocks)).withColumn("query_block", every(query_blocks))
     numbered = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "embedding").alias("number"), "embedding")
-    mine = numbered.withColumn("query_block", dealt(query_blocks)).withColumn("row_block", every(row_blocks))
+    mine = numbered.withColumn("query_block", F.pmod("number", F.lit(query_blocks)).cast("int")).withColumn("row_block", every(row_blocks))
     pairs = mine.groupBy("row_block", "query_block").cogroup(own.groupBy("row_block", "query_block"))
     best = pairs.applyInArrow(block_search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id"))
