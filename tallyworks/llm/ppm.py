@@ -41,8 +41,8 @@ EXACT, DOUBLINGS, TYPES_APART = 8, 8, 6
 PIECE = 250_000
 #: Rows that a task holds before it sums them or deals them out, and words whose hashes it remembers.
 HELD, REMEMBERED = 900_000, 150_000
-#: Buckets for each of Spark's shuffle partitions.
-BUCKETS = 4
+#: Buckets for each partition of a shuffle, and bytes of texts for which there is a partition at least.
+BUCKETS, PART_BYTES = 4, 1 << 24
 #: Texts of one remainder of crc32 are held out.
 DIVISOR, HELD_OUT = 10, 0
 U = np.uint64
@@ -561,14 +561,17 @@ def scored(docs: DataFrame) -> DataFrame:
     text is the end only. Scores are decimal logarithms of the probability of a text's tokens. Rows
     that repeat are scored and learned from each time. Without training texts each token has
     probability 1 in the word model and each byte 1/256 in the other. No documents give no rows;
-    other columns aren't read; texts are scored whole, in pieces of many texts or one long one.
+    other columns aren't read; texts are scored whole, in pieces of many texts or one long one. docs
+    should be a table or a checkpoint, as texts are numbered by their place when they are read.
     """
     spark = docs.sparkSession
     python_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # what a task holds doesn't grow with the input
+    buckets = BUCKETS * parts
     gathered = in_arrow(own, training_counts(buckets), "bucket int, kind int, packed binary")
-    counts = checkpointed(in_arrow(gathered.repartition("bucket").select("kind", "packed"), summed_counts, SUMMED))
+    counts = checkpointed(in_arrow(gathered.repartition(parts, "bucket").select("kind", "packed"), summed_counts, SUMMED))
     sums = {r.kind: r.n for r in counts.filter(F.col("kind").isin(TYPES, TOKENS)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     types, tokens = sums.get(TYPES, 0), sums.get(TOKENS, 0)
     frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") >= tokens * SHARE)).select("key", "n").toArrow()
@@ -590,8 +593,8 @@ def scored(docs: DataFrame) -> DataFrame:
     trie = Trie(short_levels, escapes=escapes)
     shared = spark.sparkContext.broadcast((common["key"].to_numpy(), common["score"].to_numpy(), heavy[order], heavy_n[order]))
     others = in_arrow(all_windows, other_windows(spark.sparkContext.broadcast(trie), escapes, least, buckets), "bucket int, kind int, packed binary")
-    dealt_out = in_arrow(own, scored_texts(shared, buckets), SCORED).unionByName(others, allowMissingColumns=True).repartition("bucket")
-    summed = in_arrow(in_arrow(dealt_out, counted_uses(buckets), PARTS).repartition("bucket"), added_up, WHOLE)
+    dealt_out = in_arrow(own, scored_texts(shared, buckets), SCORED).unionByName(others, allowMissingColumns=True).repartition(parts, "bucket")
+    summed = in_arrow(in_arrow(dealt_out, counted_uses(buckets), PARTS).repartition(parts, "bucket"), added_up, WHOLE)
     each = float(np.log10(tokens + 0.1 * (types + 1)))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")
 
