@@ -94,12 +94,6 @@ def factor_attempts(spark: SparkSession, folder: str) -> DataFrame:
     return first_valid(attempts, ["user_id", "event_type"], "attempt", F.col("score").between(5, 20))
 
 
-def contract_violations(results: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """key and rule of every rule that a row breaks; a rule is what must hold, and NULL doesn't. All rules are tried on all rows in one pass."""
-    told = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
-    return results.select(key, F.explode(told).alias("rule"))
-
-
 def contract_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as factors of orders: closed sets, ranges, least lengths, references, keys that are there once, and weights that sum to 1."""
     lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_suppkey", "l_returnflag", money("l_quantity").alias("quantity"), money("l_discount").alias("discount"))
@@ -107,7 +101,7 @@ def contract_rules(spark: SparkSession, folder: str) -> DataFrame:
     weights = lines.groupBy("l_orderkey").agg(F.sum("quantity").alias("total"), F.count(F.lit(1)).alias("n"))
     rows = lines.join(F.broadcast(parts), "l_suppkey", "left").join(weights, "l_orderkey")
     rules = {"level": F.col("l_returnflag").isin("A", "N"), "score_range": F.col("quantity").between(0, 45), "least_length": F.char_length(F.rtrim("l_returnflag")) >= 1, "reference": F.col("known"), "weights": F.abs(F.try_divide(F.col("total"), F.col("n")) - 25) <= 20}
-    broken = contract_violations(rows, "id", rules)
+    broken = risk.broken_rules(rows, "id", rules)
     twice = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("d")).filter("n > d").select("id", F.lit("unique").alias("rule"))
     return broken.unionByName(twice)
 
@@ -167,7 +161,7 @@ SELECT user_id, '{SUMMARY[0]}' || CAST(round_even(CAST(overall_score AS DOUBLE),
 FROM scored JOIN regulations USING (user_id)""",
     "findings_in_place": """
 WITH names AS (SELECT unnest(['reference_price_cross_check', 'boq_vs_bk01_total', 'reference_within_budget', 'contract_within_reference', 'bid_competition', 'procurement_threshold', 'expected_documents']) AS name, unnest(range(7)) AS place),
-items AS (SELECT l_orderkey AS project_id, CAST(7 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS place, CASE l_returnflag WHEN 'R' THEN 'item_vendor_lock' ELSE 'item_price_spike' END AS name, l_linenumber FROM lineitem WHERE l_quantity >= 49)
+items AS (SELECT l_orderkey AS project_id, CAST(7 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag = 'R') AS INTEGER) AS place, CASE l_returnflag WHEN 'R' THEN 'item_vendor_lock' ELSE 'item_price_spike' END AS name, l_linenumber FROM lineitem WHERE l_quantity >= 49)
 SELECT o_orderkey AS project_id, CAST(place AS INTEGER) AS place, name, NULL::VARCHAR AS status, NULL::VARCHAR AS told FROM orders, names
 UNION ALL SELECT o_orderkey, 7, 'yoy_budget_anomaly', CASE WHEN o_orderkey % 10 = 0 THEN 'FLAG' ELSE 'OK' END, CASE WHEN o_orderkey % 20 = 0 THEN 'HIGH' WHEN o_orderkey % 10 = 0 THEN 'MEDIUM' END FROM orders
 UNION ALL SELECT project_id, place, name, 'WARN', CAST(l_linenumber AS VARCHAR) FROM items WHERE project_id IN (SELECT o_orderkey FROM orders)""",

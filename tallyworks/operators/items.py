@@ -96,9 +96,12 @@ def findings_lateral_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exactly_one(lines: DataFrame, candidates: DataFrame, keys: list[str], line: str, candidate: str) -> DataFrame:
-    """Each line with its one candidate that has the same keys, or NULL if it has none or several."""
-    hits = lines.join(candidates, keys).groupBy(line).agg(F.count(F.lit(1)).alias("n"), F.min(candidate).alias("hit"))
-    return lines.select(line).join(hits, line, "left").select(line, F.when(F.col("n") == 1, F.col("hit")).alias(candidate))
+    """Each line with its one candidate that has the same keys, or NULL if it has none or several.
+
+    Candidates are counted by key before the join, so no line meets more than one.
+    """
+    single = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(candidate).alias(candidate)).filter("_n = 1").drop("_n")
+    return lines.join(single, keys, "left").select(line, candidate)
 
 
 def exactly_one_match(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -23,10 +23,19 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def views(folder):
     connection = duckdb.connect()
     connection.sql("SET TimeZone = 'UTC'")
     for name in TABLES:
-        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return connection
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return views(DATA)
+
+
+@pytest.fixture(scope="session")
+def larger_duck():
+    return views(LARGER)

@@ -123,6 +123,19 @@ def test_bands(spark, score, high, level):
     assert one(spark, numbers.risk_band(F.lit(score), F.lit(high))) == level
 
 
+def test_validating_and_writing_is_one_pass(spark, tmp_path):
+    results = spark.createDataFrame([(1, 50, "LOW", "r1", "ok"), (2, None, "LOW", "r1", "ok"), (3, 50, "LOW", "r2", None)], "id int, score int, level string, cited string, words string")
+    results.write.parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("r1",), ("r1",)], "code string")
+    found = risk.validated(spark.read.parquet(str(tmp_path / "in")), known, "cited", "words")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert risk.accept_and_refuse(found, "id", str(tmp_path / "out")) == {"results": 3, "accepted": 1, "broken": 3}
+    good, bad = risk.outcomes(spark, str(tmp_path / "out"), found.schema)
+    assert [r.id for r in good.collect()] == [1] and {(r.id, *r.violations) for r in bad.collect()} == {(2, "score_range"), (3, "citation", "lexicon")}
+    empty = str(tmp_path / "none")
+    assert risk.accept_and_refuse(found.limit(0), "id", empty)["results"] == 0 and risk.outcomes(spark, empty, found.schema)[0].count() == 0
+
+
 def test_weights_are_shared_among_factors(spark):
     rows = [("p", f, Decimal(s)) for f, s in zip(risk.FACTORS, (100, 0, 50, 50, 50), strict=True)] + [("q", "signup", Decimal(30)), ("q", "click", Decimal(60))]
     found = {r.k: r for r in risk.assessed(spark.createDataFrame(rows, "k string, factor string, score decimal(5,2)"), "k", F.max(F.lit(False))).collect()}
@@ -134,7 +147,9 @@ def test_results_that_break_a_rule_are_turned_away(spark):
     known = spark.createDataFrame([("r1",)], "code string")
     found = risk.broken(results, "id", known, "cited", "words")
     assert {(r.id, r.rule) for r in found.collect()} == {(2, "score_range"), (3, "level"), (3, "citation"), (3, "lexicon")}
-    assert [r.id for r in risk.accepted(results, "id", found).collect()] == [1]
+    assert [r.id for r in risk.accepted(risk.validated(results, known, "cited", "words")).collect()] == [1]
+    missing = spark.createDataFrame([(1, None, None, None, None)], results.schema)
+    assert {r.rule for r in risk.broken(missing, "id", known, "cited", "words").collect()} == {"score_range", "level", "citation", "lexicon"}
     weights = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", 0.5)], "k string, weight double")
     assert [r.k for r in risk.unordered_weights(weights, "k").collect()] == ["b"]
 

@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from tallyworks.plans import catalog
 
 from .compare import same_rows
-from .conftest import DATA
+from .conftest import DATA, LARGER
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -14,6 +14,12 @@ def test_same_rows_as_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, DATA), duck.sql(SQL[name]))
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_sql_on_a_larger_table(spark, larger_duck, name):
+    """Ties and repeated keys that the smallest tables lack."""
+    same_rows(QUERIES[name](spark, LARGER), larger_duck.sql(SQL[name]))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
