@@ -154,3 +154,18 @@ def cited_labels(text: Column) -> Column:
 def clamped(text: Column, most: int) -> Column:
     """The first characters of a text, with an ellipsis if there were more."""
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+#: Letters that are typed in the wrong order or twice, and how they belong (fixed rules of the script).
+TONES, ABOVE, BELOW, AFTER = "่-๋", "ัิ-ื็ํ", "ุ-ฺ", "ะาำๅ"
+ORDER = (
+    ("[\u200b\u200c\ufeff]", ""), ("เเ", "แ"), (f"[{TONES}]+([{TONES}])", "$1"), (f"ํ([{TONES}])า", "$1ำ"), ("ํา", "ำ"), (f"ำ([{TONES}])", "$1ำ"),
+    (f"([{TONES}์])([{ABOVE}{BELOW}]+)", "$2$1"), (f"([{ABOVE}{BELOW}{AFTER}เ-ไ์])\\1+", "$1"),
+)
+
+
+def normalised(text: Column) -> Column:
+    """Thai with each letter's marks in their order and each of them once, without characters of no width."""
+    for pattern, instead in ORDER:
+        text = F.regexp_replace(text, pattern, instead)
+    return text

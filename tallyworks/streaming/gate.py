@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,7 +22,8 @@ FIRST, OTHERS, TAIL = 48, 160, 12
 NOTICE = "[ระบบระงับการแสดงผลบางส่วน]"
 
 SEGMENTS = "request_id long, segment int, text string, blocked boolean"
-STATE = "text string, shown int, sent int, blocked boolean"
+#: What let_through() needs, the number that is expected next, deltas that came early by their numbers (in JSON), and whether the request is over.
+STATE = "text string, shown int, sent int, blocked boolean, expected int, early string, over boolean"
 
 
 def piece(longest: int) -> re.Pattern:
@@ -60,36 +62,69 @@ def let_through(state: tuple, deltas: Iterable[tuple[str | None, bool]], terms:
 START = ("", 0, 0, False)
 
 
-def gated(deltas: DataFrame, terms: tuple[str, ...] = BANNED) -> DataFrame:
+def in_order(early: dict[int, tuple[str | None, bool]], expected: int, rows: Iterable[tuple[int, str | None, bool]]) -> tuple[list[tuple[str | None, bool]], int, bool]:
+    """The deltas (text, last) whose turn it is, what number is expected next, and whether the last one was among them.
+
+    rows: seq, delta, last, in any order. Those that come early are put into `early` and taken out
+    when their turn comes; of those with the same number the first one counts, and what comes after
+    the last one doesn't.
+    """
+    for seq, delta, last in rows:
+        if seq >= expected:
+            early.setdefault(seq, (delta, last))
+    turn, over = [], False
+    while not over and expected in early:
+        turn.append(early.pop(expected))
+        expected, over = expected + 1, turn[-1][1]
+    if over:
+        early.clear()
+    return turn, expected, over
+
+
+def gated(deltas: DataFrame, terms: tuple[str, ...] = BANNED, first: int = 0, silence: int | None = None) -> DataFrame:
     """request_id, segment, text and blocked from deltas (request_id, seq, delta, last).
 
-    Deltas are taken one at a time by seq, so where a batch ends changes nothing. A request's rest
-    comes out with its last delta. In a batch all deltas of a request are there at once; in a stream
-    what is left of a request is state, which is dropped with its last delta.
+    Deltas are taken one at a time by seq, from `first` on without a gap, so neither where a batch
+    ends nor the order in which deltas come changes anything. A request's rest comes out with its
+    last delta. In a batch all deltas of a request are there at once; what comes after a missing
+    number isn't shown. In a stream, state holds the number that is expected next and the deltas that
+    came early, and knows of a request that it is over, so that late or repeated deltas don't start
+    it anew. With `silence`, a request without a delta for so many milliseconds is ended: what it has
+    in order is let through, and its state goes. A stream with timers goes on for as long as it
+    isn't stopped, so one that shall end with its input has none.
     """
 
     def frame(request: int, segments: list[tuple[int, str, bool]]) -> pd.DataFrame:
         found = pd.DataFrame([(request, *x) for x in segments], columns=["request_id", "segment", "text", "blocked"])
         return found.astype({"request_id": "int64", "segment": "int32", "blocked": "bool"})
 
-    def pairs(rows: pd.DataFrame) -> Iterator[tuple[str | None, bool]]:
-        return rows.sort_values("seq")[["delta", "last"]].itertuples(index=False)
+    def rows_of(rows: pd.DataFrame) -> Iterator[tuple[int, str | None, bool]]:
+        return ((int(s), d, bool(x)) for s, d, x in rows.sort_values("seq", kind="stable")[["seq", "delta", "last"]].itertuples(index=False))
 
     def batch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return frame(key[0], let_through(START, pairs(rows), terms)[0])
+        turn, _, over = in_order({}, first, rows_of(rows))
+        return frame(key[0], let_through(START, turn if over else [*turn, ("", True)], terms)[0])
 
     def stream(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        segments, after = let_through(state.get if state.exists else START, pairs(rows), terms)
-        if rows["last"].any():
+        *so_far, expected, early, over = state.get if state.exists else (*START, first, "{}", False)
+        if state.hasTimedOut:
             state.remove()
-        else:
-            state.update(after)
+            yield frame(key[0], [] if over else let_through(tuple(so_far), [("", True)], terms)[0])
+            return
+        segments: list[tuple[int, str, bool]] = []
+        if not over:
+            waiting = {int(k): (d, x) for k, (d, x) in json.loads(early).items()}
+            turn, expected, over = in_order(waiting, expected, (row for own in frames for row in rows_of(own)))
+            segments, after = let_through(tuple(so_far), turn, terms)
+            so_far, early = (list(START), "{}") if over else (list(after), json.dumps(waiting))
+        state.update((*so_far, expected, early, over))
+        if silence:
+            state.setTimeoutDuration(silence)
         yield frame(key[0], segments)
 
     grouped = deltas.groupBy("request_id")
     if deltas.isStreaming:
-        return grouped.applyInPandasWithState(stream, SEGMENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+        return grouped.applyInPandasWithState(stream, SEGMENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if silence else GroupStateTimeout.NoTimeout)
     return grouped.applyInPandas(batch, SEGMENTS)
 
 
@@ -111,11 +146,11 @@ def run_once(stream: DataFrame) -> DataFrame:
 def stream_gate(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).parquet(f"{folder}/conversation[s].parquet")  # a pattern, as the table may be one file or a folder
-    return run_once(gated(conversation_deltas(turns)))
+    return run_once(gated(conversation_deltas(turns), first=1))
 
 
 def batch_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return gated(conversation_deltas(spark.read.parquet(f"{folder}/conversations.parquet")))
+    return gated(conversation_deltas(spark.read.parquet(f"{folder}/conversations.parquet")), first=1)
 
 
 def whole_answers(segments: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -324,6 +326,50 @@ def test_stream_of_the_gate_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, gate.gated(frame).collect()))
 
 
+SCHEMA = "request_id long, seq int, delta string, last boolean"
+
+
+def batches(spark, folder, parts):
+    """A stream whose micro-batches are these lists of rows."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/{i}")
+        time.sleep(1.1)  # files are taken by their times, which are whole seconds
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_the_gate_takes_deltas_in_their_order(spark, tmp_path):
+    """Shuffled over three batches, with repeated ones and some after the last: the same as the batch of all."""
+    words = ["Hello wor", "ld. This", " goes on ", "and on", " to the", " end."]
+    rows = [(k, i, d, i == 5) for k in (1, 2, 3) for i, d in enumerate(words)] + [(4, i, d, i == 5) for i, d in enumerate([*words[:4], " fra", "ud."])]
+    draw = random.Random(2)
+    draw.shuffle(rows)
+    parts = [rows[:8], rows[8:16] + rows[:3], [*rows[16:], (1, 6, "late", False), (2, 5, "other", True)]]
+    wanted = sorted(map(tuple, gate.gated(spark.createDataFrame(sorted(rows), SCHEMA)).collect()))
+    assert sorted(map(tuple, gate.gated(spark.createDataFrame(rows, SCHEMA)).collect())) == wanted
+    found = gate.run_once(gate.gated(batches(spark, str(tmp_path), parts)))
+    assert sorted(map(tuple, found.collect())) == wanted
+    assert {r[0]: "".join(x[2] for x in wanted if x[0] == r[0]) for r in wanted}[3] == "".join(words)
+
+
+def test_silent_requests_are_ended(spark, tmp_path):
+    """A request without its last delta, and one with a gap, are let through as far as they go, and state is empty."""
+    parts = [[(1, 0, "No end", False), (2, 0, "a", False), (2, 2, "c", True), (3, 0, "Whole.", True)], [(3, 1, "after", False)]]
+    for folder in ("in", "out", "state"):
+        (tmp_path / folder).mkdir()
+    stream = gate.gated(batches(spark, str(tmp_path / "in"), parts), silence=1000)
+    query = stream.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(90):
+            state = (query.lastProgress or {}).get("stateOperators") or [{}]
+            if state[0].get("numRowsTotal") == 0 and spark.table("silent").count() >= 3:
+                break
+            time.sleep(0.5)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+        assert sorted((r.request_id, r.text) for r in spark.table("silent").collect()) == [(1, "No end"), (2, "a"), (3, "Whole.")]
+    finally:
+        query.stop()
+
+
 def test_events_and_outcomes(spark):
     lines = spark.createDataFrame([(1, 0, ": ping"), (1, 1, 'data: {"choices":[{"delta":{"content":"hi"}}]}'), (1, 2, 'data: {"choices":[],"usage":{}}'), (1, 3, "data: [DONE]")], "request_id long, seq int, line string")
     assert [(r.delta, r.last) for r in telemetry.sse_deltas(lines).orderBy("seq").collect()] == [("hi", False), ("", True)]
