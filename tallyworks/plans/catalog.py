@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tallyworks.operators import assessments, checks, documents, items, listings, portfolio, recurring, retrieval, risk, trends, words
-from tallyworks.sources import sinks
+from tallyworks.sources import sinks, versions
 from tallyworks.streaming import gate, telemetry
 
-_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, assessments, listings, documents, words, sinks, gate, telemetry)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, assessments, listings, documents, words, sinks, versions, gate, telemetry)
 
 
 def queries() -> dict:

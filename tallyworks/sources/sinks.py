@@ -32,9 +32,10 @@ def replaced_groups(target: DataFrame, updates: DataFrame, keys: list[str]) -> D
     return target.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)
 
 
-def pending(work: DataFrame, done: DataFrame, keys: list[str], again: bool = False) -> DataFrame:
-    """The work that isn't done yet, or all of it."""
-    return work if again else work.join(done.select(*keys).distinct(), keys, "left_anti")
+def pending(work: DataFrame, done: DataFrame, keys: list[str], again: bool = False, order: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """The work that isn't done yet, or all of it; with a limit, the first `most` rows in that order."""
+    left = work if again else work.join(done.select(*keys).distinct(), keys, "left_anti")
+    return left if most is None else left.orderBy(*(order or keys)).limit(most)
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -42,6 +43,11 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.withColumn("digest", F.sha2("content", 256)).join(known, ["path", "digest"], "left_anti")
 
 
+def content_name(content, letters: int = 12):
+    """A short name for a content: the beginning of its sha256."""
+    return F.substring(F.sha2(content, 256), 1, letters)
+
+
 def surrogate_key(*natural: str):
     """The same key for the same natural key, in every run."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in natural]), 256)
@@ -58,7 +64,11 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """rows as the new content of the table at path: written beside it, then renamed, so that readers find one or the other."""
+    """rows as the new content of the folder at path: written beside it, then renamed.
+
+    Between two renames readers find nothing for a moment; if the second one fails, the old content
+    is put back. Tables of sources.versions are never without content.
+    """
     if keys and repeated_keys(rows, keys).limit(1).count():
         raise ValueError(f"rows with the same {keys}")
     spark = rows.sparkSession
@@ -67,10 +77,15 @@ def write_table(rows: DataFrame, path: str, keys: list[str] | None = None) -> No
     files = spark._jvm.org.apache.hadoop.fs
     target = files.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(target):
-        system.rename(target, files.Path(old))
-    system.rename(files.Path(staging), target)
-    system.delete(files.Path(old), True)
+    there = system.exists(target)
+    if there and not system.rename(target, files.Path(old)):
+        raise OSError(f"{path} can't be moved away")
+    if not system.rename(files.Path(staging), target):
+        if there:
+            system.rename(files.Path(old), target)
+        raise OSError(f"{staging} can't be moved to {path}")
+    if there:
+        system.delete(files.Path(old), True)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -109,6 +124,12 @@ def resume_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     return pending(work, work.filter("o_orderkey % 3 = 0"), ["o_orderkey"])
 
 
+def resume_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """The first hundred orders, by date, that are still to be done, with a short name of each one's priority."""
+    work = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", content_name(F.col("o_orderpriority").cast("binary")).alias("name"))
+    return pending(work, work.filter("o_orderkey % 3 = 0"), ["o_orderkey"], order=["o_orderdate", "o_orderkey"], most=100)
+
+
 def document_status(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents of each source would be read again for being short or full of marks."""
     text = F.col("text")
@@ -117,7 +138,7 @@ def document_status(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_replace, upsert_coalesce, replace_partition, resume_antijoin, document_status)}
+QUERIES = {f.__name__: f for f in (upsert_replace, upsert_coalesce, replace_partition, resume_antijoin, resume_limited, document_status)}
 
 _ROWS = """
 WITH old AS (SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer),
@@ -129,5 +150,6 @@ ORACLE = {
     "upsert_coalesce": _ROWS + "SELECT c_custkey, coalesce(new.c_mktsegment, old.c_mktsegment) AS c_mktsegment, coalesce(new.balance, old.balance) AS balance FROM old FULL JOIN new USING (c_custkey)",
     "replace_partition": """SELECT l_orderkey, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS place FROM lineitem) WHERE l_orderkey % 5 <> 0 OR place = 1""",
     "resume_antijoin": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0",
+    "resume_limited": "SELECT o_orderkey, o_orderdate, left(sha256(o_orderpriority), 12) AS name FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY o_orderdate, o_orderkey LIMIT 100",
     "document_status": """SELECT source, CASE WHEN length(text) < 40 OR len(regexp_extract_all(text, '[#*$&%!|]')) > length(text) / 20.0::DOUBLE THEN 'NEEDS_OCR' ELSE 'COMPLETED' END AS status, count(*) AS n FROM documents GROUP BY 1, 2""",
 }
