@@ -16,6 +16,7 @@ most frequent windows are broadcast with their scores, and the others meet their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +60,19 @@ class _Hashes(dict):
 
 
 #: The end of a text as a token; no word holds a line break.
-END_WORD = xxhash.xxh3_64_intdigest(b"\n")
+END = b"\n"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def token_hashes(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
+    """The hashes of each text's words and of its end, one text after the other."""
+    every = chain.from_iterable(chain.from_iterable((words, (END,)) for words in texts))
+    return np.fromiter(map(hashes.__getitem__, every), np.uint64, sum(map(len, texts)) + len(texts))
+
+
 def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of each text its context and itself as one number, and how many symbols each text has.
 
@@ -197,9 +204,7 @@ def training_counts(buckets: int):
                 found, _ = windows(words)
                 keys, n = np.unique(found, return_counts=True)
                 held[WINDOW].add(np.rec.fromarrays([keys.astype(np.uint64), n], COUNT))
-                total = sum(map(len, words))
-                own = np.fromiter((hashes[w] for x in words for w in x), np.uint64, total)
-                keys, n = np.unique(np.append(own, np.full(len(words), END_WORD, np.uint64)), return_counts=True)
+                keys, n = np.unique(token_hashes(words, hashes), return_counts=True)
                 held[WORD].add(np.rec.fromarrays([keys, n], COUNT))
                 for kind, tallies in held.items():
                     if tallies.summed > HELD:
@@ -449,7 +454,7 @@ def scored_texts(shared, buckets: int):
                 out_of = np.array([remainder_of(i, DIVISOR) == HELD_OUT for i in own])
                 words = [words_of(t) for t in texts]
                 sizes = np.array([len(x) for x in words]) + 1
-                tokens = np.fromiter((h for x in words for h in (*map(hashes.__getitem__, x), END_WORD)), np.uint64, sizes.sum())
+                tokens = token_hashes(words, hashes)
                 text = np.repeat(np.arange(len(texts)), sizes)
                 at, frequent = place(heavy, tokens)
                 known = np.bincount(text[frequent], minlength=len(texts))
