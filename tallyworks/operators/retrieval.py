@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +17,73 @@ from tallyworks.sources.tables import table
 
 #: Candidates of each list, and how many of them the reranker leaves.
 K, TOP = 10, 6
+#: Questions and rows of a pair of blocks, and what stands for no score.
+QUESTIONS, ROWS, NONE = 256, 20_000, -(10**15)
 #: Texts and characters of each that the reranker takes at once (fixed values).
 BATCH, CLAMP = 12, 512
 #: Words that stand for banned terms in the driver's documents.
 TERMS = ("trash", "worthless", "pathetic", "stupid", "disgusting")
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = K) -> DataFrame:
-    """The k rows of largest cosine with a query, ties to the smaller id; Spark keeps k rows of each task."""
+def nearest(vectors: DataFrame, query: list[float] | None, k: int = K) -> DataFrame:
+    """The k rows of largest cosine with a query, ties to the smaller id; Spark keeps k rows of each task. Without a query there are none."""
+    if query is None:
+        return vectors.filter(F.lit(False)).withColumn("score", F.lit(None).cast("decimal(18,6)"))
     score = cosine(F.col("embedding"), F.array(*map(F.lit, query)))
     return vectors.withColumn("score", F.round(score.cast("decimal(38,12)"), 6).cast("decimal(18,6)")).orderBy(F.desc_nulls_last("score"), "vec_id").limit(k)
 
 
-def query_vector(spark: SparkSession, folder: str) -> list[float]:
-    return [float(x) for x in table(spark, folder, "embeddings").filter("vec_id = 0").first().embedding]
+def millionths(rows: np.ndarray, questions: np.ndarray) -> np.ndarray:
+    """The cosine of each question with each row in millionths, rounded half up as the decimals of nearest() are; NONE without a length."""
+    lengths = np.linalg.norm(questions, axis=1)[:, None] * np.linalg.norm(rows, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.round(questions @ rows.T / lengths, 12)
+        return np.where(lengths > 0, np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5), NONE).astype(np.int64)
+
+
+def best_of_blocks(k: int) -> Callable:
+    """A function of a block of questions and a block of rows that gives the k best rows of the block for each question."""
+
+    def best(questions: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int]] = []
+        ids = rows["vec_id"].to_numpy()
+        of = lambda t, some: np.array([x for x in t["embedding"].take(some).to_pylist()], float)
+        lengths = [np.array([len(x) for x in t["embedding"].to_pylist()], np.int64) for t in (questions, rows)]
+        for n in np.intersect1d(*lengths):
+            mine, theirs = (np.flatnonzero(x == n) for x in lengths)
+            scores = millionths(of(rows, theirs), of(questions, mine))
+            for question, score in zip(questions["question"].to_numpy()[mine], scores, strict=True):
+                order = np.lexsort((ids[theirs], -score))[:k]
+                found += [(int(question), int(ids[theirs[i]]), int(score[i])) for i in order]
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["question", "vec_id", "score"])
+
+    return best
+
+
+def nearest_each(vectors: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
+    """question, vec_id, score and place of the k rows of largest cosine with each question (question, embedding), as nearest() gives them.
+
+    Questions and rows are dealt into blocks by their ids; each pair of blocks is one group of a
+    cogroup, which keeps k rows for each question, so that neither ever meets whole in one task or
+    on the driver. vec_id and question are unique numbers; vectors that are NULL or hold NULL take no
+    part, and those of another length than a question's aren't compared with it.
+    """
+    usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    rows, asked = (df.select(F.col(c).cast("long").alias(c), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable & F.col(c).isNotNull()) for df, c in ((vectors, "vec_id"), (questions, "question")))
+    blocks = [max(1, -(-df.count() // most)) for df, most in ((asked, QUESTIONS), (rows, ROWS))]
+    dealt = lambda c, i: F.pmod(F.xxhash64(c), F.lit(blocks[i])).cast("int")
+    every = lambda i: F.explode(F.sequence(F.lit(0), F.lit(blocks[i] - 1)))
+    mine = asked.withColumn("a", dealt("question", 0)).withColumn("b", every(1)).groupBy("a", "b")
+    own = rows.withColumn("b", dealt("vec_id", 1)).withColumn("a", every(0)).groupBy("a", "b")
+    best = mine.cogroup(own).applyInArrow(best_of_blocks(k), "question long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "vec_id"))
+    score = F.when(F.col("score") != NONE, (F.col("score").cast("decimal(18,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)"))
+    return best.withColumn("place", place).filter(F.col("place") <= k).select("question", "vec_id", score.alias("score"), "place")
+
+
+def query_vector(spark: SparkSession, folder: str) -> list[float] | None:
+    row = table(spark, folder, "embeddings").filter("vec_id = 0").first()
+    return row and [float(x) for x in row.embedding]
 
 
 def knn_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,10 +98,18 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.unionByName(sections, allowMissingColumns=True)
 
 
-def reranked(found: DataFrame, scores: DataFrame, top: int = TOP) -> DataFrame:
-    """The best of a list by the reranker's scores, with labels from C1 on; a candidate without a score comes last."""
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank"), "vec_id"))
-    return found.join(scores, "vec_id", "left").withColumn("place", place).filter(F.col("place") <= top).withColumn("label", F.concat(F.lit("C"), F.col("place")))
+def candidates_each(spark: SparkSession, folder: str) -> DataFrame:
+    """candidates() for every tenth vector as a question."""
+    vectors = table(spark, folder, "embeddings")
+    questions = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    of = lambda some, name: nearest_each(vectors.filter(some), questions).join(vectors.select("vec_id", F.col("label").alias(name)), "vec_id").select("question", "vec_id", "score", name)
+    return of("label < 5", "document").unionByName(of("label >= 5", "regulation"), allowMissingColumns=True)
+
+
+def reranked(found: DataFrame, scores: DataFrame, top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best of a list, or of each list of `by`, by the reranker's scores, with labels from C1 on; a candidate without a score comes last."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("rerank"), "vec_id"))
+    return found.join(scores, [*by, "vec_id"], "left").withColumn("place", place).filter(F.col("place") <= top).withColumn("label", F.concat(F.lit("C"), F.col("place")))
 
 
 def rerank_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,20 +118,20 @@ def rerank_labels(spark: SparkSession, folder: str) -> DataFrame:
     return reranked(found, found.select("vec_id", (F.col("vec_id") * 7919 % 101).alias("rerank"))).select("vec_id", "rerank", "label", "document", "regulation")
 
 
-def batched_scores(passages: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], size: int = BATCH, most: int = CLAMP) -> DataFrame:
+def batched_scores(passages: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], size: int = BATCH, most: int = CLAMP, by: tuple[str, ...] = ()) -> DataFrame:
     """vec_id and rerank of passages (vec_id, text): the reranker gets the first characters of size texts at a time and gives (place, score) in its own order; each score goes back to its passage.
 
-    The passages are a list of candidates, at most 2 * K of them.
+    The passages are lists of candidates, one for each value of `by` (whole numbers), of at most 2 * K each.
     """
 
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id").reset_index(drop=True)
         found = dict(score([t[:most] for t in rows["text"].fillna("")]))
-        return pd.DataFrame({"vec_id": rows["vec_id"], "rerank": [float(found[i]) for i in range(len(rows))]})
+        return rows[[*by, "vec_id"]].assign(rerank=[float(found[i]) for i in range(len(rows))])
 
-    place = F.row_number().over(Window.orderBy("vec_id")) - 1
-    numbered = passages.select("vec_id", "text", F.floor(place / size).alias("batch"))
-    return numbered.groupBy("batch").applyInPandas(batch, "vec_id long, rerank double")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("vec_id")) - 1
+    numbered = passages.select(*by, "vec_id", "text", F.floor(place / size).alias("batch"))
+    return numbered.groupBy(*by, "batch").applyInPandas(batch, ", ".join([*(f"{c} long" for c in by), "vec_id long", "rerank double"]))
 
 
 def by_length(texts: list[str]) -> list[tuple[int, float]]:
@@ -75,10 +139,10 @@ def by_length(texts: list[str]) -> list[tuple[int, float]]:
     return sorted(((i, float(len(t) * 31 % 101)) for i, t in enumerate(texts)), key=lambda x: -x[1])
 
 
-def context_of(found: DataFrame, texts: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], top: int = TOP) -> DataFrame:
-    """The context of an answer: what was found, with its texts, reranked and labelled; without candidates there is none, and the answer is a refusal."""
+def context_of(found: DataFrame, texts: DataFrame, score: Callable[[list[str]], list[tuple[int, float]]], top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    """The context of an answer, or of one for each value of `by`: what was found, with its texts, reranked and labelled; without candidates there is none, and the answer is a refusal."""
     passages = found.join(texts, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return reranked(passages, batched_scores(passages, score), top)
+    return reranked(passages, batched_scores(passages, score, by=by), top, by)
 
 
 def citation_payload(context: DataFrame, valid: list[int], most: int = 400) -> DataFrame:
@@ -97,6 +161,13 @@ def retrieval_plan(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval_context(spark, folder).select("label", "vec_id", "rerank", "document", "regulation", F.substring("text", 1, 60).alias("passage"))
 
 
+def retrieval_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """retrieval_plan() for every tenth vector as a question."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    context = context_of(candidates_each(spark, folder), texts, by_length, by=("question",))
+    return context.select("question", "label", "vec_id", "score", "rerank", "document", "regulation", F.sha2("text", 256).alias("text_sha256"))
+
+
 def cited_sources(spark: SparkSession, folder: str) -> DataFrame:
     """What an answer that cites the first, the third and a passage that was never offered shows."""
     return citation_payload(retrieval_context(spark, folder), [1, 3, 9], 40)
@@ -154,7 +225,7 @@ def history(spark: SparkSession, folder: str, turns: int = 4) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", "role").withColumn("place", place).filter(F.col("place") <= 2 * turns)
 
 
-QUERIES = {"knn_chunks": knn_chunks, "knn_union": candidates, "rerank_labels": rerank_labels, "prefix_budget": prefix_budget, "dedupe_first_seen": dedupe_first_seen, "top_n_per_group": top_n_per_group, "citation_check": citation_check, "banned_terms": banned_documents, "chat_history": history, "retrieval_plan": retrieval_plan, "cited_sources": cited_sources}
+QUERIES = {"knn_chunks": knn_chunks, "knn_union": candidates, "rerank_labels": rerank_labels, "prefix_budget": prefix_budget, "dedupe_first_seen": dedupe_first_seen, "top_n_per_group": top_n_per_group, "citation_check": citation_check, "banned_terms": banned_documents, "chat_history": history, "retrieval_plan": retrieval_plan, "retrieval_plans": retrieval_plans, "cited_sources": cited_sources}
 
 _SCORES = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0),
@@ -168,6 +239,13 @@ ranked AS (SELECT *, CAST(length(left(text, 512)) * 31 % 101 AS DOUBLE) AS reran
 context AS (SELECT *, row_number() OVER (ORDER BY rerank DESC, vec_id) AS place FROM ranked QUALIFY place <= 6)
 """
 ORACLE = {
+    "retrieval_plans": """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS question, e AS q FROM v WHERE vec_id % 10 = 0),
+scores AS (SELECT question, vec_id, label, CAST(round(CAST(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS DECIMAL(38,12)), 6) AS DECIMAL(18,6)) AS score FROM v, q),
+candidates AS (SELECT *, CASE WHEN label < 5 THEN label END AS document, CASE WHEN label >= 5 THEN label END AS regulation FROM scores QUALIFY row_number() OVER (PARTITION BY question, label < 5 ORDER BY score DESC, vec_id) <= 10),
+ranked AS (SELECT c.*, coalesce(text, '') AS text, CAST(length(left(coalesce(text, ''), 512)) * 31 % 101 AS DOUBLE) AS rerank FROM candidates c LEFT JOIN documents ON doc_id = vec_id)
+SELECT question, 'C' || row_number() OVER (PARTITION BY question ORDER BY rerank DESC, vec_id) AS label, vec_id, score, rerank, document, regulation, sha256(text) AS text_sha256
+FROM ranked QUALIFY row_number() OVER (PARTITION BY question ORDER BY rerank DESC, vec_id) <= 6""",
     "retrieval_plan": _CONTEXT + "SELECT 'C' || place AS label, vec_id, rerank, document, regulation, left(text, 60) AS passage FROM context",
     "cited_sources": _CONTEXT + "SELECT 'C' || place AS label, CASE WHEN regulation IS NOT NULL THEN 'regulation' ELSE 'document' END AS kind, left(text, 40) AS quote, coalesce(regulation, document) AS source_id FROM context WHERE place IN (1, 3)",
     "knn_chunks": _SCORES + "SELECT vec_id, score FROM scores ORDER BY score DESC, vec_id LIMIT 10",

@@ -244,6 +244,25 @@ def test_excerpts_stop_at_the_first_that_breaks_the_budget(spark):
     assert {(r.g, r.kind, r.n) for r in retrieval.excerpts(chunks, "g", "kind", "n", "size").collect()} == {("p", "a", 1), ("q", "a", 1)}
 
 
+def test_many_questions_equal_one_at_a_time(spark, monkeypatch):
+    draw = random.Random(4)
+    some = [(i, [draw.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, [1.0, 2.0]), (62, None), (63, [None, 1.0, 1.0])]
+    vectors = spark.createDataFrame(some, "vec_id long, embedding array<float>")
+    questions = vectors.filter("vec_id % 7 = 0 or vec_id = 61").selectExpr("vec_id as question", "embedding")
+    monkeypatch.setattr(retrieval, "QUESTIONS", 3)
+    monkeypatch.setattr(retrieval, "ROWS", 9)
+    found = {}
+    for r in retrieval.nearest_each(vectors, questions, 5).collect():
+        found.setdefault(r.question, []).append((r.place, r.vec_id, r.score))
+    whole = vectors.filter("size(embedding) = 3 and forall(embedding, x -> x is not null)")
+    for question in (0, 7, 14, 56):
+        wanted = retrieval.nearest(whole, some[question][1], 5).collect() if any(some[question][1]) else []
+        if wanted:
+            assert [(v, s) for _, v, s in sorted(found[question])] == [(r.vec_id, r.score) for r in wanted]
+    assert [v for _, v, _ in found[61]] == [61] and 63 not in found
+    assert retrieval.nearest_each(vectors.limit(0), questions).count() == 0 and retrieval.nearest(vectors, None).count() == 0
+
+
 # --- files and sinks ---------------------------------------------------------
 
 
