@@ -134,7 +134,7 @@ def source_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def routed(pages: DataFrame, read: DataFrame, known: DataFrame) -> DataFrame:
-    """What becomes of each document: document, scope, source, unread (pages that must be read again), status, and rank: work goes by rank and document.
+    """What becomes of each document: document, scope, digest, source, unread (pages that must be read again), status, and rank: work goes by rank and document.
 
     pages: document, scope, digest, page, reasons. read: document, page of results that are there
     already. known: document, digest of documents that were finished. A document that hasn't
@@ -153,7 +153,7 @@ def routed(pages: DataFrame, read: DataFrame, known: DataFrame) -> DataFrame:
     status = F.when(F.col("same"), "skipped").when(F.size("unread") > 0, "needs_ocr").otherwise("completed")
     rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
     found = documents.join(same, ["document", "digest"], "left")
-    return found.select("document", "scope", F.when(scanned, "SCANNED").otherwise("BORN_DIGITAL").alias("source"), "unread", status.alias("status"), rank.alias("rank"))
+    return found.select("document", "scope", "digest", F.when(scanned, "SCANNED").otherwise("BORN_DIGITAL").alias("source"), "unread", status.alias("status"), rank.alias("rank"))
 
 
 def document_routing(spark: SparkSession, folder: str) -> DataFrame:
