@@ -99,7 +99,7 @@ def contract_rules(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_suppkey", "l_returnflag", money("l_quantity").alias("quantity"), money("l_discount").alias("discount"))
     parts = table(spark, folder, "supplier").filter("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
     weights = lines.groupBy("l_orderkey").agg(F.sum("quantity").alias("total"), F.count(F.lit(1)).alias("n"))
-    rows = lines.join(F.broadcast(parts), "l_suppkey", "left").join(weights, "l_orderkey")
+    rows = lines.join(parts, "l_suppkey", "left").join(weights, "l_orderkey")
     rules = {"level": F.col("l_returnflag").isin("A", "N"), "score_range": F.col("quantity").between(0, 45), "least_length": F.char_length(F.rtrim("l_returnflag")) >= 1, "reference": F.col("known"), "weights": F.abs(F.try_divide(F.col("total"), F.col("n")) - 25) <= 20}
     broken = risk.broken_rules(rows, "id", rules)
     twice = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("d")).filter("n > d").select("id", F.lit("unique").alias("rule"))

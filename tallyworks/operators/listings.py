@@ -78,7 +78,7 @@ def won(bids: DataFrame, winners: DataFrame, key: str) -> DataFrame:
 def winner_bidders(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as bids of suppliers, whose names have blanks in them; the winner is the supplier of the first line."""
     names = table(spark, folder, "supplier").select("s_suppkey", "s_name")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")).join(F.broadcast(names), "s_suppkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")).join(names, "s_suppkey")
     bids = lines.select("l_orderkey", "l_linenumber", F.replace("s_name", F.lit("#"), F.lit(" #  ")).alias("bidder"))
     winners = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("s_name").alias("winner"))
     return won(bids, winners, "l_orderkey").select("l_orderkey", "l_linenumber", "is_winner")

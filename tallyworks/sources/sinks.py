@@ -49,8 +49,8 @@ def content_name(content, letters: int = 12):
 
 
 def surrogate_key(*natural: str):
-    """The same key for the same natural key, in every run."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in natural]), 256)
+    """The same key for the same natural key, in every run; parts are hashed apart, so that they can't run into one another, and NULL is no text."""
+    return F.sha2(F.concat_ws(",", *[F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in natural]).cast("binary"), 256)
 
 
 def with_status(rows: DataFrame, reasons: str) -> DataFrame:

@@ -290,6 +290,24 @@ def test_pages_and_metrics(spark, tmp_path):
     assert one(spark, files.without_comments(F.lit("a<!-- x\ny -->b"))) == "ab"
 
 
+def test_histogram_deltas(spark):
+    snapshots = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 2, 1.6, 4.0), ("a", 3, 1.6, 4.0), ("b", 1, 0.5, 1.0)], "source string, at int, sum double, count double")
+    found = {(r.source, r.at): r.mean_ms for r in files.histogram_delta(snapshots).collect()}
+    assert found[("a", 2)] == pytest.approx(300) and found[("a", 1)] is None and found[("a", 3)] is None and found[("b", 1)] is None
+
+
+def test_prompts_and_keys(spark, tmp_path):
+    (tmp_path / "v1.txt").write_text("Score {factor} of {project}.", encoding="utf-8")
+    assert files.prompt(str(tmp_path), "v1", {"factor", "project"}) == "Score {factor} of {project}."
+    with pytest.raises(ValueError, match="project"):
+        files.prompt(str(tmp_path), "v1", {"factor"})
+    rows = spark.createDataFrame([("a", None), ("a", ""), ("a", None), ("a\x1f", "b"), ("a", "\x1fb")], "x string, y string")
+    keys = [r.k for r in rows.select(sinks.surrogate_key("x", "y").alias("k")).collect()]
+    assert keys[0] == keys[2] and len(set(keys)) == 4 and all(len(k) == 64 for k in keys)
+    short = rows.select(sinks.content_name(F.col("x").cast("binary")).alias("n")).first().n
+    assert len(short) == 12 and keys[0] != short
+
+
 def test_manifest(spark):
     good = [{"sub_district": "a", "fiscal_year": 2567, "name": "n", "files": ["f"]}]
     assert files.manifest_entries(spark, good).count() == 1
