@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.text import tidy_name, doc_type, folder_year
+from tallyworks.sources.shared import shared_folder
+from tallyworks.sources.tables import table
 
 #: Deepest folder level first; what a file at that depth belongs to.
 SCOPES = {1: "REFERENCE", 2: "SUB_DISTRICT"}
@@ -59,24 +65,92 @@ def without_comments(text):
     return F.regexp_replace(text, "(?s)<!--.*?-->", "")
 
 
-def manifest_entries(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """The entries of a parsed manifest (sub_district, fiscal_year, name, files); wrong years or repeated projects are errors."""
-    schema = "sub_district string, fiscal_year int, name string, files array<string>"
-    rows = spark.createDataFrame(entries, schema)
-    wrong = rows.filter(~F.col("fiscal_year").between(2500, 2600)).limit(1).collect()
-    twice = rows.groupBy("sub_district", "fiscal_year", "name").count().filter("count > 1").limit(1).collect()
+ENTRY = "sub_district string, fiscal_year int, name string, files array<string>"
+KEYS = ("sub_district", "fiscal_year", "name")
+
+
+def checked_entries(rows: DataFrame) -> DataFrame:
+    """The entries of a manifest (sub_district, fiscal_year, name, files); wrong years or repeated projects are errors."""
+    wrong = rows.filter(~F.coalesce(F.col("fiscal_year").between(2500, 2600), F.lit(False))).limit(1).collect()
+    twice = rows.groupBy(*KEYS).count().filter("count > 1").limit(1).collect()
     if wrong or twice:
         raise ValueError(f"manifest: {wrong or twice}")
     return rows
 
 
-def manifest_text(files: DataFrame) -> str:
-    """A manifest of catalogued project files in YAML: areas, their projects, their files, all in order."""
-    grouped = files.filter("scope = 'PROJECT'").groupBy("sub_district", "fiscal_year", "project_name").agg(F.array_sort(F.collect_list("source_path")).alias("files"))
-    lines = ["projects:"]
-    for row in grouped.orderBy("sub_district", "fiscal_year", "project_name").toLocalIterator():
-        lines += [f"- sub_district: {row.sub_district!r}", f"  fiscal_year: {row.fiscal_year}", f"  name: {row.project_name!r}", "  files:", *[f"  - {f!r}" for f in row.files]]
-    return "\n".join(lines) + "\n"
+def manifest_entries(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """The entries of a parsed manifest, checked."""
+    return checked_entries(spark.createDataFrame(entries, ENTRY))
+
+
+def entry_lines(entry: dict) -> list[str]:
+    """An entry of a manifest in YAML; strings are quoted as in JSON, which YAML reads as well."""
+    quoted = lambda s: json.dumps(s, ensure_ascii=False)
+    return [f"- sub_district: {quoted(entry['sub_district'])}", f"  fiscal_year: {json.dumps(entry['fiscal_year'])}", f"  name: {quoted(entry['name'])}", "  files:", *[f"  - {quoted(f)}" for f in entry["files"] or []]]
+
+
+FIELD = re.compile(r"(?P<item>- |  )(?P<key>[a-z_]+):(?: (?P<value>.*))?|  - (?P<file>.*)")
+
+
+def parsed_manifest(text: str) -> list[dict]:
+    """The entries of a manifest in YAML: a list under projects, of two levels; values are plain, or quoted once or twice."""
+
+    def value(own: str | None):
+        own = (own or "").strip()
+        if own[:1] == '"':
+            return json.loads(own)
+        if own[:1] == "'" and own[-1:] == "'" and len(own) > 1:
+            return own[1:-1].replace("''", "'")
+        return None if own in ("", "null", "~") else own
+
+    out: list[dict] = []
+    for number, line in enumerate(text.split("\n"), 1):
+        if not line.strip() or line.lstrip().startswith("#") or line.rstrip() == "projects:":
+            continue
+        found = FIELD.fullmatch(line.rstrip("\r"))
+        if not found or (not out and found["item"] != "- "):
+            raise ValueError(f"manifest: line {number}: {line!r}")
+        if found["item"] == "- ":
+            out.append({"files": []})
+        if found["key"] is None:
+            out[-1]["files"].append(value(found["file"]))
+        elif found["key"] == "fiscal_year":
+            out[-1]["fiscal_year"] = None if value(found["value"]) is None else int(value(found["value"]))
+        elif found["key"] in KEYS:
+            out[-1][found["key"]] = value(found["value"])
+        elif found["key"] != "files":
+            raise ValueError(f"manifest: line {number}: {line!r}")
+    return out
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the manifest at path, a file or a folder of them; each file is read and parsed by a task. Wrong lines, years and repeated projects are errors."""
+    entry = pa.list_(pa.struct([("sub_district", pa.string()), ("fiscal_year", pa.int32()), ("name", pa.string()), ("files", pa.list_(pa.string()))]))
+
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([parsed_manifest(t or "") for t in batch.to_pylist()], entry)
+
+    texts = spark.read.text(path, wholetext=True)
+    return checked_entries(texts.select(F.inline(F.arrow_udf(parse, f"array<struct<{ENTRY}>>")("value"))))
+
+
+def write_manifest(files: DataFrame, path: str) -> None:
+    """A manifest of catalogued project files as a folder of files: areas, their projects, their files, all in order over the files.
+
+    Each task writes the entries of its range of keys as a manifest of its own.
+    """
+    grouped = files.filter("scope = 'PROJECT'").groupBy("sub_district", "fiscal_year", F.col("project_name").alias("name")).agg(F.array_sort(F.collect_list("source_path")).alias("files"))
+
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            lines = [x for entry in batch.to_pylist() for x in entry_lines(entry)]
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["\n".join(lines if begun else ["projects:", *lines])] if lines else [], pa.string())})
+            begun = begun or bool(lines)
+
+    ordered = grouped.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).select(*KEYS, "files")
+    ordered.mapInArrow(text, "value string").write.text(path)
 
 
 def histogram_totals(lines: DataFrame, metric: str) -> DataFrame:
@@ -102,3 +176,18 @@ def prompt(folder: str, version: str, allowed: set[str]) -> str:
     if unknown:
         raise ValueError(f"unknown placeholders: {sorted(unknown)}")
     return text
+
+
+def manifest_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of projects (a source in a year), written as a manifest and read again."""
+    docs = table(spark, folder, "documents").filter("doc_id is not null")
+    files = docs.select(F.lit("PROJECT").alias("scope"), F.coalesce("source", F.lit("?'\"")).alias("sub_district"), (2500 + F.col("doc_id") % 90).cast("int").alias("fiscal_year"), F.concat(F.lit('โครงการ "'), F.coalesce("lang", F.lit("")), F.lit('"')).alias("project_name"), F.format_string("%d.pdf", "doc_id").alias("source_path"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_manifest(files, path)
+    return read_manifest(spark, path).select("sub_district", "fiscal_year", "name", F.explode("files").alias("file"))
+
+
+QUERIES = {"manifest_round_trip": manifest_round_trip}
+ORACLE = {
+    "manifest_round_trip": """SELECT coalesce(source, '?''"') AS sub_district, CAST(2500 + doc_id % 90 AS INTEGER) AS fiscal_year, 'โครงการ "' || coalesce(lang, '') || '"' AS name, doc_id || '.pdf' AS file FROM documents WHERE doc_id IS NOT NULL""",
+}

@@ -276,7 +276,24 @@ def test_corpus(spark, tmp_path):
     assert (tor.scope, tor.fiscal_year, tor.project_name, tor.doc_type, tor.is_pdf) == ("PROJECT", 2567, "ถนน", "tor", True)
     assert found["พรบ"].scope == "REFERENCE" and found["พรบ"].anomalies == ["extension-added"]
     assert [r.source_path for r in files.refused(files.corpus(spark, str(tmp_path))).collect()] == ["ตำบล/โครงการ/ปี 67/ถนน/รูป.png"]
-    assert "fiscal_year: 2567" in files.manifest_text(files.corpus(spark, str(tmp_path)))
+    files.write_manifest(files.corpus(spark, str(tmp_path)), str(tmp_path.parent / "manifest"))
+    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path.parent / "manifest")).collect()] == [("โครงการ", 2567, "ถนน", ["ตำบล/โครงการ/ปี 67/ถนน/TOR งาน.pdf", "ตำบล/โครงการ/ปี 67/ถนน/รูป.png"])]
+
+
+def test_manifests_are_read_and_refused(spark, tmp_path):
+    entries = [{"sub_district": 'a "b"', "fiscal_year": 2567, "name": "n: # x\n'y'", "files": ["f 1.pdf", "- g"]}, {"sub_district": "null", "fiscal_year": 2500, "name": "", "files": []}]
+    text = "\n".join(["# note", "projects:", *(x for e in entries for x in files.entry_lines(e))])
+    assert files.parsed_manifest(text) == entries and files.parsed_manifest("") == []
+    plain = "projects:\r\n- sub_district: 'it''s'\r\n  fiscal_year: 2566\r\n  name: plain name\r\n  files:\r\n  - a/b.pdf\r\n"
+    assert files.parsed_manifest(plain) == [{"files": ["a/b.pdf"], "sub_district": "it's", "fiscal_year": 2566, "name": "plain name"}]
+    for i, wrong in enumerate(["  name: x", "- other: x", "projects:\n- sub_district: a\n    deep: 1", text + "\n" + "\n".join(files.entry_lines(entries[0])), text.replace("2567", "2667")]):
+        (tmp_path / f"{i}.yaml").write_text(wrong)
+        with pytest.raises(Exception, match="manifest"):
+            files.read_manifest(spark, str(tmp_path / f"{i}.yaml")).collect()
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good/a.yaml").write_text(text)
+    (tmp_path / "good/b.yaml").write_text(plain)
+    assert files.read_manifest(spark, str(tmp_path / "good")).count() == 3
 
 
 def test_pages_and_metrics(spark, tmp_path):
