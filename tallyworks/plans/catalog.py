@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tallyworks.operators import assessments, checks, documents, items, listings, portfolio, recurring, retrieval, risk, trends, words
 from tallyworks.sources import files, sinks, versions
-from tallyworks.streaming import gate, ingest, telemetry
+from tallyworks.streaming import counters, gate, ingest, telemetry
 
-_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, assessments, listings, documents, words, files, sinks, versions, gate, ingest, telemetry)
+_MODULES = (trends, portfolio, items, checks, recurring, retrieval, risk, assessments, listings, documents, words, files, sinks, versions, counters, gate, ingest, telemetry)
 
 
 def queries() -> dict:
