@@ -402,7 +402,7 @@ WINDOW_USE = np.dtype([("key", "<u8"), ("row", "<u4")])
 
 def split_windows(found: np.ndarray, text: np.ndarray, texts: int, common: np.ndarray, common_score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What common windows add to each text's score, and the uses of others."""
-    order = np.argsort(found, kind="stable")
+    order = np.argsort(found)
     found, text = found[order], text[order]
     first = firsts(found)
     at, known = place(common, found[first])
