@@ -110,19 +110,29 @@ class Sums:
         return out
 
 
+def wired(rows: np.ndarray) -> bytes:
+    """Rows of contexts as bytes; the vectors of rare words are mostly zeros, so they are compressed."""
+    raw = rows.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unwired(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), CONTEXT)
+
+
 def in_slots(rows: np.ndarray, slots: int) -> pa.RecordBatch:
     """Rows by the slot that their words fall in."""
     slot = (rows["word"] >> U(SHAPE_BITS)) % U(slots)
     order = np.argsort(slot, kind="stable")
     rows, slot = rows[order], slot[order]
     cuts = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])), len(rows)) if len(rows) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_pydict({"slot": pa.array(slot[cuts[:-1]].astype(np.int32)), "packed": pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+    return pa.RecordBatch.from_pydict({"slot": pa.array(slot[cuts[:-1]].astype(np.int32)), "packed": pa.array([wired(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for packed in batch.column("packed").to_pylist():
-            yield np.frombuffer(packed, CONTEXT)
+            yield unwired(packed)
 
 
 def contexts(slots: int) -> Callable:
@@ -148,7 +158,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sums.clear()
     for at in range(0, len(rows), HELD):
         some = rows[at : at + HELD]
-        yield pa.RecordBatch.from_pydict({"packed": pa.array([some.tobytes()], pa.binary()), "uses": pa.array([int(some["uses"].sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"packed": pa.array([wired(some)], pa.binary()), "uses": pa.array([int(some["uses"].sum())], pa.int64())})
 
 
 def rest_of(words: np.ndarray) -> np.ndarray:
@@ -161,7 +171,7 @@ def frequent(least: float) -> Callable:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in unpacked(batches):
-            yield pa.RecordBatch.from_pydict({"packed": pa.array([rows[rows["uses"] >= least].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"packed": pa.array([wired(rows[rows["uses"] >= least])], pa.binary())})
 
     return of
 
@@ -334,7 +344,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Vec
     """Word vectors from all texts of docs, and the network from those that labels (doc_id, quality) has.
 
     At most `most` labelled ids take part: those with the smallest hashes. Labels other than 0
-    and 1, null ids and ids with different labels are left out.
+    and 1, null ids and ids with different labels are left out. With fewer than 20 labelled texts,
+    or one label only, every text gets the same score.
     """
     vectors = word_vectors(docs)
     one = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
