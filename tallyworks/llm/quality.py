@@ -111,13 +111,25 @@ class Sums:
 
 
 def wired(rows: np.ndarray) -> bytes:
-    """Rows of contexts as bytes; the vectors of rare words are mostly zeros, so they are compressed."""
-    raw = rows.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Rows of contexts as bytes: numbers small whatever their sign, the first bytes of all, then the second ones and so on, compressed.
+
+    The vectors of rare words are mostly zeros, and their other numbers take one byte.
+    """
+    vector = rows["vector"]
+    planes = lambda values: values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    raw = rows["word"].tobytes() + planes(rows["uses"].ravel().copy()) + planes((vector << 1 ^ vector >> 31).ravel())
+    return len(rows).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unwired(packed: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), CONTEXT)
+    n = int.from_bytes(packed[:8], "little")
+    raw = np.frombuffer(pa.decompress(packed[8:], n * CONTEXT.itemsize, "zstd", asbytes=True), np.uint8)
+    out = np.empty(n, CONTEXT)
+    out["word"] = raw[: 8 * n].view(np.uint64)
+    out["uses"] = raw[8 * n : 16 * n].reshape(8, -1).T.copy().view(np.int64).ravel()
+    vector = raw[16 * n :].reshape(4, -1).T.copy().view(np.uint32).ravel()
+    out["vector"] = (vector >> 1 ^ -(vector & 1).astype(np.int64)).astype(np.int32).reshape(n, DIMS)
+    return out
 
 
 def in_slots(rows: np.ndarray, slots: int) -> pa.RecordBatch:
