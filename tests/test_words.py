@@ -97,3 +97,12 @@ def test_too_large_a_dictionary_is_refused(spark):
 @pytest.mark.parametrize(("typed", "meant"), [("เเก", "แก"), ("นํ้า", "น้ำ"), ("นํา", "นำ"), ("นำ้", "น้ำ"), ("ก่ิ", "กิ่"), ("ก่้", "ก้"), ("กาาา", "กา"), ("a​b", "ab"), ("กิ่ง", "กิ่ง"), (None, None)])
 def test_marks_are_put_in_order(spark, typed, meant):
     assert spark.range(1).select(words.normalised(F.lit(typed).cast("string")).alias("t")).first().t == meant
+
+
+def test_texts_without_overlaps_take_no_step_for_each_letter(monkeypatch):
+    """The words of the queries never overlap, so all bounds are found at once (thai_lines and thai_quality took minutes for each letter to be looked at)."""
+    monkeypatch.setattr(words, "cheapest", lambda *_: pytest.fail("a step for each letter"))
+    trie = words.Trie([words.word_of(c) for c in words.KNOWN])
+    text = "".join(map(words.word_of, "abcxyzabyt"))
+    assert words.cut([text, None, "a b"], trie) == [[("กากม", True), ("ขาขม", True), ("คาคม", True), ("ฮ" * 12, False), ("กากม", True), ("ขาขม", True), ("ฮฮฮฮ", False), (words.word_of("t"), True)], [], [("a", False), (" ", False), ("b", False)]]
+    assert words.covered_of([text, None, "a b"], trie) == [24, 0, 0]
