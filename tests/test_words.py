@@ -104,10 +104,17 @@ def test_texts_without_overlaps_take_no_step_for_each_letter(monkeypatch):
     monkeypatch.setattr(words, "cheapest", lambda *_: pytest.fail("a step for each letter"))
     trie = words.Trie([words.word_of(c) for c in words.KNOWN])
     text = "".join(map(words.word_of, "abcxyzabyt"))
-    assert words.cut([text, None, "a b"], trie) == [[("กากม", True), ("ขาขม", True), ("คาคม", True), ("ฮ" * 12, False), ("กากม", True), ("ขาขม", True), ("ฮฮฮฮ", False), (words.word_of("t"), True)], [], [("a", False), (" ", False), ("b", False)]]
+    assert words.cut([text, None, "a b"], trie) == [[("กากม", True), ("ขาขม", True), ("ฃาฃม", True), ("ฮ" * 12, False), ("กากม", True), ("ขาขม", True), ("ฮฮฮฮ", False), (words.word_of("t"), True)], [], [("a", False), (" ", False), ("b", False)]]
     assert words.covered_of([text, None, "a b"], trie) == [24, 0, 0]
 
 
 def test_letters_of_a_page_are_counted_at_once():
     texts = ["", "กิ่ ิa", "่ก�é😀", "ก", "ิ"]
     assert documents.counts_of(texts).T.tolist() == [[0, 0, 0, 0, 0, 0], [6, 4, 1, 0, 1, 0], [5, 2, 1, 1, 1, 1], [1, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 0]]
+
+
+def test_whole_texts_are_repaired_as_lines_are(spark):
+    draw = random.Random(5)
+    texts = [None, "", *("".join(draw.choices("กนเแา่้๊์ิีุำํๅ็​﻿a ", k=40)) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(words.repaired(F.col("t")).alias("ours"), words.normalised(F.col("t")).alias("theirs")).collect()
+    assert len(rows) == 302 and all(r.ours == r.theirs for r in rows)
