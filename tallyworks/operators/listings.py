@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +113,19 @@ def justification(years: Column, growth: Column, cumulative: Column) -> Column:
     return F.concat(F.lit("in "), F.array_join(years.cast("array<string>"), ", "), F.lit(": up to "), F.bround(growth * 100, 0).cast("int").cast("string"), F.lit("%, in all "), F.format_number(cumulative, 2))
 
 
+def whole_percent(part: Column, whole: Column) -> Column:
+    """A decimal's percents of another one (both of two digits), whole and half to even; exact, as the remainder decides. NULL for parts of nothing."""
+    hundredfold, of = (part * 100).cast("decimal(22,2)"), F.nullif(whole.cast("decimal(22,2)"), F.lit(0).cast("decimal(22,2)"))
+    rest = hundredfold % of
+    floor = ((hundredfold - rest) / of).cast("decimal(22,0)")
+    return floor + F.when((2 * rest > of) | ((2 * rest == of) & (floor % 2 == 1)), 1).otherwise(0)
+
+
 def justifications(spark: SparkSession, folder: str) -> DataFrame:
     """For each customer the years of its orders, the growth from its smallest to its largest one, and their sum."""
     orders = table(spark, folder, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), money("o_totalprice").alias("amount"))
     own = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("year")).alias("years"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.sum("amount").alias("total"))
-    growth = ((F.col("high") - F.col("low")) * 100).cast("decimal(38,6)") / F.col("low").cast("decimal(20,2)") / 100
+    growth = (whole_percent(F.col("high") - F.col("low"), F.col("low")).cast("decimal(24,0)") * F.lit(Decimal("0.01"))).cast("decimal(26,2)")
     return own.select("o_custkey", justification(F.col("years"), growth, F.col("total").cast("decimal(24,2)")).alias("text"))
 
 

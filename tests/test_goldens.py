@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import numbers, text
-from tallyworks.operators import checks, documents, items, recurring, retrieval, risk
+from tallyworks.operators import checks, documents, items, listings, recurring, retrieval, risk
 from tallyworks.sources import files, sinks
 from tallyworks.streaming import gate, telemetry
 
@@ -429,3 +429,26 @@ def test_events_and_outcomes(spark):
     assert [(r.delta, r.last) for r in telemetry.sse_deltas(lines).orderBy("seq").collect()] == [("hi", False), ("", True)]
     requests = spark.createDataFrame([(1, 0, False, 0), (2, 3, True, 4), (3, 3, False, 0), (4, 3, False, 9)], "request_id int, n_context int, failed boolean, n_tokens int")
     assert [r.outcome for r in telemetry.outcomes(requests).orderBy("request_id").collect()] == ["refused", "degraded", "empty", "done"]
+
+
+def test_a_last_chunk_of_repeated_lines_stays(spark):
+    lines = ["a" * 300] * 4
+    assert documents.packed(lines, 800, 1) == ["\n".join(lines[:2])] * 3
+    pages = spark.createDataFrame([("d", 1, "\n".join(lines))], "document string, page int, text string")
+    assert documents.reconstructed(documents.chunked(pages)).first().text == "\n".join(lines)
+
+
+def test_whole_percents_are_exact(spark):
+    """A half that is none by one of many digits, halves proper to both sides, and parts of nothing."""
+    rows = [("16705.00", "1000.00", 1670), ("16705.01", "1000.00", 1671), ("10000000000.49", "99999999900.02", 10), ("0.15", "1.00", 15), ("0.01", "2.00", 0), ("0.03", "2.00", 2), ("1.00", "0.00", None), ("9999999999999999.50", "9999999999999999.99", 100), ("4.999999", "1.00", 500)]
+    frame = spark.createDataFrame([(str(i), a, b) for i, (a, b, _) in enumerate(rows)], "i string, part string, whole string")
+    found = frame.select("i", listings.whole_percent(F.col("part").cast("decimal(18,2)"), F.col("whole").cast("decimal(18,2)")).alias("p")).collect()
+    assert {r.i: r.p for r in found} == {str(i): p for i, (_, _, p) in enumerate(rows)}
+
+
+def test_a_justification_near_a_half(spark, tmp_path):
+    """The growth is 1670.500000012 percent, of which a quotient of few digits made an even half."""
+    low = Decimal("83333333.00")
+    frame = spark.createDataFrame([(1, 9131, "1.0")], "o_custkey long, d int, x string").select("o_custkey", F.date_from_unix_date("d").alias("o_orderdate"), F.explode(F.array(F.lit(low), F.lit(low + low * Decimal("16.705") + Decimal("0.01")).cast("decimal(18,2)"))).alias("o_totalprice"))
+    frame.write.parquet(f"{tmp_path}/orders.parquet")
+    assert listings.justifications(spark, str(tmp_path)).first().text.startswith("in 1995: up to 1671%, in all ")
