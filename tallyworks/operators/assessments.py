@@ -40,7 +40,7 @@ def risk_summary(spark: SparkSession, folder: str) -> DataFrame:
     factors = risk.event_factors(spark, folder)
     place = F.array_position(F.array(*map(F.lit, risk.FACTORS)), F.col("factor"))
     cited = factors.withColumn("regulations", F.array(F.concat(F.lit("act/s."), F.col("user_id") % 7), F.concat(F.lit("act/s."), (F.col("user_id") + place) % 3)))
-    scored = risk.assessed(factors, "user_id", F.max(F.lit(False)))
+    scored = risk.event_assessments(factors)
     regulations = each_once(cited, "user_id", place, "regulations").select("user_id", F.array_join("regulations", ",").alias("regulations"))
     text = summary(F.col("overall_score"), F.col("risk_level"), F.split("top_factors", ","))
     return scored.select("user_id", text.alias("summary")).join(regulations, "user_id")

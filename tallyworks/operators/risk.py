@@ -43,8 +43,13 @@ def event_factors(spark: SparkSession, folder: str) -> DataFrame:
     return events.groupBy("user_id", F.col("event_type").alias("factor")).agg(F.least(mean * 3, F.lit(100.0)).cast("decimal(38,10)").cast("decimal(5,2)").alias("score"))
 
 
+def event_assessments(factors: DataFrame) -> DataFrame:
+    """assessed() of event_factors(); a high score of errors calls for an investigation."""
+    return assessed(factors, "user_id", F.max(F.when(F.col("factor") == "error", F.col("score") > 90).otherwise(False)))
+
+
 def risk_aggregate(spark: SparkSession, folder: str) -> DataFrame:
-    return assessed(event_factors(spark, folder), "user_id", F.max(F.when(F.col("factor") == "error", F.col("score") > 90).otherwise(False))).drop("has_high")
+    return event_assessments(event_factors(spark, folder)).drop("has_high")
 
 
 LEVELS = ("LOW", "MEDIUM", "HIGH", "REQUIRES_INVESTIGATION")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import numbers, text
-from tallyworks.operators import checks, documents, items, listings, recurring, retrieval, risk
+from tallyworks.operators import assessments, checks, documents, items, listings, recurring, retrieval, risk
 from tallyworks.sources import files, sinks
 from tallyworks.streaming import gate, telemetry
 
@@ -452,3 +452,13 @@ def test_a_justification_near_a_half(spark, tmp_path):
     frame = spark.createDataFrame([(1, 9131, "1.0")], "o_custkey long, d int, x string").select("o_custkey", F.date_from_unix_date("d").alias("o_orderdate"), F.explode(F.array(F.lit(low), F.lit(low + low * Decimal("16.705") + Decimal("0.01")).cast("decimal(18,2)"))).alias("o_totalprice"))
     frame.write.parquet(f"{tmp_path}/orders.parquet")
     assert listings.justifications(spark, str(tmp_path)).first().text.startswith("in 1995: up to 1671%, in all ")
+
+
+def test_a_summary_tells_of_high_findings(spark, tmp_path):
+    """Errors above 90 call for an investigation, though the mean of all factors is medium."""
+    rows = [(1, "error", 31.0), (1, "view", 1.0), (2, "error", 20.0), (2, "view", 12.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    levels = {r.user_id: r.risk_level for r in risk.risk_aggregate(spark, str(tmp_path)).collect()}
+    assert levels == {1: "REQUIRES_INVESTIGATION", 2: "MEDIUM"}
+    for row in assessments.risk_summary(spark, str(tmp_path)).collect():
+        assert f"จัดอยู่ในระดับ{assessments.LEVELS[levels[row.user_id]]} " in row.summary
