@@ -467,3 +467,12 @@ def test_a_summary_tells_of_high_findings(spark, tmp_path):
 def test_parts_of_a_contract_are_read_once():
     """The lines of a part are split once, not for each row and cell that is looked at."""
     assert str(documents.winner(F.col("t"))).count("split(t") == str(documents.bidders(F.col("t"))).count("split(t") == 1
+
+
+def test_requests_go_to_python_together(spark):
+    """A batch's requests aren't data frames of their own, which took milliseconds each."""
+    rows = [(1, 2, "b. c", True), (1, 1, "a", False), (2, 1, None, True), (3, 2, "late", True), (None, 1, "x", True)]
+    found = gate.gated(spark.createDataFrame(rows, "request_id long, seq long, delta string, last boolean"), first=1)
+    assert sorted(map(tuple, found.filter("request_id is not null").collect())) == [(1, 0, "ab.", False), (1, 1, " c", False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
