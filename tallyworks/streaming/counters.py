@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +34,21 @@ def changes(scrapes: DataFrame) -> DataFrame:
         return once.select("source", "labels", "at", F.when(before.isNotNull(), change).alias("change")).filter("change is not null")
 
     def grown(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).groupby("at", as_index=False)["value"].max().sort_values("at")
-        last = state.get if state.exists else None
-        rows = rows[rows["at"] > last[0]] if last else rows
-        if not len(rows):
-            return
-        before = rows["value"].shift(1)
-        if last:
-            before.iloc[0] = last[1]
-        out = rows.assign(change=rows["value"].where(rows["value"] < before, rows["value"] - before), source=key[0], labels=key[1])
-        state.update((int(rows["at"].iloc[-1]), float(rows["value"].iloc[-1])))
-        yield out[before.notna()][["source", "labels", "at", "change"]]
+        # Plain arrays, as there are many counters with few scrapes each.
+        at, value = (np.concatenate(x) for x in zip(*((f["at"].to_numpy(), f["value"].to_numpy()) for f in frames), strict=True))
+        order = np.lexsort((value, at))
+        at, value = at[order], value[order]
+        once = np.append(at[1:] != at[:-1], True)
+        at, value = at[once], value[once]
+        if state.exists:
+            last, before = state.get
+            later = at > last
+            at, value = np.append(last, at[later]), np.append(before, value[later])
+            if len(at) == 1:
+                return
+        state.update((int(at[-1]), float(value[-1])))
+        if len(at) > 1:
+            yield pd.DataFrame({"source": key[0], "labels": key[1], "at": at[1:], "change": np.where(value[1:] < value[:-1], value[1:], value[1:] - value[:-1])})
 
     return whole.groupBy("source", "labels").applyInPandasWithState(grown, CHANGES, "at long, value double", "append", GroupStateTimeout.NoTimeout)
 
