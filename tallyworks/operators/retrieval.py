@@ -8,6 +8,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +48,16 @@ def best_of_blocks(k: int) -> Callable:
     def best(questions: pa.Table, rows: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         ids = rows["vec_id"].to_numpy()
-        of = lambda t, some: np.array([x for x in t["embedding"].take(some).to_pylist()], float)
-        lengths = [np.array([len(x) for x in t["embedding"].to_pylist()], np.int64) for t in (questions, rows)]
+        of = lambda t, some, n: t["embedding"].take(some).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(some), n)
+        lengths = [pc.list_value_length(t["embedding"]).to_numpy() for t in (questions, rows)]
         for n in np.intersect1d(*lengths):
             mine, theirs = (np.flatnonzero(x == n) for x in lengths)
-            scores = millionths(of(rows, theirs), of(questions, mine))
-            for question, score in zip(questions["question"].to_numpy()[mine], scores, strict=True):
-                order = np.lexsort((ids[theirs], -score))[:k]
+            scores = millionths(of(rows, theirs, n), of(questions, mine, n))
+            # Only what reaches the score of place k is put in order, all ties with it too.
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < len(theirs) else np.full(len(mine), NONE)
+            for question, score, bound in zip(questions["question"].to_numpy()[mine], scores, least, strict=True):
+                some = np.flatnonzero(score >= bound)
+                order = some[np.lexsort((ids[theirs[some]], -score[some]))[:k]]
                 found += [(int(question), int(ids[theirs[i]]), int(score[i])) for i in order]
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["question", "vec_id", "score"])
 

@@ -2,6 +2,8 @@ import random
 import time
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,3 +478,17 @@ def test_requests_go_to_python_together(spark):
     assert sorted(map(tuple, found.filter("request_id is not null").collect())) == [(1, 0, "ab.", False), (1, 1, " c", False)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
+
+
+def test_nearest_of_blocks_keeps_the_smallest_ids_of_ties():
+    """Many equal scores around the last place, rows without a length, and vectors of two lengths."""
+    draw = random.Random(3)
+    vectors = [[float(draw.randrange(-1, 2)) for _ in range(draw.choice((2, 3)))] for _ in range(200)]
+    table = lambda name, some: pa.table([pa.array(list(some), pa.int64()), pa.array([vectors[i] for i in some], pa.list_(pa.float64()))], names=[name, "embedding"])
+    found = retrieval.best_of_blocks(7)(table("question", range(20)), table("vec_id", list(range(200))[::-1])).to_pylist()
+    for q in range(20):
+        same = [i for i in range(200) if len(vectors[i]) == len(vectors[q])]
+        scores = retrieval.millionths(np.array([vectors[i] for i in same]), np.array([vectors[q]]))[0].tolist()
+        wanted = sorted(zip([-s for s in scores], same, strict=True))[:7]
+        assert [(-r["score"], r["vec_id"]) for r in found if r["question"] == q] == wanted
+    assert retrieval.best_of_blocks(7)(table("question", range(20)), table("vec_id", [])).num_rows == 0
