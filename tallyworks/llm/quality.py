@@ -19,9 +19,14 @@ DIMS, REACH, MARKS = 64, 2, 2
 #: A word that is at least this part of all has a vector of its own (so at most 1 / SHARE words are broadcast);
 #: others share one with words of the same shape and the same last bits of their hashes.
 SHARE, SHAPE_BITS, REST_BITS = 2.0**-17, 3, 8
-PIECE, REMEMBERED = 250_000, 150_000
-#: Rows of contexts that a task holds before it hands them on.
-HELD = 40_000
+SHARED = 1 << SHAPE_BITS + REST_BITS
+PIECE, REMEMBERED = 2_000_000, 500_000
+#: Rows of contexts that are packed together, and different words that a task counts before it hands them on.
+HELD, COUNTED = 40_000, 2_000_000
+#: Parts that the contexts are summed in at most.
+SLOTS = 512
+#: Characters whose fingerprints are made at once, the longest token that gets one this way, and the number whose powers tell places apart.
+WINDOW, LONGEST, FACTOR = 1 << 16, 256, 0x9E3779B97F4A7C15
 #: Labelled texts that the network is fitted on at most; the vectors come from all texts.
 LABELLED = 20_000
 HIDDEN, EPOCHS, PATIENCE, BATCH, RATE, DECAY = 32, 60, 6, 256, 3e-3, 3e-3
@@ -43,40 +48,112 @@ def shape(token: str) -> int:
     return 6
 
 
+def number_of(token: str) -> int:
+    """A hash whose last bits are the token's shape."""
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) >> SHAPE_BITS << SHAPE_BITS | shape(token)
+
+
+def spread(values: np.ndarray) -> np.ndarray:
+    """Other 64-bit numbers for whole numbers, all bits mixed."""
+    values = (values + U(1)) * U(0xBF58476D1CE4E5B9)
+    values = (values ^ values >> U(30)) * U(0x94D049BB133111EB)
+    return values ^ values >> U(31)
+
+
 class _Tokens(dict):
-    """The number of a token: a hash whose last bits are its shape."""
+    """Numbers of tokens by their fingerprints: sums over characters, each times a power by its place, so that all tokens of a text are found at once."""
+
+    def __init__(self) -> None:
+        self.kinds, self.spread = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+        self.powers, self.inverse = (np.multiply.accumulate(np.append(U(1), np.full(WINDOW + LONGEST, f, np.uint64))) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
 
     def __missing__(self, token: str) -> int:
+        return number_of(token)
+
+    def know(self, characters: int) -> None:
+        """Kinds of so many characters at least, as TOKEN has them: 0 between tokens, 1 in words, 2 in other tokens."""
+        if characters > len(self.kinds):
+            size = 1 << (characters - 1).bit_length()
+            every = "".join(map(chr, range(min(size, 0x110000))))
+            self.kinds, self.spread = np.full(len(every), 2, np.uint8), spread(np.arange(len(every), dtype=np.uint64))
+            for kind, pattern in ((0, r"\s+"), (1, r"\w+")):
+                for found in re.finditer(pattern, every):
+                    self.kinds[found.start() : found.end()] = kind
+
+    def fingerprints(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        short = np.flatnonzero(ends - starts <= LONGEST)
+        for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]].encode("utf-8", "replace"))
+        cuts = np.searchsorted(starts[short], np.arange(0, len(codes) + WINDOW, WINDOW))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                some, at = short[a:b], starts[short[a]]
+                place, end = starts[some] - at, ends[some] - at
+                sums = np.zeros(end[-1] + 1, np.uint64)
+                np.cumsum(self.spread[codes[at : at + end[-1]]] * self.powers[: end[-1]], out=sums[1:])
+                out[some] = (sums[end] - sums[place]) * self.inverse[place]
+        return out
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int], str]]:
+        """The different fingerprints, each token's place in them, how many tokens each text has, and a function of such a place that gives the token."""
+        text = "".join(t for t in texts if t)
+        bounds = np.cumsum([0, *(len(t) if t else 0 for t in texts)])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.know(int(codes.max(initial=0)) + 1)
+        kinds = self.kinds[codes]
+        begins = np.append(True, kinds[1:] != kinds[:-1])[: len(codes)]
+        begins[bounds[:-1][bounds[:-1] < len(codes)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(codes))[: len(starts)]
+        inside = kinds[starts] > 0
+        starts, ends = starts[inside], ends[inside]
+        found = pa.array(self.fingerprints(text, codes, starts, ends)).dictionary_encode()
+        own, prints = found.indices.to_numpy(), found.dictionary.to_numpy()
+        any_of = np.empty(len(prints), np.int64)
+        any_of[own] = np.arange(len(own))
+        return prints, own, np.diff(np.searchsorted(starts, bounds)), lambda i: text[starts[any_of[i]] : ends[any_of[i]]]
+
+    def numbers(self, prints: np.ndarray, token: Callable[[int], str]) -> np.ndarray:
+        """The numbers of what tokens() gives."""
         if len(self) > REMEMBERED:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
-        value = self[token] = h >> SHAPE_BITS << SHAPE_BITS | shape(token)
-        return value
+        keys = prints.tolist()
+        numbers = [self.get(k) for k in keys]
+        for i, number in enumerate(numbers):
+            if number is None:
+                numbers[i] = self[keys[i]] = number_of(token(i))
+        return np.fromiter(numbers, np.uint64, len(numbers))
 
 
 def token_numbers(texts: list[str | None], tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all texts' tokens, and how many each text has."""
-    split = [TOKEN.findall(t) if t else [] for t in texts]
-    counts = np.array([len(x) for x in split], np.int64)
-    return np.fromiter((tokens[w] for x in split for w in x), np.uint64, counts.sum()), counts
+    prints, own, counts, token = tokens.tokens(texts)
+    return tokens.numbers(prints, token)[own], counts
 
 
-def contexts_of(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each different token how often it is there, and the sum of the marks of its neighbours in the same texts."""
-    words, own = np.unique(numbers, return_inverse=True)
-    text = np.repeat(np.arange(len(counts)), counts)
+def contexts_of(numbers: np.ndarray, counts: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+    """For each different token how often it is there, and the sum of the marks of its neighbours in the same texts.
+
+    Tokens with the same of names, if given, count as one; as neighbours they keep their numbers.
+    """
+    found = pa.array(numbers if names is None else names).dictionary_encode()
+    words, own = found.dictionary.to_numpy(), found.indices.to_numpy()
     out = np.zeros(len(words), CONTEXT)
     out["word"], out["uses"] = words, np.bincount(own, minlength=len(words))
-    sums = np.zeros(len(words) * DIMS)
+    # After each text come empty places, which have no marks and whose own sums are left out.
+    place = np.arange(len(own)) + np.repeat(REACH * np.arange(len(counts)), counts)
+    size = len(own) + REACH * len(counts)
+    row = np.full(size, len(words) * DIMS)
+    row[place] = own.astype(np.int64) * DIMS
+    sums = np.zeros((len(words) + 1) * DIMS)
     for mark in range(MARKS):
-        bits = (words >> U(8 + 8 * mark)).astype(np.int64)
-        at, sign = (bits & DIMS - 1)[own], (1.0 - 2.0 * (bits >> 6 & 1))[own]
-        for reach in range(1, REACH + 1):
-            left = np.flatnonzero(text[reach:] == text[:-reach])
-            right = left + reach
-            for a, b in ((left, right), (right, left)):
-                sums += np.bincount(own[a] * DIMS + at[b], sign[b], len(sums))
-    out["vector"] = sums.reshape(-1, DIMS)
+        bits = (numbers >> U(8 + 8 * mark)).astype(np.int64)
+        at, sign = np.zeros(size, np.int64), np.zeros(size)
+        at[place], sign[place] = bits & DIMS - 1, 1.0 - 2.0 * (bits >> 6 & 1)
+        sides = [pair for reach in range(1, REACH + 1) for pair in ((slice(reach, None), slice(-reach)), (slice(-reach), slice(reach, None)))]
+        sums += np.bincount(np.concatenate([row[a] + at[b] for a, b in sides]), np.concatenate([sign[b] for _, b in sides]), len(sums))
+    out["vector"] = sums[: len(words) * DIMS].reshape(-1, DIMS)
     return out
 
 
@@ -147,59 +224,73 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield unwired(packed)
 
 
-def contexts(slots: int) -> Callable:
-    """A function over batches of texts that gives their contexts by slot."""
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    return pieces((text for batch in batches for text in batch.column(0).to_pylist()), PIECE)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, uses: the tokens of texts by their fingerprints; a word comes once, or again when a task has very many."""
+    tokens = _Tokens()
+    parts, rows, kept = [], 0, 0
+    once = lambda: pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("uses", "sum")]).rename_columns(["word", "uses"])
+    for texts in texts_of(batches):
+        prints, own, _, _ = tokens.tokens(texts)
+        parts.append(pa.table({"word": prints.view(np.int64), "uses": np.bincount(own, minlength=len(prints)).astype(np.int64)}))
+        rows += len(prints)
+        if rows > 2 * kept + HELD:
+            parts = [once()]
+            rows = kept = len(parts[0])
+        if kept > COUNTED:
+            yield from parts[0].to_batches(HELD)
+            parts, rows, kept = [], 0, 0
+    if parts:
+        yield from once().to_batches(HELD)
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, uses: the words that are at least SHARE of a partition's tokens so far, so all that are of all tokens; and a row without a word for its tokens."""
+    total = 0
+    for batch in batches:
+        uses = batch.column("uses").to_numpy()
+        total += int(uses.sum())
+        yield batch.filter(pa.array(uses >= total * SHARE))
+    yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.int64()), "uses": pa.array([total], pa.int64())})
+
+
+def contexts(own: Callable[[], np.ndarray], slots: int) -> Callable:
+    """A function over batches of texts that gives, by slot, the contexts of words with own()'s fingerprints, and of others by the vector that they share."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sums = _Tokens(), Sums()
-        for batch in batches:
-            for texts in pieces(batch.column(0).to_pylist(), 4 * PIECE):
-                sums.add(contexts_of(*token_numbers(texts, tokens)))
-                if sums.summed > HELD:
-                    yield in_slots(sums.clear(), slots)
+        tokens, sums, frequent = _Tokens(), Sums(), own()
+        for texts in texts_of(batches):
+            prints, at, counts, token = tokens.tokens(texts)
+            words = tokens.numbers(prints, token)
+            names = np.where(among(frequent, prints)[0] & (words >= SHARED), words, rest_of(words))
+            sums.add(contexts_of(words[at], counts, names[at]))
         yield in_slots(sums.clear(), slots)
 
     return of
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """packed, uses: the sums of a partition's words, and how many tokens they are."""
+    """packed: the sums of a partition's words."""
     sums = Sums()
     for rows in unpacked(batches):
         sums.add(rows)
     rows = sums.clear()
     for at in range(0, len(rows), HELD):
-        some = rows[at : at + HELD]
-        yield pa.RecordBatch.from_pydict({"packed": pa.array([wired(some)], pa.binary()), "uses": pa.array([int(some["uses"].sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"packed": pa.array([wired(rows[at : at + HELD])], pa.binary())})
 
 
 def rest_of(words: np.ndarray) -> np.ndarray:
-    """The vector that words without one of their own share, as a number below 2**(SHAPE_BITS + REST_BITS)."""
-    return words & U((1 << SHAPE_BITS + REST_BITS) - 1)
+    """The vector that words without one of their own share, as a number below SHARED."""
+    return words & U(SHARED - 1)
 
 
-def frequent(least: float) -> Callable:
-    """A function over batches of summed() that gives the rows of words with so many uses."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in unpacked(batches):
-            yield pa.RecordBatch.from_pydict({"packed": pa.array([wired(rows[rows["uses"] >= least])], pa.binary())})
-
-    return of
-
-
-def shared_rest(least: float, slots: int) -> Callable:
-    """A function over batches of summed() that gives the sums of the vectors that other words share, by slot."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for rows in unpacked(batches):
-            others = rows[rows["uses"] < least].copy()
-            others["word"] = rest_of(others["word"])
-            sums.add(others)
-        yield in_slots(sums.clear(), slots)
-
-    return of
+def among(some: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the values are among some, which are in order, and where."""
+    at = np.minimum(np.searchsorted(some, values), max(len(some) - 1, 0))
+    return some[at] == values if len(some) else np.zeros(len(values), bool), at
 
 
 @dataclass
@@ -211,48 +302,76 @@ class Vectors:
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         """The vector of each number, as a row."""
-        at = np.minimum(np.searchsorted(self.words, numbers), max(len(self.words) - 1, 0))
-        own = self.words[at] == numbers if len(self.words) else np.zeros(len(numbers), bool)
+        own, at = among(self.words, numbers)
         return np.where(own, at, len(self.words) + rest_of(numbers).astype(np.int64))
 
 
+def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The fingerprints of the words with vectors of their own in order, and how many tokens there are."""
+    uses = in_arrow(docs.select("text"), counted, "word long, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
+    parts = checkpointed(in_arrow(uses, candidates, "word long, uses long"))
+    total = parts.filter("word is null").agg(F.sum("uses")).first()[0] or 0
+    own = parts.filter("word is not null").filter(F.col("uses") >= total * SHARE).select("word").toArrow()["word"].to_numpy()
+    return np.sort(own.astype(np.int64).view(np.uint64)), total
+
+
 def word_vectors(docs: DataFrame) -> Vectors:
-    """A vector for each word, from all texts: the direction of its contexts beside that of all contexts."""
+    """A vector for each word, from all texts: the direction of its contexts beside that of all contexts.
+
+    Texts are read twice: words are counted before their contexts are summed, so that those of rare words never leave a task one by one.
+    """
     spark = docs.sparkSession
     python_batches(spark)
-    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = "slot int, packed binary"
-    sums = checkpointed(in_arrow(in_arrow(docs.select("text"), contexts(slots), dealt).repartition("slot"), summed, "packed binary, uses long"))
-    total = sums.agg(F.sum("uses")).first()[0] or 0
-    least = total * SHARE
-    own, rest = (added(np.concatenate([np.zeros(0, CONTEXT), *unpacked(found.toArrow().to_batches())])) for found in (in_arrow(sums, frequent(least), "packed binary"), in_arrow(in_arrow(sums, shared_rest(least, slots), dealt).repartition("slot"), summed, "packed binary, uses long")))
-    every = np.zeros(len(own) + (1 << SHAPE_BITS + REST_BITS), CONTEXT)
-    every[: len(own)] = own
-    every[len(own) + rest["word"].astype(np.int64)] = rest
+    frequent, total = frequent_words(docs)
+    shared = spark.sparkContext.broadcast(frequent)
+    slots = min(SLOTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = in_arrow(docs.select("text"), contexts(lambda: shared.value, slots), "slot int, packed binary").repartition("slot")
+    sums = added(np.concatenate([np.zeros(0, CONTEXT), *unpacked(in_arrow(dealt, summed, "packed binary").toArrow().to_batches())]))
+    rest = sums["word"] < SHARED
+    words = sums["word"][~rest]
+    every = np.zeros(len(words) + SHARED, CONTEXT)
+    every[: len(words)] = sums[~rest]
+    every[len(words) + sums["word"][rest].astype(np.int64)] = sums[rest]
     usual = every["vector"].sum(axis=0) / max(total, 1)
     mean = every["vector"] / np.maximum(every["uses"], 1)[:, None] - np.where(every["uses"] > 0, 1, 0)[:, None] * usual
-    return Vectors(own["word"].copy(), (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+    return Vectors(words, (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
+#: Different words of texts whose vectors are summed at once.
+BLOCK = 1024
 FEATURES = 2 * DIMS + 3 + (1 << SHAPE_BITS)
 
 
 def pooled(texts: list[str | None], tokens: _Tokens, vectors: Vectors) -> np.ndarray:
     """For each text the mean and deviation of its words' vectors, its length, and how its words and their shapes vary and repeat."""
-    numbers, counts = token_numbers(texts, tokens)
+    prints, own, counts, token = tokens.tokens(texts)
+    words, places = np.unique(tokens.numbers(prints, token), return_inverse=True)
+    number = places[own]
     out = np.zeros((len(texts), FEATURES), np.float32)
     full = np.flatnonzero(counts)
     if len(full):
-        words, number = np.unique(numbers, return_inverse=True)
-        starts = np.append(0, np.cumsum(counts[full])[:-1])
-        own = vectors.rows[vectors.of(words)[number]]
         n = counts[full, None].astype(np.float32)
-        mean = np.add.reduceat(own, starts, axis=0) / n
-        square = np.add.reduceat(own * own, starts, axis=0) / n
         text = np.repeat(np.arange(len(full)), counts[full])
-        different = np.unique(text * len(words) + number) // len(words)
-        shapes = np.bincount(text << SHAPE_BITS | (words & U((1 << SHAPE_BITS) - 1)).astype(np.int64)[number], minlength=len(full) << SHAPE_BITS).reshape(len(full), -1)
-        varied = np.bincount(different, minlength=len(full))[:, None] / n
+        # Each word of a text once, in the order of numbers, so that a text's sums don't depend on its neighbours.
+        each = np.sort(text * len(words) + number)
+        first = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
+        uses, each = np.diff(np.append(first, len(each))).astype(np.float32), each[first]
+        of, word = np.divmod(each, len(words))
+        different = np.bincount(of, minlength=len(full))
+        starts, rows = np.append(0, np.cumsum(different)), vectors.of(words)[word]
+        mean, square = np.zeros((2, len(full), DIMS), np.float32)
+        at = 0
+        while at < len(full):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK, "right")) - 1)
+            own, times = vectors.rows[rows[starts[at] : starts[to]]], uses[starts[at] : starts[to], None]
+            once = own * times
+            mean[at:to] = np.add.reduceat(once, starts[at:to] - starts[at], axis=0)
+            once *= own
+            square[at:to] = np.add.reduceat(once, starts[at:to] - starts[at], axis=0)
+            at = to
+        mean, square = mean / n, square / n
+        shapes = np.bincount(of << SHAPE_BITS | (words & U((1 << SHAPE_BITS) - 1)).astype(np.int64)[word], uses, len(full) << SHAPE_BITS).reshape(len(full), -1)
+        varied = different[:, None] / n
         repeats = np.bincount(text[1:][(number[1:] == number[:-1]) & (text[1:] == text[:-1])], minlength=len(full))[:, None] / n
         out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(n), varied, repeats, shapes / n])
     return out

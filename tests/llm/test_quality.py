@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tallyworks.llm import quality
 
@@ -67,3 +68,58 @@ def test_vectors_do_not_depend_on_partitions(spark):
     assert (one.words == other.words).all() and (one.rows == other.rows).all() and len(one.words) > 1000
     rare = np.array([8 * 12345 + 6], np.uint64)
     assert one.of(one.words[:3]).tolist() == [0, 1, 2] and one.of(rare)[0] >= len(one.words)
+
+
+def test_tokens_are_those_of_the_pattern():
+    every = "".join(chr(i) + ("a" if i % 3 else "") for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    texts = [r[1] for r in ODD] + [None, "a" * 300 + " " + "a" * 301 + "! !!", "end", "", "x", "\x1c\x85_a²½"] + [("ab" * 100 + " ") * 700]
+    tokens = quality._Tokens()
+    for some in ([every], texts, texts[::-1], [None], [], ["", None], ["a", "b"]):
+        split = [quality.TOKEN.findall(t or "") for t in some]
+        prints, own, counts, token = tokens.tokens(some)
+        assert counts.tolist() == [len(x) for x in split] and [token(i) for i in own] == [w for x in split for w in x]
+        assert len({token(i) for i in range(len(prints))}) == len(prints)
+        assert quality.token_numbers(some, tokens)[0].tolist() == [quality.number_of(w) for x in split for w in x]
+
+
+def test_rare_words_do_not_leave_a_task_one_by_one():
+    texts = [f"the a{i} cat b{i} ." for i in range(20_000)]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 500]}) for i in range(0, len(texts), 500)]
+    tokens = quality._Tokens()
+    prints, _, _, token = tokens.tokens(["the cat ."])
+    rows = quality.added(np.concatenate(list(quality.unpacked(quality.contexts(lambda: np.sort(prints), 16)(iter(batches))))))
+    assert len(rows) <= 3 + quality.SHARED and rows["uses"].sum() == 100_000
+    whole = quality.added(quality.contexts_of(*quality.token_numbers(texts, tokens)))
+    frequent = np.isin(whole["word"], tokens.numbers(prints, token))
+    assert len(whole) == 40_003 and (rows[rows["word"] >= quality.SHARED] == whole[frequent]).all()
+    others = whole[~frequent].copy()
+    others["word"] = quality.rest_of(others["word"])
+    assert (rows[rows["word"] < quality.SHARED] == quality.added(others)).all()
+
+
+def test_frequent_words_are_exact_however_texts_are_dealt(spark):
+    # 24 texts of 6,000 tokens: "often" is there twice, in two texts, and "seldom" once.
+    texts = [" ".join(["w"] * 5996 + ["often"] * (i < 2) + ["seldom"] * (i == 5) + [f"x{i}"] * 2) for i in range(24)]
+    words = [w for t in texts for w in t.split()]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    least = len(words) * quality.SHARE
+    wanted = {w for w in set(words) if words.count(w) >= least}
+    assert "often" in wanted and "seldom" not in wanted and 1 < least < 2
+    prints, _, _, token = quality._Tokens().tokens(sorted(set(words)))
+    for parts in (1, 5, 24):
+        found, total = quality.frequent_words(docs.repartition(parts))
+        assert total == len(words) and {token(i) for i in np.flatnonzero(np.isin(prints, found))} == wanted and len(found) == len(wanted)
+
+
+def test_pooled_texts_do_not_depend_on_their_neighbours():
+    texts = [r[1] for r in ODD] + ["the cat sat . the cat ran .", "The dog ! ! dog 12 12"] * 3
+    draw = np.random.default_rng(3)
+    prints, own, _, token = quality._Tokens().tokens(texts)
+    numbers = np.unique(quality._Tokens().numbers(prints, token))[::2]
+    vectors = quality.Vectors(numbers, draw.normal(size=(len(numbers) + quality.SHARED, quality.DIMS)).astype(np.float32))
+    together = quality.pooled(texts, quality._Tokens(), vectors)
+    for text, row in zip(texts, together, strict=True):
+        assert (quality.pooled([text], quality._Tokens(), vectors)[0] == row).all()
+        values = vectors.rows[vectors.of(quality.token_numbers([text], quality._Tokens())[0])].astype(float)
+        if len(values):
+            assert np.allclose(row[: 2 * quality.DIMS], np.concatenate([values.mean(axis=0), values.std(axis=0)]), atol=1e-3)
