@@ -23,6 +23,8 @@ SHARED = 1 << SHAPE_BITS + REST_BITS
 PIECE, REMEMBERED = 2_000_000, 500_000
 #: Rows of contexts that are packed together, and different words that a task counts before it hands them on.
 HELD, COUNTED = 40_000, 2_000_000
+#: Tokens whose neighbours' marks are summed at once, so that long texts take little more memory.
+PLACES = 500_000
 #: Parts that the contexts are summed in at most.
 SLOTS = 512
 #: Characters whose fingerprints are made at once, the longest token that gets one this way, and the number whose powers tell places apart.
@@ -141,9 +143,9 @@ def contexts_of(numbers: np.ndarray, counts: np.ndarray, names: np.ndarray | Non
     words, own = found.dictionary.to_numpy(), found.indices.to_numpy()
     out = np.zeros(len(words), CONTEXT)
     out["word"], out["uses"] = words, np.bincount(own, minlength=len(words))
-    # After each text come empty places, which have no marks and whose own sums are left out.
-    place = np.arange(len(own)) + np.repeat(REACH * np.arange(len(counts)), counts)
-    size = len(own) + REACH * len(counts)
+    # Around each text are empty places, which have no marks and whose own sums are left out.
+    place = REACH + np.arange(len(own)) + np.repeat(REACH * np.arange(len(counts)), counts)
+    size = len(own) + REACH * (len(counts) + 1)
     row = np.full(size, len(words) * DIMS)
     row[place] = own.astype(np.int64) * DIMS
     sums = np.zeros((len(words) + 1) * DIMS)
@@ -151,8 +153,10 @@ def contexts_of(numbers: np.ndarray, counts: np.ndarray, names: np.ndarray | Non
         bits = (numbers >> U(8 + 8 * mark)).astype(np.int64)
         at, sign = np.zeros(size, np.int64), np.zeros(size)
         at[place], sign[place] = bits & DIMS - 1, 1.0 - 2.0 * (bits >> 6 & 1)
-        sides = [pair for reach in range(1, REACH + 1) for pair in ((slice(reach, None), slice(-reach)), (slice(-reach), slice(reach, None)))]
-        sums += np.bincount(np.concatenate([row[a] + at[b] for a, b in sides]), np.concatenate([sign[b] for _, b in sides]), len(sums))
+        for low in range(REACH, size - REACH, PLACES):
+            high = min(low + PLACES, size - REACH)
+            near = [slice(low + by, high + by) for by in range(-REACH, REACH + 1) if by]
+            sums += np.bincount(np.concatenate([row[low:high] + at[x] for x in near]), np.concatenate([sign[x] for x in near]), len(sums))
     out["vector"] = sums[: len(words) * DIMS].reshape(-1, DIMS)
     return out
 

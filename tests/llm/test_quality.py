@@ -123,3 +123,13 @@ def test_pooled_texts_do_not_depend_on_their_neighbours():
         values = vectors.rows[vectors.of(quality.token_numbers([text], quality._Tokens())[0])].astype(float)
         if len(values):
             assert np.allclose(row[: 2 * quality.DIMS], np.concatenate([values.mean(axis=0), values.std(axis=0)]), atol=1e-3)
+
+
+def test_contexts_of_long_texts_are_summed_piece_by_piece(monkeypatch):
+    tokens = quality._Tokens()
+    numbers, counts = quality.token_numbers(["a b a c d a b", None, "b", "", "c a c d d b a"] * 3, tokens)
+    whole = quality.contexts_of(numbers, counts)
+    for places in (1, 2, 3, 7):
+        monkeypatch.setattr(quality, "PLACES", places)
+        assert (quality.contexts_of(numbers, counts) == whole).all()
+    assert len(quality.contexts_of(numbers[:0], np.zeros(3, np.int64))) == 0
